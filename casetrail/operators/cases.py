@@ -43,8 +43,11 @@ def order_columns(order: str = "occurred-then-received") -> list[Column]:
 
 def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame | None:
     """Groups above the limit, or None.  At most rows/limit groups can qualify,
-    which is what allows broadcasting them."""
+    which is what allows broadcasting them.  A log that is no larger than the
+    limit needs no grouping to know."""
     limit = hot_limit(df.sparkSession)
+    if df.count() <= limit:
+        return None
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
     return None if sizes.isEmpty() else sizes
 
@@ -120,11 +123,14 @@ def with_neighbours(
     prev: dict[str, str] | None = None,
     keys: list[str] = CASE,
     pos: str = "pos",
+    order: list[Column] | None = None,
 ) -> DataFrame:
     """Add columns of the following / preceding row: {new name: source column}.
 
     ``pos`` numbers the rows of a group from 1 without gaps.  In split groups
     the first and last row of each block are also shown to the block next to it.
+    ``order`` names the columns ``pos`` was numbered by, so that rows still in
+    that order are not sorted again.
     """
     next, prev = next or {}, prev or {}
     split = is_split(df)
@@ -142,7 +148,7 @@ def with_neighbours(
             )
         )
         df = df.withColumn("_home", F.explode(homes)).withColumn("block", F.col("_home.b"))
-    w = Window.partitionBy(*group_keys(df, keys)).orderBy(pos)
+    w = Window.partitionBy(*group_keys(df, keys)).orderBy(*(order or [F.col(pos)]))
     df = df.withColumns(
         {**{k: F.lead(c).over(w) for k, c in next.items()}, **{k: F.lag(c).over(w) for k, c in prev.items()}}
     )
@@ -150,11 +156,18 @@ def with_neighbours(
 
 
 def with_last_known(
-    df: DataFrame, value: Column, name: str, keys: list[str] = CASE, pos: str = "pos", include_current: bool = True
+    df: DataFrame,
+    value: Column,
+    name: str,
+    keys: list[str] = CASE,
+    pos: str = "pos",
+    include_current: bool = True,
+    order: list[Column] | None = None,
 ) -> DataFrame:
     """Last non-null ``value`` at or before (or strictly before) each row."""
     end = 0 if include_current else -1
-    w = Window.partitionBy(*group_keys(df, keys)).orderBy(pos).rowsBetween(Window.unboundedPreceding, end)
+    w = Window.partitionBy(*group_keys(df, keys)).orderBy(*(order or [F.col(pos)]))
+    w = w.rowsBetween(Window.unboundedPreceding, end)
     out = df.withColumn("_v", value)
     local = F.last("_v", ignorenulls=True).over(w)
     if not is_split(df):
@@ -291,21 +304,30 @@ def attach_snapshots(events: DataFrame, snapshots: DataFrame) -> DataFrame:
     )
 
 
-def mark_runs(timeline: DataFrame, step: Column | str = "step_key") -> DataFrame:
-    """Add ``run`` = position of the first row of the run of equal adjacent steps."""
+def mark_runs(
+    timeline: DataFrame, step: Column | str = "step_key", order: str = "occurred-then-received"
+) -> DataFrame:
+    """Add ``run`` = position of the first row of the run of equal adjacent steps.
+
+    ``order`` is the order the timeline was numbered by."""
+    by = order_columns(order)
     tl = timeline.withColumn("_step", F.col(step) if isinstance(step, str) else step)
-    tl = with_neighbours(tl, prev={"_before": "_step"})
+    tl = with_neighbours(tl, prev={"_before": "_step"}, order=by)
     start = F.when(F.col("_before").isNull() | (F.col("_before") != F.col("_step")), F.col("pos"))
-    return with_last_known(tl, start, "run").drop("_before", "_step")
+    return with_last_known(tl, start, "run", order=by).drop("_before", "_step")
 
 
-def run_starts(timeline: DataFrame, step: Column | str = "step_key") -> DataFrame:
-    """Only the first row of each run, renumbered as ``entry`` = 1, 2, ..."""
+def run_starts(
+    timeline: DataFrame, step: Column | str = "step_key", order: str = "occurred-then-received"
+) -> DataFrame:
+    """Only the first row of each run, renumbered as ``entry`` = 1, 2, ..., with
+    ``next_step`` and ``next_at`` of the run that follows."""
+    by = order_columns(order)
     tl = timeline.withColumn("_step", F.col(step) if isinstance(step, str) else step)
-    tl = with_neighbours(tl, prev={"_before": "_step"})
+    tl = with_neighbours(tl, prev={"_before": "_step"}, order=by)
     first = tl.filter(F.col("_before").isNull() | (F.col("_before") != F.col("_step"))).drop("_before", "_step")
-    check = is_split(first)
-    return numbered(first.drop("block"), CASE, [F.col("pos")], "entry", check=check)
+    first = numbered(first.drop("block"), CASE, by, "entry", check=is_split(first))
+    return with_neighbours(first, next={"next_step": "step_key", "next_at": "occurred_at"}, pos="entry", order=by)
 
 
 def merge_fields(obj: Column, names: list[str], pos: Column) -> Column:
@@ -320,14 +342,16 @@ def merge_fields(obj: Column, names: list[str], pos: Column) -> Column:
     return F.when(F.max(obj.isNotNull()), F.concat(F.lit("{"), body, F.lit("}")))
 
 
-def collapse_repeats(timeline: DataFrame, fields: list[str]) -> DataFrame:
-    """One row per run of equal adjacent steps.
+def collapse_repeats(
+    timeline: DataFrame, fields: list[str], order: str = "occurred-then-received"
+) -> DataFrame:
+    """One row per run of equal adjacent steps, with the step that follows.
 
     The first row gives step and time.  Contexts (column ``ctx``) merge later
     over earlier for the listed ``fields``; ``sum_*`` columns hold the last
     context of the run and its times.
     """
-    runs = mark_runs(timeline.withColumn("_obj", V.as_object(F.col("ctx"))))
+    runs = mark_runs(timeline.withColumn("_obj", V.as_object(F.col("ctx"))), order=order)
     obj, pos = F.col("_obj"), F.col("pos")
     with_ctx = F.when(obj.isNotNull(), pos)
     first = F.min_by(F.struct("step_key", "occurred_at", "external_event_key"), pos)
@@ -353,7 +377,8 @@ def collapse_repeats(timeline: DataFrame, fields: list[str]) -> DataFrame:
             F.coalesce(F.col("_l.has_snapshot"), F.lit(False)).alias("has_snapshot"),
         )
     )
-    return numbered(out, CASE, [F.col("pos")], "entry", check=is_split(runs))
+    out = numbered(out, CASE, [F.col("pos")], "entry", check=is_split(runs))
+    return with_neighbours(out, next={"next_step": "step_key"}, pos="entry", order=[F.col("pos")])
 
 
 # ---------------------------------------------------------------- instances and overviews

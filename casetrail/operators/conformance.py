@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from casetrail.operators.cases import CASE, with_neighbours
+from casetrail.operators.cases import CASE
 from casetrail.plans.templates import TemplateSet
 
 KEY = CASE + ["template_key"]
@@ -89,11 +89,10 @@ def wrong_order(profiles: DataFrame) -> DataFrame:
 
 def transition_violations(entries: DataFrame, templates: TemplateSet) -> DataFrame:
     """Adjacent entries whose target is not among the targets allowed for the source."""
-    pairs = with_neighbours(entries, next={"_next": "step_key"}, pos="entry").filter(F.col("_next").isNotNull())
     d = (
-        templates.expand(pairs)
+        templates.expand(entries.filter(F.col("next_step").isNotNull()))
         .join(templates.targets(), ["template_key", "step_key"])
-        .filter(~F.array_contains("allowed", F.col("_next")))
+        .filter(~F.array_contains("allowed", F.col("next_step")))
     )
     message = F.concat(
         F.lit("Transition violation: "),
@@ -101,7 +100,7 @@ def transition_violations(entries: DataFrame, templates: TemplateSet) -> DataFra
         F.lit(" expected one of "),
         F.array_join("allowed", ", "),
         F.lit(" but got "),
-        F.col("_next"),
+        F.col("next_step"),
     )
     return findings_frame(
         d,
@@ -109,7 +108,7 @@ def transition_violations(entries: DataFrame, templates: TemplateSet) -> DataFra
         message,
         ordinal=F.col("entry"),
         from_step=F.col("step_key"),
-        actual_step=F.col("_next"),
+        actual_step=F.col("next_step"),
         expected=F.col("allowed"),
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from casetrail.functions import values as V
-from casetrail.operators.cases import CASE, with_neighbours
+from casetrail.operators.cases import CASE
 from casetrail.operators.conformance import KEY, findings_frame
 from casetrail.plans.templates import Template, TemplateSet
 
@@ -66,11 +66,10 @@ def context_issue(template: Template, decision: dict, obj: Column) -> Column:
 
 def decision_entries(entries: DataFrame, templates: TemplateSet) -> DataFrame:
     """First entry at each decision's ``after`` step, with the step that followed."""
-    e = with_neighbours(entries, next={"next_step_seen": "step_key"}, pos="entry")
     at = F.struct(
         "entry",
         "occurred_at",
-        "next_step_seen",
+        F.col("next_step").alias("next_step_seen"),
         "context",
         "sum_context",
         "sum_loaded_at",
@@ -80,7 +79,7 @@ def decision_entries(entries: DataFrame, templates: TemplateSet) -> DataFrame:
     )
     decisions = templates.decisions().withColumn("step_key", F.col("after_step"))
     return (
-        templates.expand(e)
+        templates.expand(entries)
         .join(decisions, ["template_key", "step_key"])
         .groupBy(*KEY, "decision_pos", "decision_key", "after_step")
         .agg(F.min_by(at, F.col("entry")).alias("_at"))

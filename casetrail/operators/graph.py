@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from casetrail.functions import values as V
 from casetrail.operators.cases import CASE, with_neighbours
 from casetrail.operators.decisions import match_decision_rule
-from casetrail.operators.quantiles import exact_quantiles
+from casetrail.operators.quantiles import exact_quantiles, value_counts
 from casetrail.plans.templates import END, START, Template, TemplateSet, small_table
 
 DIRECT = "EXPECTED_DIRECT"
@@ -382,12 +382,13 @@ def virtual_node_durations(projected: DataFrame, templates: TemplateSet) -> Data
 
 def duration_stats(rows: DataFrame, keys: list[str], value: str = "seconds") -> DataFrame:
     """Count, average, median, 95th percentile and maximum of whole seconds."""
-    base = rows.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        (F.sum(value) / F.count(F.lit(1))).alias("avg_seconds"),
+    counts = value_counts(rows, keys, value)
+    base = counts.groupBy(*keys).agg(
+        F.sum("_n").alias("n"),
+        (F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias("avg_seconds"),
         F.max(value).cast("double").alias("max_seconds"),
     )
-    return base.join(exact_quantiles(rows, keys, value, {"median_seconds": 0.5, "p95_seconds": 0.95}), keys)
+    return base.join(exact_quantiles(counts, keys, value, {"median_seconds": 0.5, "p95_seconds": 0.95}), keys)
 
 
 def node_metrics(durations: DataFrame, virtual: DataFrame, flow: DataFrame, templates: TemplateSet) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from casetrail.functions import values as V
 from casetrail.functions.buckets import ratio
-from casetrail.operators.cases import CASE, with_neighbours
-from casetrail.operators.quantiles import exact_quantiles
+from casetrail.operators.cases import CASE, order_columns, with_neighbours
+from casetrail.operators.quantiles import exact_quantiles, value_counts
 from casetrail.plans.templates import SMALL_ROWS, TemplateSet
 
 
@@ -118,8 +118,10 @@ def _pair_counts(rows: DataFrame, pos: str, *extra: str) -> DataFrame:
     """Counts per (from, to) and cases per process, in one aggregation.
 
     ``cases`` counts rows with position 1, so it needs no distinct."""
-    nxt = with_neighbours(rows, next={"to_step": "step_key"}, pos=pos)
-    counts = nxt.groupBy("process_key", F.col("step_key").alias("from_step"), "to_step", *extra).agg(
+    if "next_step" not in rows.columns:
+        rows = with_neighbours(rows, next={"next_step": "step_key"}, pos=pos, order=order_columns())
+    to = F.col("next_step").alias("to_step")
+    counts = rows.groupBy("process_key", F.col("step_key").alias("from_step"), to, *extra).agg(
         F.count(F.lit(1)).alias("observed"), F.count_if(F.col(pos) == 1).alias("_cases")
     )
     cases = F.sum("_cases").over(Window.partitionBy("process_key"))
@@ -160,18 +162,15 @@ def flow_by_context(timeline: DataFrame) -> DataFrame:
 
 
 def step_times(entries: DataFrame, now: datetime) -> DataFrame:
-    """Seconds from each entry to the next, or its age at ``now`` when it is the last."""
-    nxt = with_neighbours(entries, next={"_next_at": "occurred_at"}, pos="entry")
-    at = F.unix_seconds("occurred_at")
-    zero = F.lit(0).cast("long")
-    return nxt.withColumns(
+    """``seconds`` from each run start to the next; for the last one its age at
+    ``now``, marked ``is_open``."""
+    until = F.coalesce(F.unix_seconds("next_at"), F.lit(int(now.timestamp())).cast("long"))
+    return entries.withColumns(
         {
-            "seconds": F.greatest(zero, F.unix_seconds("_next_at") - at),
-            "age_seconds": F.when(
-                F.col("_next_at").isNull(), F.greatest(zero, F.lit(int(now.timestamp())).cast("long") - at)
-            ),
+            "is_open": F.col("next_at").isNull(),
+            "seconds": F.greatest(F.lit(0).cast("long"), until - F.unix_seconds("occurred_at")),
         }
-    ).withColumn("seconds", F.when(F.col("_next_at").isNotNull(), F.col("seconds"))).drop("_next_at")
+    )
 
 
 def duration_heatmap(entries: DataFrame, templates: TemplateSet, now: datetime) -> DataFrame:
@@ -180,17 +179,19 @@ def duration_heatmap(entries: DataFrame, templates: TemplateSet, now: datetime)
     Averages are rounded to 2 before intensities are taken; steps of the
     template without events are listed with zeros.
     """
-    t = step_times(entries, now)
     keys = ["process_key", "step_key"]
-    agg = t.groupBy(*keys).agg(
-        F.count("seconds").alias("completed"),
-        F.sum("seconds").alias("_sum"),
-        F.max("seconds").alias("_max"),
-        F.count("age_seconds").alias("open"),
-        F.sum("age_seconds").alias("_asum"),
-        F.max("age_seconds").alias("_amax"),
+    counts = value_counts(step_times(entries, now), keys + ["is_open"], "seconds")
+    done, n, total = ~F.col("is_open"), F.col("_n"), F.col("seconds") * F.col("_n")
+    agg = counts.groupBy(*keys).agg(
+        F.sum(F.when(done, n)).alias("completed"),
+        F.sum(F.when(done, total)).alias("_sum"),
+        F.max(F.when(done, F.col("seconds"))).alias("_max"),
+        F.sum(F.when(~done, n)).alias("open"),
+        F.sum(F.when(~done, total)).alias("_asum"),
+        F.max(F.when(~done, F.col("seconds"))).alias("_amax"),
     )
-    median = exact_quantiles(t, keys, "seconds", {"_median": 0.5})
+    median = exact_quantiles(counts, keys + ["is_open"], "seconds", {"_median": 0.5})
+    median = median.filter(~F.col("is_open")).drop("is_open")
     seen = templates.expand(agg.join(median, keys, "left"))
     steps = templates.steps().select("template_key", "step_key")
     rows = seen.drop("process_key").join(steps, ["template_key", "step_key"], "full_outer").fillna(

@@ -11,14 +11,18 @@ from pyspark.sql import DataFrame, Window, functions as F
 WIDTH = 4096
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Rows per distinct value; nulls are left out."""
+    return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def exact_quantiles(counts: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """One row per ``keys`` with a DOUBLE column per entry of ``probs``.
 
-    ``value`` is a BIGINT column; nulls are left out.  Rank = p * (n - 1),
-    linear between the neighbouring values.
+    ``counts`` comes from ``value_counts``; ``value`` is a BIGINT column.
+    Rank = p * (n - 1), linear between the neighbouring values.
     """
-    hist = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    hist = hist.withColumn("_b", F.floor(F.col(value) / WIDTH))
+    hist = counts.withColumn("_b", F.floor(F.col(value) / WIDTH))
     per_key = Window.partitionBy(*keys)
     coarse = (
         hist.groupBy(*keys, "_b")

@@ -53,7 +53,7 @@ def name_set(v: Column) -> Column:
         .when(kind.isin("int", "float", "bool"), _scalar_text(v))
         .otherwise(F.array().cast("array<string>"))
     )
-    return F.array_distinct(F.filter(F.transform(names, F.trim), lambda n: n != ""))
+    return F.array_distinct(F.filter(F.transform(names, lambda n: F.trim(n)), lambda n: n != ""))
 
 
 def sign_checks(entries: DataFrame, templates: TemplateSet) -> DataFrame:

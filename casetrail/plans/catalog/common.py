@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession
 
 from casetrail.plans.templates import TemplateSet
@@ -104,12 +100,6 @@ def utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder (local only when unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="casetrail-")
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
-
-
 # ------------------------------------------------------------------ SQL side
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from casetrail.operators import cases, conformance, decisions, findings, signoff
 from casetrail.plans.templates import TemplateSet
+from casetrail.sources.scratch import staged
 
 
 @dataclass(frozen=True)
@@ -30,16 +31,27 @@ def case_entries(
 ) -> DataFrame:
     """Collapsed entries of every case a template exists for."""
     known = events.join(templates.processes().select("process_key").distinct(), "process_key", "left_semi")
-    timeline = cases.case_timeline(known, version=version, order=order)
-    return cases.collapse_repeats(cases.attach_snapshots(timeline, snapshots), templates.context_fields())
+    timeline = cases.case_timeline(cases.attach_snapshots(known, snapshots), version=version, order=order)
+    return cases.collapse_repeats(timeline, templates.context_fields(), order)
 
 
 def check_processes(
-    events: DataFrame, snapshots: DataFrame, templates: TemplateSet, version="latest", order="occurred-then-received"
+    events: DataFrame,
+    snapshots: DataFrame,
+    templates: TemplateSet,
+    version="latest",
+    order="occurred-then-received",
+    stage: bool = True,
 ) -> ProcessCheck:
-    entries = case_entries(events, snapshots, templates, version, order)
-    profiles = conformance.case_profiles(entries, templates)
-    evaluated = decisions.evaluate_decisions(entries, templates, profiles)
+    """All checks of all cases.
+
+    Entries, profiles and evaluated decisions feed many branches; with ``stage``
+    they are written once to the shared folder and read back.
+    """
+    keep = staged if stage else (lambda df, name: df)
+    entries = keep(case_entries(events, snapshots, templates, version, order), "entries")
+    profiles = keep(conformance.case_profiles(entries, templates), "profiles")
+    evaluated = keep(decisions.evaluate_decisions(entries, templates, profiles), "decisions")
     groups = conformance.parallel_group_activation(profiles, decisions.activated_groups(evaluated))
     issues = decisions.context_freshness_issues(evaluated)
     parts = [

@@ -6,15 +6,31 @@ fewer than ``SMALL_ROWS`` rows; larger sets join like any other table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 SMALL_ROWS = 20_000
 OPERATORS = ("eq", "neq", "gt", "gte", "lt", "lte", "in", "exists")
 START, END = "__start", "__end"
 
 
+def _named(value, kind: T.DataType):
+    """Tuples as dicts, as Arrow wants nested records."""
+    if value is None:
+        return None
+    if isinstance(kind, T.ArrayType):
+        return [_named(v, kind.elementType) for v in value]
+    if isinstance(kind, T.StructType):
+        return {f.name: _named(v, f.dataType) for f, v in zip(kind.fields, value)}
+    return value
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    df = spark.createDataFrame(rows, schema)
+    """Configuration rows as a local table (no job), broadcast while small."""
+    struct = T.StructType.fromDDL(schema)
+    data = pa.Table.from_pylist([_named(r, struct) for r in rows], schema=to_arrow_schema(struct))
+    df = spark.createDataFrame(data)
     return F.broadcast(df) if len(rows) < SMALL_ROWS else df
 
 
