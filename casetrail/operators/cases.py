@@ -30,12 +30,14 @@ def hot_limit(spark: SparkSession) -> int:
     return int(spark.conf.get(HOT_CONF, str(HOT_DEFAULT)))
 
 
-def order_columns(order: str = "occurred-then-received") -> list[Column]:
+def order_columns(order: str = "occurred-then-received") -> list[str]:
     """Total order of a case's events; unknown ids come last, the event key decides ties."""
-    return [F.col(c) for c in ORDERS[order]] + [
-        F.coalesce(F.col("event_id"), F.lit(LAST_ID)),
-        F.col("external_event_key"),
-    ]
+    return ORDERS[order] + ["event_id", "external_event_key"]
+
+
+def sort_by(names: list[str]) -> list[Column]:
+    """Plain columns only, so that windows in the same order share one sort."""
+    return [F.col(c).asc_nulls_last() if c == "event_id" else F.col(c) for c in names]
 
 
 # ---------------------------------------------------------------- hot cases
@@ -52,35 +54,38 @@ def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame | None:
     return None if sizes.isEmpty() else sizes
 
 
-def _as_number(df: DataFrame, c: Column) -> Column:
-    kind = df.select(c.alias("x")).schema["x"].dataType.typeName()
-    if kind == "timestamp":
-        return F.unix_micros(c)
-    if kind == "date":
-        return F.unix_date(c)
-    return c.cast("double") if kind in ("integer", "long", "double", "short") else None
+def _axes(df: DataFrame, order: list[str]) -> list[Column]:
+    """Order columns that can be cut into pieces, as numbers (unknown = last)."""
+    out = []
+    for name in order:
+        kind = df.schema[name].dataType.typeName()
+        if kind == "timestamp":
+            out.append(F.unix_micros(name).cast("double"))
+        elif kind in ("integer", "long", "short", "double"):
+            out.append(F.coalesce(F.col(name), F.lit(LAST_ID)).cast("double"))
+    return out
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "pos", check: bool = True) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "pos", check: bool = True) -> DataFrame:
     """``row_number`` per group that also works when one group is huge.
 
     Large groups are cut along the leading order column into pieces; the row
     number is the number inside the piece plus the rows of earlier pieces.
     """
     if check and hot_keys(df, keys) is not None:
-        axes = [a for a in (_as_number(df, c) for c in order) if a is not None]
+        axes = _axes(df, order)
         out = _numbered_hot(df, keys, order, name, axes[:1] + axes, 0)
         return out.withColumn("block", F.floor((F.col(name) - 1) / hot_limit(df.sparkSession)).cast("int"))
-    w = Window.partitionBy(*keys).orderBy(*order)
+    w = Window.partitionBy(*keys).orderBy(*sort_by(order))
     return df.withColumn(name, F.row_number().over(w).cast("long"))
 
 
 def _numbered_hot(df, keys, order, name, axes, level) -> DataFrame:
     hot = hot_keys(df, keys) if level < len(axes) else None
     if hot is None:
-        w = Window.partitionBy(*keys).orderBy(*order)
+        w = Window.partitionBy(*keys).orderBy(*sort_by(order))
         return df.withColumn(name, F.row_number().over(w).cast("long"))
-    axis, piece = axes[level].cast("double"), f"_piece{level}"
+    axis, piece = axes[level], f"_piece{level}"
     span = (
         df.join(F.broadcast(hot), keys)
         .groupBy(*keys)
@@ -123,7 +128,7 @@ def with_neighbours(
     prev: dict[str, str] | None = None,
     keys: list[str] = CASE,
     pos: str = "pos",
-    order: list[Column] | None = None,
+    order: list[str] | None = None,
 ) -> DataFrame:
     """Add columns of the following / preceding row: {new name: source column}.
 
@@ -148,7 +153,7 @@ def with_neighbours(
             )
         )
         df = df.withColumn("_home", F.explode(homes)).withColumn("block", F.col("_home.b"))
-    w = Window.partitionBy(*group_keys(df, keys)).orderBy(*(order or [F.col(pos)]))
+    w = Window.partitionBy(*group_keys(df, keys)).orderBy(*sort_by(order or [pos]))
     df = df.withColumns(
         {**{k: F.lead(c).over(w) for k, c in next.items()}, **{k: F.lag(c).over(w) for k, c in prev.items()}}
     )
@@ -162,11 +167,11 @@ def with_last_known(
     keys: list[str] = CASE,
     pos: str = "pos",
     include_current: bool = True,
-    order: list[Column] | None = None,
+    order: list[str] | None = None,
 ) -> DataFrame:
     """Last non-null ``value`` at or before (or strictly before) each row."""
     end = 0 if include_current else -1
-    w = Window.partitionBy(*group_keys(df, keys)).orderBy(*(order or [F.col(pos)]))
+    w = Window.partitionBy(*group_keys(df, keys)).orderBy(*sort_by(order or [pos]))
     w = w.rowsBetween(Window.unboundedPreceding, end)
     out = df.withColumn("_v", value)
     local = F.last("_v", ignorenulls=True).over(w)
@@ -216,11 +221,13 @@ def filter_time_window(events: DataFrame, start=None, end=None) -> DataFrame:
     return events
 
 
-def _latest_version(events: DataFrame, hot: DataFrame | None) -> DataFrame:
+def _latest_version(events: DataFrame, hot: DataFrame | None, order: list[str]) -> DataFrame:
     keys = ["process_key", "document_uuid"]
 
     def cold(df: DataFrame) -> DataFrame:
-        top = F.max("document_version").over(Window.partitionBy(*keys))
+        # Ordered like the timeline windows that follow, so they need no further sort.
+        w = Window.partitionBy(*keys).orderBy("document_version", *sort_by(order))
+        top = F.max("document_version").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
         return df.withColumn("_top", top).filter(F.col("document_version") == F.col("_top")).drop("_top")
 
     if hot is None:
@@ -237,7 +244,7 @@ def select_case_version(events: DataFrame, version: int | str = "latest") -> Dat
     if version == "all":
         return events
     if version == "latest":
-        return _latest_version(events, hot_keys(events, ["process_key", "document_uuid"]))
+        return _latest_version(events, hot_keys(events, ["process_key", "document_uuid"]), order_columns())
     return events.filter(F.col("document_version") == int(version))
 
 
@@ -257,7 +264,7 @@ def case_timeline(
     events = filter_phase(events, include_before).filter(F.col("document_uuid").isNotNull())
     hot = hot_keys(events, ["process_key", "document_uuid"])
     if version == "latest" and not merge_versions:
-        events = _latest_version(events, hot)
+        events = _latest_version(events, hot, order_columns(order))
     elif version not in ("all", "latest"):
         events = events.filter(F.col("document_version") == int(version))
     if merge_versions:
@@ -377,8 +384,8 @@ def collapse_repeats(
             F.coalesce(F.col("_l.has_snapshot"), F.lit(False)).alias("has_snapshot"),
         )
     )
-    out = numbered(out, CASE, [F.col("pos")], "entry", check=is_split(runs))
-    return with_neighbours(out, next={"next_step": "step_key"}, pos="entry", order=[F.col("pos")])
+    out = numbered(out, CASE, ["pos"], "entry", check=is_split(runs))
+    return with_neighbours(out, next={"next_step": "step_key"}, pos="entry", order=["pos"])
 
 
 # ---------------------------------------------------------------- instances and overviews

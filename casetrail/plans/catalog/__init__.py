@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from casetrail.plans.catalog import checks, timelines
+from casetrail.plans.catalog import checks, contexts, timelines
 
-MODULES = [timelines, checks]
+MODULES = [timelines, checks, contexts]
 
 
 def queries() -> dict:
