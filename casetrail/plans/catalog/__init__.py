@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from casetrail.plans.catalog import checks, contexts, timelines
+from casetrail.plans.catalog import checks, contexts, graphs, timelines
 
-MODULES = [timelines, checks, contexts]
+MODULES = [timelines, checks, contexts, graphs]
 
 
 def queries() -> dict:

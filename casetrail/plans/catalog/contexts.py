@@ -344,17 +344,17 @@ jcase AS (SELECT e.document_uuid, CASE WHEN l.shot IS NOT NULL THEN CAST(json_ex
   FROM (SELECT DISTINCT document_uuid FROM evt) e LEFT JOIN lasts l ON l.document_uuid = e.document_uuid)"""
 JST = f"""jsteps(pos, step, proc, req) AS (VALUES (0,'browse','web',TRUE), (1,'pay','billing',TRUE), (2,'help','support',FALSE), (3,'store','archive',TRUE)),
 jdocs AS (SELECT document_uuid, min(document_version) <> max(document_version) AS many FROM web GROUP BY ALL),
-spans AS (SELECT document_uuid, process_key, min(occurred_at) AS at FROM web GROUP BY ALL),
+spans AS (SELECT document_uuid, process_key, min(occurred_at) AS began FROM web GROUP BY ALL),
 jres AS (SELECT d.document_uuid, j.step AS journey_step, d.many,
     CASE WHEN many THEN 'WARNING' WHEN j.step = 'pay' AND coalesce(coalesce(e.flag_at_event, c.flag_of_case) NOT IN ('false','"false"'), TRUE) THEN 'CONDITION_NOT_APPLICABLE'
       WHEN j.step = 'store' AND coalesce(c.band <> 'low', TRUE) THEN 'CONDITION_NOT_APPLICABLE'
-      WHEN s.at IS NOT NULL THEN 'PROCESS_EXISTS' WHEN NOT req THEN 'CONDITION_NOT_APPLICABLE' ELSE 'MISSING_REQUIRED_PROCESS' END AS status, s.at
+      WHEN s.began IS NOT NULL THEN 'PROCESS_EXISTS' WHEN NOT req THEN 'CONDITION_NOT_APPLICABLE' ELSE 'MISSING_REQUIRED_PROCESS' END AS status, s.began
   FROM jdocs d CROSS JOIN jsteps j LEFT JOIN spans s ON s.document_uuid = d.document_uuid AND s.process_key = j.proc
   LEFT JOIN jev e ON e.document_uuid = d.document_uuid AND e.process_key = j.proc LEFT JOIN jcase c ON c.document_uuid = d.document_uuid),
-jst AS (SELECT *, status <> 'CONDITION_NOT_APPLICABLE' AS applicable, CASE WHEN status = 'PROCESS_EXISTS' AND NOT many THEN {sec('at')} END AS started_at FROM jres)"""
+jst AS (SELECT *, status <> 'CONDITION_NOT_APPLICABLE' AS applicable, CASE WHEN status = 'PROCESS_EXISTS' AND NOT many THEN {sec('began')} END AS started_at FROM jres)"""
 JTR = """jedges(f, t) AS (VALUES ('browse','pay'), ('pay','help'), ('pay','gone')),
 jtr AS (SELECT d.document_uuid, f AS from_step, t AS to_step, CASE WHEN NOT coalesce(a.status = 'PROCESS_EXISTS' AND b.status = 'PROCESS_EXISTS', FALSE) THEN 'NOT_APPLICABLE'
-    WHEN b.at < a.at THEN 'PROCESS_EXISTS_WRONG_ORDER' ELSE 'SATISFIED' END AS status
+    WHEN b.began < a.began THEN 'PROCESS_EXISTS_WRONG_ORDER' ELSE 'SATISFIED' END AS status
   FROM jdocs d CROSS JOIN jedges LEFT JOIN jres a ON a.document_uuid = d.document_uuid AND a.journey_step = f LEFT JOIN jres b ON b.document_uuid = d.document_uuid AND b.journey_step = t WHERE NOT d.many)"""
 JALL = f"WITH {routed(SPLIT_SQL)}, {JCTX}, {JST}"
 JALL_V = f"WITH {routed(SPLIT_V_SQL)}, {JCTX}, {JST}"
