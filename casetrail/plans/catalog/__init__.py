@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from casetrail.plans.catalog import checks, contexts, graphs, timelines
+from casetrail.plans.catalog import checks, contexts, exports, graphs, intakes, timelines
 
-MODULES = [timelines, checks, contexts, graphs]
+MODULES = [intakes, timelines, checks, contexts, graphs, exports]
 
 
 def queries() -> dict:

@@ -177,3 +177,26 @@ def log_snapshots(log: DataFrame) -> DataFrame:
         F.regexp_replace("context", '"k":', '"late":1,"k":'),
     )
     return first.unionByName(again)
+
+
+def raw_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web events as the JSON payloads senders post, in four spellings, some broken."""
+    return (
+        table(spark, sf_dir, "events")
+        .selectExpr("*", "cast(get_json_object(props, '$.k') AS int) AS k", "cast(ts AS timestamp) AS at")
+        .selectExpr("*", "cast(1 + floor((day(at) - 1) / 7.0) AS string) AS v", "at + interval 1 hour AS berlin")
+        .selectExpr(
+            "event_id",
+            "at + make_dt_interval(0, 0, 0, event_id % 7) AS received_at",
+            """CASE WHEN event_id % 17 = 0 THEN '{"broken'
+  WHEN event_id % 19 = 0 THEN '[1, 2]'
+  ELSE concat('{',
+    CASE WHEN event_id % 13 = 0 THEN '' WHEN event_id % 23 = 0 THEN '"processKey":"Unknown",' WHEN event_id % 2 = 0 THEN '"process_key":"web",' ELSE '"processKey":" web ",' END,
+    CASE event_id % 4
+      WHEN 0 THEN concat('"source_system":"shop","step_key":"', event_type, '","document":{"documentId":"ext-', user_id, '","uuid":"user-', user_id, '","version":', v, '},"occurred_at":"', date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), 'Z","id":"evt-', event_id, '","attributes":{"k":', k, '}')
+      WHEN 1 THEN concat('"sourceSystem":"shop","stepKey":"', event_type, '","documentId":"ext-', user_id, '","documentUuid":"user-', user_id, '","documentVersion":"', v, '","occurredAt":"', date_format(berlin, "yyyy-MM-dd'T'HH:mm:ss"), ' 01:00","eventId":"evt-', event_id, '","context":{"k":', k, '}')
+      WHEN 2 THEN concat('"source":"shop","eventType":"', event_type, '","document_id":{"x":1},"documentId":"ext-', user_id, '","uuid":"user-', user_id, '","version":', v, ',"timestamp":"', date_format(berlin, 'yyyy-MM-dd HH:mm:ss'), '","actor":"u', user_id, '"')
+      ELSE concat('"source":"shop","type":"', event_type, '","externalId":"ext-', user_id, '","externalUuid":"user-', user_id, '","version":', v, ',"phase":"BEFORE","changeDate":"', date_format(berlin, "yyyy-MM-dd'T'HH:mm:ss"), '+0100","external_event_key":" evt-', event_id, ' "') END,
+    '}') END AS payload""",
+        )
+    )
