@@ -233,8 +233,8 @@ ORACLES = {
     "read_event_log_jsonl": f"WITH {EVS} SELECT error, count(*) AS n FROM evs GROUP BY ALL",
     "append_event_log": f"WITH {LOG_SQL}, {web_sql('sw', split=True)}, a AS (SELECT process_key, step_key FROM sw UNION ALL SELECT process_key, step_key FROM ord) {STEP_COUNTS.format(src='a')}",
     "delete_process_data": f"WITH {web_sql(split=True)} SELECT process_key, count(*) AS events, (SELECT count(*) FROM web WHERE process_key = 'billing' AND document_uuid = 'user-8') AS removed FROM web WHERE NOT (process_key = 'billing' AND document_uuid = 'user-8') GROUP BY ALL",
-    "export_delimited": "SELECT strftime(o_orderdate + INTERVAL 1 HOUR + CASE WHEN o_orderdate >= date_trunc('month', o_orderdate) + INTERVAL 0 DAY THEN INTERVAL 0 HOUR ELSE INTERVAL 0 HOUR END, '%Y-%m') AS period, count(*) AS n, max(replace(CAST(CAST(round(CAST(o_orderkey * 12345 AS DECIMAL(28,4)) / 10000, 2) AS DECIMAL(28,2)) AS VARCHAR), '.', ',')) AS top_number, min(substr(o_orderpriority || ' / ' || o_orderstatus, 1, 12)) AS low_label FROM orders GROUP BY ALL",
-    "stream_intake": f"WITH {EVS} SELECT trim(CASE WHEN event_id % 2 = 0 THEN 'web' ELSE ' web ' END) AS process_key, event_type AS step_key, count(*) AS n FROM evs WHERE error IS NULL GROUP BY ALL",
+    "export_delimited": "SELECT strftime(o_orderdate + INTERVAL 1 HOUR, '%Y-%m') AS period, count(*) AS n, max(CAST((o_orderkey * 12345 + 50) // 100 // 100 AS VARCHAR) || ',' || lpad(CAST((o_orderkey * 12345 + 50) // 100 % 100 AS VARCHAR), 2, '0')) AS top_number, min(substr(o_orderpriority || ' / ' || o_orderstatus, 1, 12)) AS low_label FROM orders GROUP BY ALL",
+    "stream_intake": f"WITH {EVS} SELECT CASE WHEN event_id % 2 = 0 THEN 'web' ELSE ' web ' END AS process_key, event_type AS step_key, count(*) AS n FROM evs WHERE error IS NULL GROUP BY ALL",
     "dead_letters": f"WITH {EVS} SELECT error, 2 AS attempts, 'dead' AS status, count(*) + count(*) FILTER (WHERE event_id % 20 = 0) AS n FROM evs WHERE error IS NOT NULL GROUP BY ALL",
     "stream_instances": f"""WITH {web_sql(split=True)} SELECT process_key, document_uuid, document_version, coalesce(arg_max(step_key, (received_at, event_id)) FILTER (WHERE event_phase = 'after'), 'unknown') AS current_step_key,
   {sec('arg_min(occurred_at, (received_at, event_id))')} AS started_at, {sec('arg_max(occurred_at, (received_at, event_id))')} AS last_event_at, count(*) AS event_count FROM web GROUP BY process_key, document_uuid, document_version""",

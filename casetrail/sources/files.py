@@ -53,10 +53,17 @@ def rewrite_process(kept: DataFrame, path: str) -> None:
 
 def export_delimited(rows: DataFrame, path: str, sep: str = ";", encoding: str = "utf-8", by: str | None = "period") -> None:
     """Delimited text files, one folder per period; ``ansi`` writes windows-1252."""
+    if encoding == "ansi":
+        allow_ansi(rows.sparkSession)
     w = rows.write.mode("overwrite").option("header", True).option("sep", sep).option("encoding", ENCODINGS[encoding])
     (w.partitionBy(by) if by else w).csv(path)
 
 
+def allow_ansi(spark: SparkSession) -> None:
+    """Spark 4 accepts charsets beyond UTF and Latin-1 only with this setting."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def export_jdbc(rows: DataFrame, url: str, table: str, properties: dict[str, str] | None = None, mode: str = "append") -> None:
     """Columns into a database table through the driver the cluster provides."""
     rows.write.jdbc(url, table, mode=mode, properties=properties or {})
