@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from casetrail.functions import values as V
+from casetrail.sources.scratch import staged
 
 CASE = ["process_key", "document_uuid", "document_version"]
 HOT_CONF = "spark.casetrail.hotCaseRows"
@@ -55,14 +56,20 @@ def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame | None:
 
 
 def _axes(df: DataFrame, order: list[str]) -> list[Column]:
-    """Order columns that can be cut into pieces, as numbers (unknown = last)."""
+    """Leading order columns that can be cut into pieces, as numbers (unknown = last).
+
+    Stops at the first column of another type: pieces must follow the order."""
     out = []
     for name in order:
         kind = df.schema[name].dataType.typeName()
-        if kind == "timestamp":
-            out.append(F.unix_micros(name).cast("double"))
+        if kind in ("timestamp", "timestamp_ntz"):
+            out.append(F.unix_micros(F.col(name).cast("timestamp")).cast("double"))
+        elif kind == "date":
+            out.append(F.unix_date(name).cast("double"))
         elif kind in ("integer", "long", "short", "double"):
             out.append(F.coalesce(F.col(name), F.lit(LAST_ID)).cast("double"))
+        else:
+            break
     return out
 
 
@@ -70,12 +77,16 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "pos"
     """``row_number`` per group that also works when one group is huge.
 
     Large groups are cut along the leading order column into pieces; the row
-    number is the number inside the piece plus the rows of earlier pieces.
+    number is the number inside the piece plus the rows of earlier pieces.  Input
+    and result are then written once, as later steps read them several times.
     """
     if check and hot_keys(df, keys) is not None:
+        df = staged(df, "hot-rows")
         axes = _axes(df, order)
+        # The first axis is cut twice, so that a burst is spread as well.
         out = _numbered_hot(df, keys, order, name, axes[:1] + axes, 0)
-        return out.withColumn("block", F.floor((F.col(name) - 1) / hot_limit(df.sparkSession)).cast("int"))
+        block = F.floor((F.col(name) - 1) / hot_limit(df.sparkSession)).cast("int")
+        return staged(out.withColumn("block", block), "hot-numbered")
     w = Window.partitionBy(*keys).orderBy(*sort_by(order))
     return df.withColumn(name, F.row_number().over(w).cast("long"))
 
