@@ -95,7 +95,7 @@ def projection_summary(spark, d):
 
 def skipped_cases(spark, d):
     log = A.web_log(utc(spark), d).unionByName(A.order_log(spark, d))
-    used = cases.filter_time_window(cases.filter_phase(log), None, F.to_timestamp(F.lit("2024-01-05 00:00:00")))
+    used = cases.filter_time_window(cases.filter_phase(log), None, F.to_timestamp(F.lit("1999-01-01 00:00:00")))
     return graph.skipped_cases(log, used, "no_timeline_events")
 
 
@@ -135,7 +135,22 @@ def conflicting_transitions(spark, d):
 
 
 def discover_parallel_groups(spark, d):
-    e = _entries(spark, d)
+    """Web visits framed by an arrival and a departure event of each user's last week."""
+    log = cases.select_case_version(A.web_log(utc(spark), d)).withColumn("event_phase", F.lit("after"))
+    keys = [c for c in log.columns if c not in ("step_key", "event_key", "occurred_at", "received_at", "external_event_key", "event_id", "context")]
+
+    def frame(name, pick, shift):
+        at = F.timestamp_add("MINUTE", F.lit(shift), pick("occurred_at"))
+        f = log.groupBy(*keys).agg(at.alias("occurred_at"))
+        return f.withColumns(
+            {
+                "step_key": F.lit(name), "event_key": F.lit(name), "received_at": F.col("occurred_at"), "event_id": F.lit(None).cast("long"),
+                "external_event_key": F.concat(F.lit(name + "-"), "document_uuid"), "context": F.lit(None).cast("string"),
+            }
+        )
+
+    framed = log.unionByName(frame("arrive", F.min, -1)).unionByName(frame("leave", F.max, 1))
+    e = discovery.discovery_entries(discovery.discovery_timeline(framed))
     return discovery.discover_parallel_groups(e, discovery.discover_transitions(e))
 
 
@@ -287,13 +302,17 @@ SELECT document_uuid, seconds, 'heat-' || CAST(CASE WHEN lo = hi THEN 2 ELSE flo
 SELECT 'web' AS template_key, group_key, CAST(sum(completed) AS BIGINT) AS completed, {rnd('sum(avg_minutes) / count(*)', 2)} AS avg_minutes, CAST(sum(open) AS BIGINT) AS open, max(greatest(duration_intensity, backlog_age_intensity, backlog_count_intensity)) AS intensity
 FROM dur JOIN m USING (step_key) WHERE template_key = 'web' GROUP BY group_key""",
     "projection_summary": f"WITH {KPROJ} SELECT process_key AS template_key, count(DISTINCT document_uuid) AS cases, count(nxt) AS raw_pairs, CAST(sum(CASE WHEN nxt IS NULL OR edges = '' THEN 0 ELSE len(string_split(edges, ' ')) END) AS BIGINT) AS projected_edges, count(*) FILTER (WHERE classification = 'UNEXPECTED') AS unexpected_pairs FROM prj GROUP BY ALL",
-    "skipped_cases": f"WITH {LOG_SQL} SELECT process_key, count(*) AS skipped, 'no_timeline_events' AS reason FROM (SELECT process_key, document_uuid FROM log GROUP BY ALL HAVING count(*) FILTER (WHERE event_phase = 'after' AND occurred_at <= TIMESTAMP '2024-01-05') = 0) q GROUP BY ALL",
+    "skipped_cases": f"WITH {LOG_SQL} SELECT process_key, count(*) AS skipped, 'no_timeline_events' AS reason FROM (SELECT process_key, document_uuid FROM log GROUP BY ALL HAVING count(*) FILTER (WHERE event_phase = 'after' AND occurred_at <= TIMESTAMP '1999-01-01') = 0) q GROUP BY ALL",
     "normalize_step": "SELECT raw, lower(replace(replace(replace(replace(replace(replace(replace(trim(regexp_replace(raw, '\\s+', ' ', 'g')), 'Ä', 'Ae'), 'Ö', 'Oe'), 'Ü', 'Ue'), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')) AS step FROM (SELECT '  Größe ' || p_name || chr(9) || ' ÄÖÜ  ' || p_brand AS raw FROM part) q",
     "discover_steps": f"{D_LOG} SELECT process_key, step_key AS step, step_key AS label, count(DISTINCT document_uuid) AS cases FROM den GROUP BY ALL",
     "discover_transitions": f"{D_LOG} SELECT process_key, from_step, to_step, observed, confidence, from_step AS from_label FROM dtr",
     "discover_transitions_chat": f"WITH {CHAT_SQL}, {DTL.format(src='chat')} SELECT process_key, from_step, to_step, observed, confidence FROM dtr",
     "conflicting_transitions": f"{D_LOG}, {CONF} SELECT * FROM con",
-    "discover_parallel_groups": f"{D_LOG}, {CONF}, {UNIQ} SELECT * FROM pg",
+    "discover_parallel_groups": f"""WITH {web_sql('w0')}, w1 AS (SELECT * REPLACE ('after' AS event_phase) FROM w0 QUALIFY document_version = max(document_version) OVER (PARTITION BY document_uuid)),
+framed AS (SELECT process_key, document_uuid, document_version, step_key, event_phase, occurred_at, received_at, event_id, external_event_key FROM w1
+  UNION ALL SELECT 'web', document_uuid, document_version, 'arrive', 'after', min(occurred_at) - INTERVAL 1 MINUTE, min(occurred_at) - INTERVAL 1 MINUTE, NULL, 'arrive-' || document_uuid FROM w1 GROUP BY document_uuid, document_version
+  UNION ALL SELECT 'web', document_uuid, document_version, 'leave', 'after', max(occurred_at) + INTERVAL 1 MINUTE, max(occurred_at) + INTERVAL 1 MINUTE, NULL, 'leave-' || document_uuid FROM w1 GROUP BY document_uuid, document_version),
+{DTL.format(src='framed')}, {CONF}, {UNIQ} SELECT * FROM pg""",
     "discover_parallel_fallback": f"{D_LOG}, {CONF}, {UNIQ}, {FALL} SELECT process_key, left_step, right_step, forward, reverse, {rnd('least(forward, reverse) * 1.0 / (forward + reverse)')} AS confidence, cases FROM fb",
     "repeated_runs": f"{D_LOG}, {RUNS} SELECT process_key, step, step AS event_key, count(DISTINCT document_uuid) AS affected_cases, min(len) AS min_length, max(len) AS max_length, {rnd('sum(len) * 1.0 / count(*)', 2)} AS avg_length FROM rr WHERE len >= 2 GROUP BY ALL",
     "repeated_run_neighbours": f"{D_LOG}, {RUNS} SELECT process_key, step, 'previous' AS side, previous AS key, count(*) AS n FROM rr WHERE len >= 2 AND previous IS NOT NULL GROUP BY ALL UNION ALL SELECT process_key, step, 'following', following, count(*) FROM rr WHERE len >= 2 AND following IS NOT NULL GROUP BY ALL",

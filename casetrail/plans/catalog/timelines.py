@@ -22,6 +22,7 @@ from casetrail.plans.catalog.common import (
     web_sql,
     web_template,
 )
+from casetrail.plans.catalog.checks import FULL
 from casetrail.plans.check import check_processes
 from casetrail.sources import adapters as A
 
@@ -369,4 +370,5 @@ used AS (SELECT k.* FROM kent k JOIN elig e ON e.template_key = k.process_key AN
 SELECT template_key, 'flow>' || from_step || '>' || to_step AS item, observed, intensity AS value FROM flow
 UNION ALL SELECT template_key, 'step>' || step_key, completed, avg_minutes FROM dur
 UNION ALL SELECT process_key, 'documents_used', count(DISTINCT document_uuid), 0 FROM used GROUP BY process_key""",
+    "case_filter_by_status": f"{FULL} SELECT step_key, count(*) AS n, count(DISTINCT document_uuid) AS cases FROM web WHERE document_uuid IN (SELECT document_uuid FROM rows_ WHERE template_key = 'web' AND NOT (status = 'OK' AND context_issue_count = 0)) GROUP BY ALL",
 }

@@ -25,7 +25,7 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql()) | {"case_filter_by_status"}
+    assert set(entry.queries()) == set(entry.oracle_sql())
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the shared tables")
