@@ -11,7 +11,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, functions as F
 
 from casetrail.functions import values as V
-from casetrail.operators.cases import CASE, with_neighbours
+from casetrail.operators.cases import CASE, order_columns, with_neighbours
 from casetrail.operators.decisions import match_decision_rule
 from casetrail.operators.quantiles import exact_quantiles, value_counts
 from casetrail.plans.templates import END, START, Template, TemplateSet, small_table
@@ -242,10 +242,15 @@ def expected_graph(templates: TemplateSet) -> tuple[DataFrame, DataFrame]:
     return g.nodes(), g.edges()
 
 
-def project_transitions(timeline: DataFrame, templates: TemplateSet) -> DataFrame:
+def project_transitions(
+    timeline: DataFrame, templates: TemplateSet, order: str = "occurred-then-received"
+) -> DataFrame:
     """Each event with ``to_step``, ``to_at``, ``classification`` and ``edges``
-    (null for the last event of a case).  Needs ``ctx``."""
-    nxt = with_neighbours(timeline, next={"to_step": "step_key", "to_at": "occurred_at"})
+    (null for the last event of a case).  Needs ``ctx``; ``order`` is the order
+    the timeline was numbered by."""
+    nxt = with_neighbours(
+        timeline, next={"to_step": "step_key", "to_at": "occurred_at"}, order=order_columns(order)
+    )
     tagged = templates.expand(nxt)
     tagged = tagged.withColumn("rule_signature", signature(templates, V.as_object(F.col("ctx"))))
     looked = tagged.join(

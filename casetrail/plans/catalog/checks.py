@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from casetrail.functions import values as V
 from casetrail.operators import conformance, decisions, findings, signoff
 from casetrail.plans.catalog.common import BASE_SQL, templates, utc
-from casetrail.plans.check import case_entries, check_processes
+from casetrail.plans.check import case_entries, check_processes, step_entries
 from casetrail.sources import adapters as A
 
 KEY = ["template_key", "document_uuid", "document_version"]
@@ -18,8 +18,13 @@ def _entries(spark, d):
     return case_entries(log, A.log_snapshots(log), tpl), tpl
 
 
+def _steps(spark, d):
+    tpl = templates(spark)
+    return step_entries(A.full_log(utc(spark), d), tpl), tpl
+
+
 def _profiles(spark, d):
-    e, tpl = _entries(spark, d)
+    e, tpl = _steps(spark, d)
     return conformance.case_profiles(e, tpl)
 
 
@@ -44,7 +49,7 @@ def missing_steps(spark, d):
 
 
 def unexpected_steps(spark, d):
-    e, tpl = _entries(spark, d)
+    e, tpl = _steps(spark, d)
     return conformance.unexpected_steps(e, tpl).select(*KEY, "message", "ordinal")
 
 
@@ -53,7 +58,7 @@ def wrong_order(spark, d):
 
 
 def transition_violations(spark, d):
-    e, tpl = _entries(spark, d)
+    e, tpl = _steps(spark, d)
     return conformance.transition_violations(e, tpl).select(*KEY, "ordinal", "message", "from_step", "actual_step")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from casetrail.operators import cases, conformance, decisions, findings, signoff
 from casetrail.plans.templates import TemplateSet
@@ -26,15 +26,31 @@ class ProcessCheck:
     status: DataFrame
 
 
+def templated(events: DataFrame, templates: TemplateSet) -> DataFrame:
+    """Events of processes that have a template; a short list prunes log partitions."""
+    names = sorted({t.process_key for t in templates})
+    if len(names) <= 1000:
+        return events.filter(F.col("process_key").isin(*names))
+    return events.join(templates.processes().select("process_key").distinct(), "process_key", "left_semi")
+
+
 def case_entries(
     events: DataFrame, snapshots: DataFrame, templates: TemplateSet, version="latest", order="occurred-then-received"
 ) -> DataFrame:
     """Collapsed entries of every case a template exists for."""
-    known = events.join(templates.processes().select("process_key").distinct(), "process_key", "left_semi")
+    known = templated(events, templates)
     timeline = cases.case_timeline(cases.attach_snapshots(known, snapshots), version=version, order=order)
     return cases.collapse_repeats(timeline, templates.context_fields(), order)
 
 
+def step_entries(
+    events: DataFrame, templates: TemplateSet, version="latest", order="occurred-then-received"
+) -> DataFrame:
+    """Entries for the checks that look at steps only: no contexts, no aggregation."""
+    known = templated(events, templates)
+    return cases.run_starts(cases.case_timeline(known, version=version, order=order), order=order)
+
+
 def check_processes(
     events: DataFrame,
     snapshots: DataFrame,
