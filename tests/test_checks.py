@@ -49,3 +49,10 @@ def test_missing_snapshot_makes_the_decision_uncheckable(spark):
     log = make_log(spark, {"4": LOG["4"]}, day="2026-07-08")
     c = check_processes(log, snapshots_of(log), TemplateSet(spark, [INCIDENT]), stage=False)
     assert rows(c.status, "status", "context_status") == [("UNCHECKABLE_CONTEXT_MISSING", "UNCHECKABLE_CONTEXT_MISSING")]
+
+
+def test_missing_decision_context_is_a_warning(spark):
+    log = make_log(spark, {"1": LOG["1"]}, context={"1": {"data_exposure": False, "category": ""}}, day="2026-07-08")
+    c = check_processes(log, snapshots_of(log), TemplateSet(spark, [INCIDENT]), stage=False)
+    assert rows(c.findings, "message") == [("Missing context for decision point routing: category",)]
+    assert rows(c.status, "status", "report_status", "problem_score") == [("DEVIATION", "WARNING", 0)]
