@@ -10,13 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 FOLDER_CONF = "spark.checkpoint.dir"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; a local one only where that is unset."""
+def _base(spark: SparkSession) -> str:
     base = spark.conf.get(FOLDER_CONF, None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="casetrail-")
-        spark.conf.set(FOLDER_CONF, base)
-    return f"{base.rstrip('/')}/casetrail/{name}-{uuid.uuid4().hex}"
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"set {FOLDER_CONF} to a folder that the driver and all executors share")
+    base = tempfile.mkdtemp(prefix="casetrail-")  # one machine only: driver and executors are one process
+    spark.conf.set(FOLDER_CONF, base)
+    return base
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below ``spark.checkpoint.dir``; raises on a cluster where that is unset."""
+    return f"{_base(spark)}/casetrail/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -24,3 +31,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove every working table of this application; call it when no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{_base(spark)}/casetrail/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

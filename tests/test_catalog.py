@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from casetrail.plans import catalog
 from tools.compare import TABLES, rows
 
 DATA = "/root/testdata/sf0.001"
@@ -25,7 +26,7 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the shared tables")
