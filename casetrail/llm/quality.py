@@ -157,7 +157,7 @@ def _worth(x: np.ndarray, bad: np.ndarray, rule: list) -> float:
 
 
 def learn_rules(
-    stats: pd.DataFrame, precision: float = 0.9, least: int = 3, longest: int = 4, seed: int = 7
+    stats: pd.DataFrame, precision: float = 0.9, least: int = 10, longest: int = 4, seed: int = 7
 ) -> list[list[tuple[str, bool, float]]]:
     """Ordered rules for rejection, each a conjunction of (ratio, above?, threshold).
 
@@ -186,7 +186,7 @@ def learn_rules(
         if len(pb):
             rule = max((rule[: k + 1] for k in range(len(rule))), key=lambda r: (_worth(px, pb, r), -len(r)))
         hit = left & _covers(x, rule)
-        right = [bad[hit & part].mean() if (hit & part).any() else 1.0 for part in (grow, ~grow)]
+        right = [bad[hit & part].mean() if (hit & part).sum() >= least / 3 else 0.0 for part in (grow, ~grow)]
         if hit.sum() < least or min(right) < precision:
             break
         rules.append([(names[f], above, cut) for f, above, cut in rule])
