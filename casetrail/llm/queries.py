@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casetrail.llm import near, quality
+from casetrail.llm import near, quality, secrets, spans
 from casetrail.llm.common import read
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return spans.digest(secrets.find_secrets(docs, secrets.train(docs)), secrets.KINDS)
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -20,7 +25,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_near_duplicates, op9_quality_rules)
+    f.__name__: f for f in (op1_secret_scan, op6_near_duplicates, op9_quality_rules)
 }
 SQL: dict[str, str] = {}
 
