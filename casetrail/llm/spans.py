@@ -28,9 +28,12 @@ def joined(spans: Column | str) -> Column:
 
 def digest(found: DataFrame, kinds: list[str]) -> DataFrame:
     """doc_id, a count per kind, base_sha256 and spans from the columns ``base`` and ``spans``."""
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
-        "doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans")
+        "doc_id", *map(count, kinds), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans")
     )
 
 
