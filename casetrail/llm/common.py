@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from casetrail.sources.scratch import scratch_path, staged
 
-__all__ = ["batches", "plain", "read", "running_total", "scratch_path", "spread", "staged", "text_of", "uniform"]
+__all__ = ["batches", "plain", "ranked_total", "read", "running_total", "scratch_path", "spread", "staged", "text_of", "uniform"]
 
 #: Resolution of ``uniform``.
 UNIFORM = 1 << 40
@@ -73,3 +73,19 @@ def running_total(df: DataFrame, keys: list[str], u: str, parts: str, amount: st
         .withColumn(out, F.col("_base") + F.coalesce(F.sum(amount).over(inside), F.lit(0)))
         .drop("_range", "_base")
     )
+
+
+def ranked_total(df: DataFrame, order: list[str], amounts: dict[str, str], name: str) -> DataFrame:
+    """For every entry of ``amounts`` (new column: summed column), the sum over all earlier rows in ``order``.
+
+    Ranges of the order are sorted each by itself; their sums (one row per range) are then added up.
+    """
+    cut = staged(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), name)
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy("_part").agg(*[F.sum(c).alias(f"_{o}") for o, c in amounts.items()])
+    base = sums.select("_part", *[F.coalesce(F.sum(f"_{o}").over(upto), F.lit(0)).alias(f"_{o}") for o in amounts])
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = cut.join(F.broadcast(base), "_part")  # as many rows as shuffle partitions
+    for o, c in amounts.items():
+        out = out.withColumn(o, F.col(f"_{o}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).drop(f"_{o}")
+    return out.drop("_part")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casetrail.llm import near, quality, secrets, spans
+from casetrail.llm import mixing, near, packing, quality, secrets, spans
 from casetrail.llm.common import read
 
 
@@ -15,19 +15,27 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.digest(secrets.find_secrets(docs, secrets.train(docs)), secrets.KINDS)
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_sequences(read(spark, sf_dir, "documents"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return out.select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op6_near_duplicates, op9_quality_rules)
+    f.__name__: f for f in (op1_secret_scan, op5_best_fit_packing, op6_near_duplicates, op8_source_mix, op9_quality_rules)
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_source_mix": mixing.ORACLE}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
