@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casetrail.llm import quality
+from casetrail.llm import mixing, near, packing, quality, secrets
 from casetrail.llm.common import read, staged
 
 
@@ -13,8 +13,34 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, read(spark, sf_dir, "labels"))
 
 
-STAGES = [("quality rules", quality_rules)]
-#: Several stages are learned or use tokenizers, which SQL cannot express.
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return near.keep_one(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked."""
+    return secrets.mask_secrets(docs, secrets.train(docs))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's budget takes them."""
+    return mixing.mixed_corpus(docs)
+
+
+def packing_plan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their sequence and place."""
+    return packing.packed_sequences(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near-duplicates", near_duplicates),
+    ("secret scan", secret_scan),
+    ("source mix", source_mix),
+    ("best-fit packing", packing_plan),
+]
+#: Several stages are learned or use a tokenizer, which SQL cannot express.
 ORACLE_SQL = None
 
 
