@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casetrail.llm import mixing, near, packing, quality, secrets, spans
+from casetrail.llm import fingerprints, mixing, near, packing, quality, secrets, spans
 from casetrail.llm.common import read
 
 
@@ -32,8 +32,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op10_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op5_best_fit_packing, op6_near_duplicates, op8_source_mix, op9_quality_rules)
+    f.__name__: f for f in (op1_secret_scan, op5_best_fit_packing, op6_near_duplicates, op8_source_mix, op9_quality_rules, op10_weighted_fingerprints)
 }
 SQL: dict[str, str] = {"op8_source_mix": mixing.ORACLE}
 
