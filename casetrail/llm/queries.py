@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casetrail.llm import fingerprints, mixing, near, packing, quality, secrets, spans, substrings
+from casetrail.llm import fingerprints, mixing, near, packing, pages, quality, secrets, spans, substrings
 from casetrail.llm.common import read
 
 
@@ -15,6 +15,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.digest(secrets.find_secrets(docs, secrets.train(docs)), secrets.KINDS)
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = read(spark, sf_dir, "pages")
+    return pages.extract(raw, pages.train(raw))
+
+
 def op3_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(read(spark, sf_dir, "documents"))
 
@@ -41,7 +46,7 @@ def op10_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op3_repeated_substrings, op5_best_fit_packing, op6_near_duplicates, op8_source_mix, op9_quality_rules, op10_weighted_fingerprints)
+    f.__name__: f for f in (op1_secret_scan, op2_main_text, op3_repeated_substrings, op5_best_fit_packing, op6_near_duplicates, op8_source_mix, op9_quality_rules, op10_weighted_fingerprints)
 }
 SQL: dict[str, str] = {"op8_source_mix": mixing.ORACLE}
 
