@@ -7,7 +7,7 @@ ROWS minima are bucket keys: two sets of similarity 0.75 share no bucket with pr
 Documents with equal sets are one class from the start, so copies never meet in a bucket. A bucket proposes a star (each
 member with one centre), never its pairs. Proposed links are checked on whole sets. Where a bucket then still holds
 more than one component, further rounds propose stars around other centres: all members outside the centre's component
-with that centre, and among themselves with one of their own. Rounds go on until two in a row find no new link.
+with that centre, and among themselves with one of their own. Rounds go on until QUIET in a row find no new link.
 
 Defined cases: null and empty texts have the empty set, are linked with nothing and kept; rows without doc_id are linked
 with nothing; rows that repeat a doc_id are judged by their own texts; further columns are ignored; an empty table
@@ -81,8 +81,9 @@ def sketches(docs: DataFrame) -> DataFrame:
     return batches(rows, make, "doc_id long, n_shingles long, set_id binary, bands array<long>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of ``pairs`` (a, b), those whose full sets are alike. A frequent ``b`` is a skewed join, which Spark splits."""
+def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of ``pairs`` (a, b), those whose full sets are alike; ``texts`` has (node, text). A frequent ``b`` is a skewed
+    join, which Spark splits."""
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         got = [shingle_set(t).tobytes() for t in batch.column("text").to_pylist()]
@@ -97,56 +98,73 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         return batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_of().alias("text")).join(nodes, "node", "left_semi")
-    known = staged(batches(texts, sets, "node long, hashes binary"), "near-sets")
+    known = staged(batches(texts.join(nodes, "node", "left_semi"), sets, "node long, hashes binary"), "near-sets")
     with_a = pairs.join(known.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
     with_both = with_a.join(known.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
-    return batches(with_both, compare, "a long, b long").distinct()
+    return staged(batches(with_both, compare, "a long, b long").distinct(), "near-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp (the smallest node reachable) for all nodes of ``edges`` (a, b): alternating large and small stars."""
+    """node, label (the smallest node reachable) for all nodes of ``edges`` (a, b): alternating large and small stars."""
     e = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-edges")
     seen = None
     while True:
+        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == seen or not now[0]:
+            return e.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        seen = now
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "near-low")
-        large = both.filter("b > a").join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = staged(large, "near-large")
-        low = staged(large.groupBy("a").agg(F.min("b").alias("m")), "near-low")
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.filter("b > a").join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
         down = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = staged(down.union(low.select("a", F.col("m").alias("b"))).distinct(), "near-edges")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
-    return e.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+
+
+def first_labels(links: DataFrame) -> DataFrame:
+    """Components of stars (member, centre): a member has few centres, so members tie centres together, and only the
+    much smaller graph of centres is searched."""
+    main = staged(links.groupBy("member").agg(F.min("centre").alias("main")), "near-main")
+    ties = links.join(main, "member").filter("centre <> main").select(F.col("centre").alias("a"), F.col("main").alias("b"))
+    # a centre may be a member elsewhere
+    both = main.join(links.select("centre").distinct(), F.col("member") == F.col("centre"), "left_semi")
+    merged = components(ties.union(both.select(F.col("member").alias("a"), F.col("main").alias("b"))))
+    own = links.select(F.col("centre").alias("node"), F.col("centre").alias("label")).distinct()
+    own = own.join(main.select(F.col("member").alias("node")), "node", "left_anti")
+    return relabelled(main.select(F.col("member").alias("node"), F.col("main").alias("label")).union(own), merged)
+
+
+def relabelled(labels: DataFrame, merged: DataFrame) -> DataFrame:
+    to = merged.select(F.col("node").alias("label"), F.col("label").alias("_to"))
+    return staged(labels.join(to, "label", "left").select("node", F.coalesce("_to", "label").alias("label")), "near-labels")
 
 
 def _stars(rows: DataFrame, seed: int) -> DataFrame:
-    """Pairs to check in buckets of several components: (band, node, comp) in, (a, b) out."""
+    """Pairs to check in buckets of several components: (band, node, label) in, (a, b) out."""
     order = F.xxhash64(F.lit(seed), "node")
 
     def star(rows: DataFrame) -> DataFrame:
-        centre = rows.groupBy("band").agg(F.min_by("node", order).alias("b"), F.min_by("comp", order).alias("of"))
-        return rows.join(staged(centre, "near-centres"), "band").filter("comp <> of").select("band", "node", "comp", "b")
+        centre = rows.groupBy("band").agg(F.min_by("node", order).alias("b"), F.min_by("label", order).alias("of"))
+        return rows.join(staged(centre, "near-centres"), "band").filter("label <> of").select("band", "node", "label", "b")
 
     outside = staged(star(rows), "near-outside")
-    among = star(outside.select("band", "node", "comp"))
+    among = star(outside.select("band", "node", "label"))
     return outside.select("node", "b").union(among.select("node", "b")).select(
         F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")
     ).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept."""
-    known = staged(sketches(docs), "near-sketches")
-    classes = staged(
-        known.filter("set_id is not null and doc_id is not null")
-        .groupBy("set_id")
-        .agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")),
+def _classes(known: DataFrame) -> DataFrame:
+    """set_id, node (its smallest doc_id), bands, n of every class of equal sets."""
+    rows = known.filter("set_id is not null and doc_id is not null")
+    return staged(
+        rows.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")),
         "near-classes",
     )
+
+
+def component_labels(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, label of the nodes that are linked with another."""
     keys = classes.select("node", "n", F.explode("bands").alias("band"))
     order = F.xxhash64(F.lit(0), "node")
     centres = keys.groupBy("band").agg(
@@ -154,33 +172,47 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     centres = staged(centres.filter("members > 1").drop("members"), "near-centres")
     shared = staged(keys.join(centres, "band"), "near-shared")
+    rows = docs.select(F.col("doc_id").cast("long").alias("node"), text_of().alias("text"))
+    texts = staged(rows.join(shared.select("node").distinct(), "node", "left_semi"), "near-texts")
     fits = F.expr(f"100 * least(n, n_centre) >= {THRESHOLD} * greatest(n, n_centre)")
-    pairs = shared.filter(fits & (F.col("node") != F.col("centre"))).select(
-        F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")
-    )
-    checked = staged(pairs.distinct(), "near-pairs")
-    links = staged(confirm(checked, docs), "near-links")
-    comps = components(links)
-    open_rows, quiet, seed = shared.select("band", "node"), 0, 0
+    stars = shared.filter(fits & (F.col("node") != F.col("centre"))).select("node", "centre").distinct()
+    checked = staged(stars.select(F.col("node").alias("a"), F.col("centre").alias("b")), "near-pairs")
+    links = confirm(checked, texts)
+    labels = first_labels(links.select(F.col("a").alias("member"), F.col("b").alias("centre")))
+    checked = checked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    rows, quiet, seed = shared.select("band", "node"), 0, 0
     while quiet < QUIET:
         seed += 1
-        placed = open_rows.select("band", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        placed = rows.select("band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         placed = staged(placed, "near-placed")
-        mixed = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band")
-        open_rows = staged(placed.join(staged(mixed, "near-mixed"), "band"), "near-open")
-        new = staged(_stars(open_rows, seed).join(checked, ["a", "b"], "left_anti"), "near-pairs")
+        mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
+        rows = staged(placed.join(staged(mixed, "near-mixed"), "band"), "near-open")
+        new = staged(_stars(rows, seed).join(checked, ["a", "b"], "left_anti"), "near-pairs")
         if new.isEmpty():
             break
-        found = staged(confirm(new, docs), "near-links")
+        found = confirm(new, texts)
         checked = checked.union(new)
         if found.isEmpty():
             quiet += 1
             continue
         quiet = 0
-        links = links.union(found)
-        comps = components(links)
+        label = rows.select("node", "label").distinct()
+        ties = found.join(label.withColumnsRenamed({"node": "a", "label": "la"}), "a").join(label.withColumnsRenamed({"node": "b", "label": "lb"}), "b")
+        merged = components(ties.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        met = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
+        labels = relabelled(labels.union(met.select("node", F.col("node").alias("label"))), merged)
+    return labels
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept."""
+    known = staged(sketches(docs), "near-sketches")
+    classes = _classes(known)
+    labels = component_labels(docs, classes)
+    smallest = staged(labels.groupBy("label").agg(F.min("node").alias("component_id")), "near-smallest")
+    comps = labels.join(smallest, "label").select("node", "component_id")
     placed = classes.select("set_id", "node").join(comps, "node", "left")
-    by_set = staged(placed.select("set_id", F.coalesce("comp", "node").alias("component_id")), "near-classes")
+    by_set = staged(placed.select("set_id", F.coalesce("component_id", "node").alias("component_id")), "near-classes")
     out = known.select("doc_id", "n_shingles", "set_id").join(by_set, "set_id", "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id")).withColumn(

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casetrail.llm import fingerprints, mixing, near, packing, pages, quality, secrets, spans, substrings
-from casetrail.llm.common import read
+from casetrail.llm import fingerprints, mixing, near, packing, pages, quality, secrets, spans, substrings, training_order
+from casetrail.llm.common import read, scratch_path
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,12 @@ def op3_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(read(spark, sf_dir, "documents"))
 
 
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "training-order")
+    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    return training_order.write_training_order(read(spark, sf_dir, "documents"), folder)[1]
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_sequences(read(spark, sf_dir, "documents"))
 
@@ -46,7 +52,7 @@ def op10_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_main_text, op3_repeated_substrings, op5_best_fit_packing, op6_near_duplicates, op8_source_mix, op9_quality_rules, op10_weighted_fingerprints)
+    f.__name__: f for f in (op1_secret_scan, op2_main_text, op3_repeated_substrings, op4_training_order, op5_best_fit_packing, op6_near_duplicates, op8_source_mix, op9_quality_rules, op10_weighted_fingerprints)
 }
 SQL: dict[str, str] = {"op8_source_mix": mixing.ORACLE}
 
