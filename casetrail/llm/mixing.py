@@ -53,12 +53,11 @@ def budgets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     capped = ranked.select(*KEYS, "_n", "_words", cap, weight.cast("long").alias("_weight"))
     capped = capped.withColumn("_ratio", F.col("_cap") / F.col("_weight"))
     filled = staged(ranked_total(capped, ["_ratio", *KEYS], {"_caps": "_cap", "_weights": "_weight"}, "mix-caps"), "mix-filled")
-    whole = filled.agg((F.lit(share) * F.sum("_words")).alias("_budget"), F.sum("_weight").alias("_all"))
-    level = filled.join(F.broadcast(whole)).agg(  # one row
-        F.max((F.col("_budget") - F.col("_caps")) / (F.col("_all") - F.col("_weights"))).alias("_level")
-    )
-    target = F.least(F.col("_cap").cast("double"), F.col("_level") * F.col("_weight"))
-    out = filled.join(F.broadcast(level)).select(*KEYS, "_n", "_words", target.alias("_target"))
+    words, everything = filled.agg(F.coalesce(F.sum("_words"), F.lit(0)), F.coalesce(F.sum("_weight"), F.lit(0))).first()
+    filling = (F.lit(share * words) - F.col("_caps")) / (F.lit(everything) - F.col("_weights"))
+    level = filled.agg(F.max(filling)).first()[0] or 0.0
+    target = F.least(F.col("_cap").cast("double"), F.lit(level) * F.col("_weight"))
+    out = filled.select(*KEYS, "_n", "_words", target.alias("_target"))
     return out.withColumn("_take", F.floor(F.col("_target") + 0.5).cast("long"))
 
 

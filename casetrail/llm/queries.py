@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casetrail.llm import fingerprints, mixing, near, packing, pages, quality, secrets, spans, substrings, training_order
+from casetrail.llm import fingerprints, mixing, near, packing, pages, pii, quality, secrets, spans, substrings, training_order
 from casetrail.llm.common import read, scratch_path
 
 
@@ -38,6 +38,11 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return spans.digest(pii.find_personal(docs, pii.train(docs)), pii.KINDS)
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -52,7 +57,7 @@ def op10_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_main_text, op3_repeated_substrings, op4_training_order, op5_best_fit_packing, op6_near_duplicates, op8_source_mix, op9_quality_rules, op10_weighted_fingerprints)
+    f.__name__: f for f in (op1_secret_scan, op2_main_text, op3_repeated_substrings, op4_training_order, op5_best_fit_packing, op6_near_duplicates, op7_personal_data, op8_source_mix, op9_quality_rules, op10_weighted_fingerprints)
 }
 SQL: dict[str, str] = {"op8_source_mix": mixing.ORACLE}
 
