@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
 from casetrail.sources.scratch import scratch_path, staged
 
-__all__ = ["batches", "plain", "ranked_total", "read", "running_total", "scratch_path", "spread", "staged", "text_of", "uniform"]
+__all__ = ["batches", "plain", "ranked_total", "read", "running_total", "scratch_path", "spread", "staged", "text_of", "uniform", "unused"]
 
 #: Resolution of ``uniform``.
 UNIFORM = 1 << 40
@@ -24,12 +25,20 @@ def plain(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores put before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def text_of(column: str = "text") -> Column:
     """Null counts as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def batches(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def batches(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """``make`` on every Arrow batch; it sees whole rows, never more than a batch of them."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

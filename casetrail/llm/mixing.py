@@ -96,18 +96,20 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def mixed_corpus(docs: DataFrame) -> DataFrame:
     """The mix itself: whole documents as often as taken; one cut by a budget ends with the words taken, one blank apart."""
-    names = docs.columns
-    rows = sized(docs)
+    rest_of = [c for c in docs.columns if c not in ("text", "n_chars")]
+    rows = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row"))
+    rows = sized(rows)
     sources = staged(budgets(rows.select("_size", *KEYS)), "mix-budgets")
     mixed = _mix(rows, sources).filter("_taken > 0")
     whole, rest = F.expr("_taken div _size"), F.expr("_taken % _size").cast("int")
     copies = mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), (whole + (rest > 0).cast("int")).cast("int"))))
     words = F.regexp_extract_all(text_of(), F.lit(WORD), F.lit(0))
     cut = F.col("_copy") > whole
-    out = copies.withColumn("text", F.when(cut, F.array_join(F.slice(words, 1, F.greatest(rest, F.lit(1))), " ")).otherwise(F.col("text")))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in names])
+    text = F.when(cut, F.array_join(F.slice(words, 1, F.greatest(rest, F.lit(1))), " ")).otherwise(F.col("text")).alias("text")
+    made = {c: F.col("_row")[c].alias(c) for c in rest_of} | {"text": text}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.when(cut, F.length(text).cast("long")).otherwise(F.col("_row")["n_chars"]).alias("n_chars")
+    return copies.select(*[made[c] for c in docs.columns])
 
 
 ORACLE = r"""

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from casetrail.llm.common import batches, staged, text_of
+from casetrail.llm.common import batches, staged, text_of, unused
 from casetrail.llm.shingles import mix, shingle_set
 
 BINS = 256
@@ -222,7 +222,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each component, with all its columns."""
-    gone = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return left.withColumn("_first", first).filter("_first = 1 or doc_id is null").drop("_first")
+    gone, first = unused(docs, "_gone"), unused(docs, "_first")
+    out = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    left = docs.join(out, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    return left.withColumn(first, number).filter((F.col(first) == 1) | F.col("doc_id").isNull()).drop(first)

@@ -16,9 +16,9 @@ import operator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from casetrail.llm.common import batches, plain, text_of
+from casetrail.llm.common import batches, plain, text_of, unused
 
 #: Labelled documents that the rules are learned from, at most; chosen by a hash of their id.
 SAMPLE = 20_000
@@ -225,15 +225,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with all their columns."""
     rules = learn_rules(labelled_statistics(docs, labels, sample))
-    names, shape = docs.columns, docs.schema
+    text, stats = unused(docs, "_text"), unused(docs, "_stats")
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [measure(t or "") for t in batch.column("_text").to_pylist()]
+        rows = [measure(t) for t in batch.column(text).to_pylist()]
         cols = list(zip(*rows, strict=True)) or [[] for _ in COUNTS + MORE]
-        stats = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], names=COUNTS + MORE)
-        return batch.drop_columns(["_text"]).append_column("_stats", stats)
+        counts = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], names=COUNTS + MORE)
+        return batch.drop_columns([text]).append_column(stats, counts)
 
-    struct = "struct<" + ", ".join(f"{c}: bigint" for c in COUNTS + MORE) + ">"
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape)
-    seen = batches(docs.withColumn("_text", text_of()), make, f"{types}, _stats {struct}")
-    return seen.filter(verdict(rules, "_stats.")).select(*[F.col(f"`{c}`") for c in names])
+    struct = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS + MORE])
+    seen = batches(docs.withColumn(text, text_of()), make, T.StructType([*docs.schema.fields, T.StructField(stats, struct)]))
+    return seen.filter(verdict(rules, f"{stats}.")).drop(stats)

@@ -252,12 +252,12 @@ def find_secrets(docs: DataFrame, network: CharNetwork) -> DataFrame:
 
 def mask_secrets(docs: DataFrame, network: CharNetwork) -> DataFrame:
     """``docs`` with every marked stretch of ``text`` replaced by MASK, and n_chars (if there) of the new text."""
+
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         at = batch.schema.get_field_index("text")
         texts = [t or "" for t in batch.column(at).to_pylist()]
         new = [S.masked(t, x, MASK) if x else t for t, (_, x) in zip(texts, scan(texts, network), strict=True)]
         return batch.set_column(at, "text", pa.array(new, batch.schema.field(at).type))
 
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = batches(docs, make, shape)
+    out = batches(docs, make, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
