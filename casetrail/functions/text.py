@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from casetrail.functions.values import NUMERIC_TEXT, trimmed
+
 DEFAULT_ZONE = "Europe/Berlin"
 
 # Letter replacements of a normalised step name.
@@ -25,7 +27,7 @@ def parse_event_time(raw: Column, zone: str = DEFAULT_ZONE) -> Column:
     A ``+`` lost in form encoding is restored; text without an offset is read
     in ``zone``.  The session time zone must be UTC.
     """
-    t = F.trim(raw)
+    t = trimmed(raw)
     t = F.regexp_replace(t, r"(T\d{2}:\d{2}:\d{2})\s(\d{2}:\d{2})$", "$1+$2")
     t = F.regexp_replace(t, r"(T\d{2}:\d{2}:\d{2})\s([+-]\d{2}:\d{2})$", "$1$2")
     t = F.regexp_replace(t, r"(:\d{2}(?:\.\d+)?)([+-]\d{2})(\d{2})$", "$1$2:$3")
@@ -69,6 +71,13 @@ def _leading_number(text: Column) -> Column:
     return F.coalesce(head.try_cast("double"), F.lit(0.0))
 
 
+def _loosely_equal(text: Column, operand: str) -> Column:
+    """Numbers written as text compare as numbers, anything else as text."""
+    both = text.rlike(NUMERIC_TEXT) & F.lit(operand).rlike(NUMERIC_TEXT)
+    numbers = trimmed(text).try_cast("double") == trimmed(F.lit(operand)).try_cast("double")
+    return F.when(both, numbers).otherwise(text == F.lit(operand))
+
+
 def fmt_if(text: Column, branches: list[tuple[str, str, str]], default: str) -> Column:
     """First matching branch of (operator, operand, result).
 
@@ -87,7 +96,7 @@ def fmt_if(text: Column, branches: list[tuple[str, str, str]], default: str) ->
             "LE": num <= bound,
             "G": num > bound,
             "GE": num >= bound,
-            "E": text == F.lit(operand),
+            "E": _loosely_equal(text, operand),
         }[op]
         out = F.when(cond, F.lit(result)) if out is None else out.when(cond, F.lit(result))
     return F.lit(default) if out is None else out.otherwise(F.lit(default))
@@ -97,7 +106,7 @@ def clean_export_text(text: Column, max_length: int | None = None) -> Column:
     """Line breaks and tabs to blanks, pipe to `` / ``, blanks squeezed, cut to length."""
     out = F.regexp_replace(text, r"\r\n|\r|\n|\t", " ")
     out = F.replace(out, F.lit("|"), F.lit(" / "))
-    out = F.regexp_replace(F.trim(out), " {2,}", " ")
+    out = F.regexp_replace(trimmed(out), " {2,}", " ")
     if max_length is not None and max_length > 0:
         out = F.substring(out, 1, max_length)
     return out

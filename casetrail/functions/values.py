@@ -14,13 +14,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 NUMERIC_TEXT = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
+def trimmed(text: Column | str) -> Column:
+    """Without blanks, tabs, line ends, NUL and vertical tabs at either end."""
+    return F.btrim(text, F.lit(" \t\n\r\0\x0b"))
+
+
 def path(name: str) -> str:
     return '$["' + name.replace("\\", "\\\\").replace('"', '\\"') + '"]'
 
 
 def as_object(context: Column) -> Column:
     """VARIANT of a JSON object; null when the text is null, invalid or no object."""
-    return F.when(F.ltrim(context).startswith("{"), F.try_parse_json(context))
+    return F.when(trimmed(context).startswith("{"), F.try_parse_json(context))
 
 
 def field(obj: Column, name: str) -> Column:
@@ -90,7 +95,7 @@ def explode_fields(df: DataFrame, obj: str) -> DataFrame:
 
 
 def _num(text: Column) -> Column:
-    return F.when(text.rlike(NUMERIC_TEXT), F.trim(text).try_cast("double"))
+    return F.when(text.rlike(NUMERIC_TEXT), trimmed(text).try_cast("double"))
 
 
 def _literal_kind(value) -> str:
@@ -184,7 +189,7 @@ def loose_equal(v: Column, expected) -> Column:
         same_kind = "null" if want == "null" else "array"
         return F.coalesce((kind == same_kind) & (value_text(v) == F.lit(canonical(expected))), F.lit(False))
 
-    low = F.lower(F.trim(text))
+    low = F.lower(trimmed(text))
     as_bool = (
         F.when(kind == "bool", F.try_variant_get(v, "$", "boolean"))
         .when((kind == "int") & (text == "1"), F.lit(True))

@@ -67,7 +67,9 @@ def _axes(df: DataFrame, order: list[str]) -> list[Column]:
         elif kind == "date":
             out.append(F.unix_date(name).cast("double"))
         elif kind in ("integer", "long", "short", "double"):
-            out.append(F.coalesce(F.col(name), F.lit(LAST_ID)).cast("double"))
+            # as ``sort_by`` has it: unknown event ids last, other unknown numbers first
+            known = F.coalesce(F.col(name), F.lit(LAST_ID)) if name == "event_id" else F.col(name)
+            out.append(known.cast("double"))
         else:
             break
     return out
@@ -98,7 +100,7 @@ def _numbered_hot(df, keys, order, name, axes, level) -> DataFrame:
         return df.withColumn(name, F.row_number().over(w).cast("long"))
     axis, piece = axes[level], f"_piece{level}"
     span = (
-        df.join(F.broadcast(hot), keys)
+        null_safe_join(df, hot, keys)
         .groupBy(*keys)
         .agg(F.min(axis).alias("_lo"), F.max(axis).alias("_hi"), F.first("_n").alias("_n"))
         .withColumn("_grid", F.least(F.lit(100_000), F.ceil(F.col("_n") / hot_limit(df.sparkSession)) * 8))
@@ -106,7 +108,7 @@ def _numbered_hot(df, keys, order, name, axes, level) -> DataFrame:
     )
     grid = F.floor((axis - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1.0)) * F.col("_grid"))
     cut = (
-        df.join(F.broadcast(span), keys, "left")
+        null_safe_join(df, span, keys, "left")
         .withColumn(piece, F.coalesce(grid, F.lit(0)).cast("int"))
         .drop("_lo", "_hi", "_grid")
     )
@@ -119,12 +121,19 @@ def _numbered_hot(df, keys, order, name, axes, level) -> DataFrame:
     )
     inner = _numbered_hot(cut, keys + [piece], order, name, axes, level + 1)
     return (
-        inner.join(before, keys + [piece])
+        null_safe_join(inner, before, keys + [piece])
         .withColumn(name, F.col(name) + F.col("_before"))
         .drop("_before", piece)
     )
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where unknown equals unknown."""
+    other = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(other, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def is_split(df: DataFrame) -> bool:
     return "block" in df.columns
 
@@ -213,7 +222,7 @@ def with_case_value(df: DataFrame, aggregate: Column, name: str, keys: list[str]
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_b"))))
         .drop("_b")
     )
-    return df.join(per_block, keys + ["block"])
+    return null_safe_join(df, per_block, keys + ["block"])
 
 
 # ---------------------------------------------------------------- timelines
@@ -287,7 +296,7 @@ def case_timeline(
 
 def order_timeline(events: DataFrame, order: str = "occurred-then-received") -> DataFrame:
     """All events of each (process, case, version), numbered in the given order."""
-    return case_timeline(events, version="all", order=order)
+    return case_timeline(events, version="all", order=order).drop("block")
 
 
 def attach_snapshots(events: DataFrame, snapshots: DataFrame) -> DataFrame:

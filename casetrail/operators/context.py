@@ -244,7 +244,7 @@ def tag_field_definitions(mapping: DataFrame, definitions: DataFrame) -> DataFra
     """Fields with the tag definition their caption names, or a warning when the
     caption is unknown or ambiguous.  ``mapping``: field, caption."""
     found = definitions.groupBy(F.col("caption")).agg(F.count(F.lit(1)).alias("_n"), F.min("definition_id").alias("_id"))
-    m = mapping.withColumn("caption", F.trim("caption")).join(found, "caption", "left")
+    m = mapping.withColumn("caption", V.trimmed("caption")).join(found, "caption", "left")
     one = F.col("_n") == 1
     return m.select(
         "field",
@@ -265,13 +265,14 @@ def enrich_from_tags(tags: DataFrame, fields: DataFrame, nodes: DataFrame) -> Da
     """
     used = fields.filter(F.col("definition_id").isNotNull()).select("field", "definition_id")
     named = tags.join(used, "definition_id").join(
-        nodes.select("node_id", F.nullif(F.trim("node_value"), F.lit("")).alias("_nv")), "node_id", "left"
+        nodes.select("node_id", F.nullif(V.trimmed("node_value"), F.lit("")).alias("_nv")), "node_id", "left"
     )
-    clean = F.nullif(F.trim("value"), F.lit(""))
-    number = clean.try_cast("double")
+    clean = F.nullif(V.trimmed("value"), F.lit(""))
+    scaled = (clean.try_cast("decimal(30,4)") / 10000).cast("decimal(22,4)").cast("string")
+    number = F.regexp_replace(scaled, "0{1,3}$", "")  # one decimal at least
     value = (
         F.when(F.col("tag_type") == "selections", F.coalesce("_nv", F.nullif("node_id", F.lit(""))))
-        .when(F.col("tag_type").isin("numbers", "counters"), F.coalesce((number / 10000).cast("string"), clean))
+        .when(F.col("tag_type").isin("numbers", "counters"), F.coalesce(number, clean))
         .otherwise(clean)
     )
     rows = named.select("doc_id", "field", "tag_pos", value.alias("value")).filter(F.col("value").isNotNull())

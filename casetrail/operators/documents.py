@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from casetrail.functions.values import trimmed
 from casetrail.operators.cases import numbered
 
 
@@ -46,6 +47,7 @@ def expand_split_rows(tags: DataFrame) -> DataFrame:
     Returns long form: doc_id, row_no, definition_id, value."""
     n = tags.groupBy("doc_id", "definition_id").agg(F.count(F.lit(1)).alias("_n"))
     t = tags.join(n, ["doc_id", "definition_id"])
+    t = t.withColumns({c: F.coalesce(c, F.lit("")) for c in ("group_definition", "group_id")})  # no group is one group
     many = t.filter(F.col("_n") > 1)
     groups = many.groupBy("doc_id", "group_definition", "group_id").agg(F.min("tag_pos").alias("_at"))
     ranked = numbered(groups, ["doc_id", "group_definition"], ["_at"], "_rank").drop("_at", "block")
@@ -103,5 +105,5 @@ def extract_tag_values(tags: DataFrame, definition_id: str, nodes: DataFrame) ->
     """Non-blank values of one tag per document, selections resolved."""
     used = tags.filter(F.col("definition_id") == definition_id).join(nodes, "node_id", "left")
     value = F.when(F.col("tag_type") == "selections", F.col("node_value")).otherwise(F.col("value"))
-    out = used.select("doc_id", F.col("tag_pos").alias("pos"), F.trim(value).alias("name"))
+    out = used.select("doc_id", F.col("tag_pos").alias("pos"), trimmed(value).alias("name"))
     return out.filter(F.col("name") != "")

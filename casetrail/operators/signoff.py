@@ -8,7 +8,8 @@ from casetrail.functions import values as V
 from casetrail.operators.conformance import KEY
 from casetrail.plans.templates import TemplateSet
 
-NESTING = 4
+#: Lists inside lists that names are looked for in (each level makes the expression longer).
+NESTING = 8
 
 
 def _scalar_text(v: Column) -> Column:
@@ -53,7 +54,7 @@ def name_set(v: Column) -> Column:
         .when(kind.isin("int", "float", "bool"), _scalar_text(v))
         .otherwise(F.array().cast("array<string>"))
     )
-    return F.array_distinct(F.filter(F.transform(names, lambda n: F.trim(n)), lambda n: n != ""))
+    return F.array_distinct(F.filter(F.transform(names, V.trimmed), lambda n: n != ""))
 
 
 def sign_checks(entries: DataFrame, templates: TemplateSet) -> DataFrame:
@@ -126,7 +127,7 @@ def signature_completeness(required: DataFrame, confirmed: DataFrame, doc: str =
     """
 
     def side(df: DataFrame, flag: str) -> DataFrame:
-        clean = F.trim(F.col(name))
+        clean = V.trimmed(F.col(name))
         return (
             df.filter(clean != "")
             .groupBy(doc, F.lower(clean).alias("name_key"))
@@ -146,13 +147,17 @@ def signature_completeness(required: DataFrame, confirmed: DataFrame, doc: str =
 
 
 def signature_report(completeness: DataFrame, documents: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Per document: counts, complete or not, and a message."""
+    """Per document: counts, missing and unexpected names, complete or not, and a message."""
     counts = completeness.groupBy(doc).agg(
         F.count_if("required").alias("required_count"),
         F.count_if("confirmed").alias("confirmed_count"),
         F.count_if(F.col("required") & ~F.col("confirmed")).alias("missing_count"),
         F.count_if(~F.col("required") & F.col("confirmed")).alias("unexpected_count"),
+        F.array_sort(F.collect_list(F.when(F.col("required") & ~F.col("confirmed"), F.col("name")))).alias("missing_names"),
+        F.array_sort(F.collect_list(F.when(~F.col("required") & F.col("confirmed"), F.col("name")))).alias("unexpected_names"),
     )
+    none = F.array().cast("array<string>")
+    missing, extra = F.array_join("missing_names", ", "), F.array_join("unexpected_names", ", ")
     zero = {c: 0 for c in ("required_count", "confirmed_count", "missing_count", "unexpected_count")}
     complete = (F.col("missing_count") == 0) & (F.col("unexpected_count") == 0)
     return (
@@ -160,8 +165,16 @@ def signature_report(completeness: DataFrame, documents: DataFrame, doc: str = "
         .distinct()
         .join(counts, doc, "left")
         .fillna(zero)
+        .withColumns({c: F.coalesce(c, none) for c in ("missing_names", "unexpected_names")})
         .withColumn("complete", complete)
         .withColumn("result", F.when(complete, F.lit("complete")).otherwise(F.lit("incomplete")))
+        .withColumn(
+            "message",
+            F.when(complete, F.lit("All signatures are there."))
+            .when(F.col("unexpected_count") == 0, F.concat(F.lit("Missing: "), missing))
+            .when(F.col("missing_count") == 0, F.concat(F.lit("Unexpected: "), extra))
+            .otherwise(F.concat(F.lit("Missing: "), missing, F.lit("; unexpected: "), extra)),
+        )
     )
 
 

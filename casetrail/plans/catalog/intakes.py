@@ -158,7 +158,7 @@ def _payload_folder(spark, d):
 
 def stream_intake(spark, d):
     out, mark = scratch_path(spark, "stream-log"), scratch_path(spark, "stream-mark")
-    q = streams.stream_intake(streams.payload_stream(spark, _payload_folder(spark, d)), out, mark, horizon="40 days")
+    q = streams.stream_intake(streams.payload_stream(spark, _payload_folder(spark, d)), out, mark)
     q.awaitTermination()
     return _counts(spark.read.parquet(out))
 

@@ -4,26 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from casetrail.functions.values import trimmed
+from casetrail.sources.scratch import staged
+
 ENCODINGS = {"utf-8": "UTF-8", "ansi": "windows-1252"}
 
 
 def read_event_files(spark: SparkSession, pattern: str, schema: str | None = None) -> DataFrame:
-    """Payloads of files that each hold one JSON array of events.
+    """Payloads of files that each hold one JSON array of events.  A file that holds none
+    gives one row without payload and the error ``invalid_json``.
 
     A file is one task (an array cannot be split); many files read in parallel."""
     reader = spark.read.option("multiLine", True).option("mode", "PERMISSIVE")
     if schema is None:
         text = spark.read.option("wholetext", True).text(pattern).withColumn("file", F.input_file_name())
-        items = F.from_json("value", "array<variant>")
-        return text.select("file", F.posexplode(items).alias("file_pos", "_v")).select(
-            "file", "file_pos", F.to_json("_v").alias("payload")
+        whole = F.try_parse_json("value")
+        items = F.try_variant_get(whole, "$", "array<variant>")
+        error = F.when(items.isNull(), F.lit("invalid_json"))
+        # an empty array holds no events, which is no error
+        return (
+            text.select("file", items.alias("_items"), error.alias("error"))
+            .filter(F.col("error").isNotNull() | (F.size("_items") > 0))
+            .select("file", F.posexplode_outer("_items").alias("file_pos", "_v"), "error")
+            .select("file", "file_pos", F.to_json("_v").alias("payload"), "error")
         )
     return reader.schema(schema).json(pattern)
 
 
 def read_event_log_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Payloads of JSON-lines files, blank lines skipped; bad lines stay for the checks."""
-    return spark.read.text(path).filter(F.trim("value") != "").select(F.col("value").alias("payload"))
+    return spark.read.text(path).filter(trimmed("value") != "").select(F.col("value").alias("payload"))
 
 
 def append_event_log(events: DataFrame, path: str) -> None:
@@ -43,7 +53,7 @@ def delete_process_data(rows: DataFrame, process_key: str, document_uuid: str |
     hit = F.col("process_key") == process_key
     if document_uuid is not None:
         hit = hit & F.coalesce(F.col("document_uuid") == document_uuid, F.lit(False))
-    return rows.filter(~hit), rows.agg(F.count_if(hit).alias("removed"))
+    return rows.filter(~F.coalesce(hit, F.lit(False))), rows.agg(F.count_if(hit).alias("removed"))
 
 
 def rewrite_process(kept: DataFrame, path: str) -> None:
@@ -51,6 +61,24 @@ def rewrite_process(kept: DataFrame, path: str) -> None:
     kept.write.mode("overwrite").partitionBy("process_key").parquet(path)
 
 
+def remove_from_log(spark: SparkSession, path: str, process_key: str, document_uuid: str | None = None) -> int:
+    """Remove a process or one of its cases from the log of ``append_event_log``; only that process's folder is
+    read and written anew.  Returns the number of rows removed."""
+    log = read_event_log(spark, path).filter(F.col("process_key") == process_key)
+    kept, count = delete_process_data(log, process_key, document_uuid)
+    removed = count.first()["removed"]
+    if not removed:
+        return 0
+    folder = log.select(F.input_file_name()).first()[0].rsplit("/", 1)[0]
+    kept = staged(kept, "kept")
+    if kept.isEmpty():
+        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    else:
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("process_key").parquet(path)
+    return removed
+
+
 def export_delimited(rows: DataFrame, path: str, sep: str = ";", encoding: str = "utf-8", by: str | None = "period") -> None:
     """Delimited text files, one folder per period; ``ansi`` writes windows-1252."""
     if encoding == "ansi":
