@@ -1,20 +1,21 @@
 """Expected graph of a template and observed transitions laid over it.
 
-Graph and projection lookup come from the template alone, so both are small
-tables; the observed side is aggregated or joined to them by broadcast.
+The graph comes from the template tables alone: edges are a union of one small query per
+kind, sinks an anti-join, classes of step pairs one join per kind and a rank. Templates
+are configuration, so these tables are made with pandas on the driver and joined to the
+log, which Spark aggregates, as small tables.
 """
 
 from __future__ import annotations
 
-from itertools import product
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from casetrail.functions import values as V
 from casetrail.operators.cases import CASE, order_columns, with_neighbours
 from casetrail.operators.decisions import match_decision_rule
 from casetrail.operators.quantiles import exact_quantiles, value_counts
-from casetrail.plans.templates import END, START, Template, TemplateSet, small_table
+from casetrail.plans.templates import END, START, TemplateSet, small_table
 
 DIRECT = "EXPECTED_DIRECT"
 VIA_DECISION = "EXPECTED_VIA_DECISION"
@@ -22,177 +23,157 @@ VIA_GROUP = "EXPECTED_VIA_PARALLEL_GROUP"
 INTERNAL = "EXPECTED_GROUP_INTERNAL"
 COMPLETE = "EXPECTED_GROUP_COMPLETE"
 UNEXPECTED = "UNEXPECTED"
-SIGNATURE_LIMIT = 100_000
+#: Of several classes of a pair, the first counts.
+RANK = {c: i for i, c in enumerate([DIRECT, VIA_DECISION, VIA_GROUP, INTERNAL, COMPLETE])}
 
 # How an operator is written on an edge.
 SYMBOLS = {"eq": "=", "neq": "!=", "gt": ">", "gte": ">=", "lt": "<", "lte": "<=", "in": "in", "exists": "exists"}
 
+EDGE = ["t", "from_node", "to_node", "label", "condition", "style"]
+EDGE_LIST = "array<struct<from_node:string,to_node:string>>"
+CANDIDATES = f"array<struct<decision_key:string,rule_pos:int,classification:string,edges:{EDGE_LIST}>>"
 
-def gateway(decision_key: str) -> str:
-    return "decision:" + decision_key
 
+def _condition(when: tuple) -> str:
+    name, op, value = when
+    shown = str(value).lower() if isinstance(value, bool) else value if isinstance(value, str) else V.canonical(value)
+    return f"{name} {SYMBOLS[op]} {shown}"
 
-def _group_entry(group: dict) -> str:
-    return ("parallel:" if group["next"] is None else "parallel_start:") + group["key"]
 
+def _frame(rows: list[tuple], columns: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=columns.split(), dtype=object)
 
-def _rule_text(rule: dict, n: int) -> tuple[str, str | None]:
-    if rule["else"] or not rule["when"]:
-        return "[else]", None
-    name, op, value = rule["when"]
-    shown = str(value).lower() if isinstance(value, bool) else value if isinstance(value, str) else V.canonical(value)
-    text = f"{name} {SYMBOLS[op]} {shown}"
-    return f"[{n}] {text}", text
-
-
-class ExpectedGraph:
-    """Nodes {id: type} and edges [(from, to, label, condition, style)]."""
-
-    def __init__(self, t: Template):
-        self.template = t
-        self.by_key: dict[str, dict] = {}
-        for g in t.groups:
-            self.by_key.setdefault(g["key"], g)
-        self.nodes = {START: "start", END: "end", **{s: "task" for s in t.step_keys}}
-        flows = self._decision_edges() + self._group_edges()
-        if t.step_keys:
-            flows.append((START, t.start_step, None, None, "flow"))
-        for e in t.transitions:
-            if e["to"] is not None:
-                flows.append((e["from"], e["to"], None, None, "flow"))
-            elif e["group"] is not None:
-                flows.append((e["from"], self.entry_of(e["group"]), None, None, "flow"))
-        if not t.transitions:
-            blocked = {d["after"] for d in t.decisions} | {s for g in t.groups for s in g["required"]}
-            flows += [
-                (a, b, "default order", None, "implicit")
-                for a, b in zip(t.step_keys, t.step_keys[1:])
-                if a not in blocked
-            ]
-        for e in flows:
-            for n in e[:2]:
-                self.nodes.setdefault(n, "task")
-        sources = {e[0] for e in flows}
-        flows += [(n, END, None, None, "flow") for n, kind in self.nodes.items() if kind == "task" and n not in sources]
-        self.edges = list(dict.fromkeys(flows))
-        self.pairs = {(e[0], e[1]) for e in self.edges}
-        self.flow_pairs = {(e[0], e[1]) for e in self.edges if e[4] == "flow"}
-
-    def entry_of(self, group_key: str) -> str:
-        g = self.by_key.get(group_key)
-        return _group_entry(g) if g else "parallel:" + group_key
-
-    def _decision_edges(self) -> list[tuple]:
-        out = []
-        for d in self.template.decisions:
-            gate = gateway(d["key"])
-            self.nodes[gate] = "exclusive_gateway"
-            if d["after"]:
-                out.append((d["after"], gate, None, None, "flow"))
-            for n, r in enumerate(d["rules"], 1):
-                target = self.entry_of(r["group"]) if r["group"] is not None else r["next"]
-                if target is not None:
-                    out.append((gate, target, *_rule_text(r, n), "flow"))
-        return out
-
-    def _group_edges(self) -> list[tuple]:
-        out = []
-        for g in self.template.groups:
-            if g["next"] is None:
-                node = "parallel:" + g["key"]
-                self.nodes[node] = "parallel_group"
-                out += [(s, node, "part of", None, "constraint") for s in g["required"]]
-                continue
-            start, join = "parallel_start:" + g["key"], "parallel_join:" + g["key"]
-            self.nodes[start], self.nodes[join] = "parallel_start", "parallel_join"
-            for s in g["required"]:
-                out += [(start, s, None, None, "flow"), (s, join, None, None, "flow")]
-            out.append((join, g["next"], None, None, "flow"))
-        return out
-
-    # ------------------------------------------------ projection of one pair
-
-    def _drawn(self, *pairs) -> list[tuple[str, str]]:
-        return [p for p in pairs if p in self.pairs]
-
-    def _via_decision(self, decision: dict, rule: dict, to: str):
-        gate, after = gateway(decision["key"]), decision["after"]
-        if rule["next"] == to:
-            return [(after, gate), (gate, to)]
-        g = self.by_key.get(rule["group"]) if rule["group"] is not None else None
-        if g is None or to not in g["required"]:
-            return None
-        start = _group_entry(g)
-        return [(after, gate), (gate, start), *self._drawn((start, to))]
-
-    def classify(self, a: str, b: str, choice: dict[str, int | None] | None):
-        """(class, edges); ``choice`` maps decision -> matched rule, None = no context."""
-        if (a, b) in self.flow_pairs:
-            return DIRECT, [(a, b)]
-        t = self.template
-        for d in (d for d in t.decisions if d["after"] == a):
-            picked = d["rules"] if choice is None else [d["rules"][i] for i in [choice[d["key"]]] if i is not None]
-            for r in picked:
-                edges = self._via_decision(d, r, b)
-                if edges is not None:
-                    return VIA_DECISION, edges
-        for e in t.transitions:
-            g = self.by_key.get(e["group"]) if e["from"] == a and e["group"] is not None else None
-            if g and b in g["required"]:
-                start = _group_entry(g)
-                return VIA_GROUP, [(a, start), *self._drawn((start, b))]
-        if any(a in g["required"] and b in g["required"] for g in t.any_groups):
-            return INTERNAL, []
-        for g in t.groups:
-            if g["next"] == b and a in g["required"]:
-                join = "parallel_join:" + g["key"]
-                return COMPLETE, self._drawn((a, join), (join, b))
-        return UNEXPECTED, [(a, b)]
-
-    def projections(self) -> list[tuple]:
-        """Every expected (from, to, signature) with class and edges."""
-        t = self.template
-        steps = list(dict.fromkeys(n for n, kind in self.nodes.items() if kind == "task"))
-        steps += [s for g in t.groups for s in g["required"] if s not in steps]
-        rows = []
-        for a in steps:
-            here = [d for d in t.decisions if d["after"] == a]
-            choices = [None]
-            if here:
-                options = [[None, *range(len(d["rules"]))] for d in here]
-                choices += [dict(zip((d["key"] for d in here), c)) for c in product(*options)]
-                if len(choices) > SIGNATURE_LIMIT:
-                    raise ValueError(f"step {a!r} has too many decision combinations")
-            for b in steps:
-                for c in choices:
-                    kind, edges = self.classify(a, b, c)
-                    if kind != UNEXPECTED:
-                        rows.append((t.key, a, b, _signature(here, c), kind, edges))
-        return rows
-
-
-def _signature(decisions: list[dict], choice: dict | None) -> str:
-    if not decisions:
-        return ""
-    if choice is None:
-        return "any"
-    return ",".join("-" if choice[d["key"]] is None else str(choice[d["key"]]) for d in decisions)
-
-
-def signature(templates: TemplateSet, obj: Column) -> Column:
-    """Which rules the context matches at the decisions after ``step_key``."""
+
+class _Source:
+    """Templates as relations: steps, transitions, members of groups, rules of decisions."""
+
+    def __init__(self, templates: TemplateSet):
+        ts = list(templates)
+        self.templates = [t.key for t in ts]
+        self.steps = _frame([(t.key, i, x["key"], x["name"], x["required"]) for t in ts for i, x in enumerate(t.steps)], "t pos step name required")
+        self.starts = _frame([(t.key, t.start_step) for t in ts if t.step_keys], "t step")
+        self.transitions = _frame([(t.key, i, e["from"], e["to"], e["group"]) for t in ts for i, e in enumerate(t.transitions)], "t pos step to group")
+        groups = _frame([(t.key, i, g["key"], g["order"], g["next"], len(g["required"])) for t in ts for i, g in enumerate(t.groups)], "t gpos group order next size")
+        kind = groups["next"].map(lambda n: "parallel:" if n is None else "parallel_start:")
+        self.groups = groups.assign(entry=kind + groups["group"], join="parallel_join:" + groups["group"])
+        listed = _frame([(t.key, i, m) for t in ts for i, g in enumerate(t.groups) for m in g["required"]], "t gpos member")
+        self.members = listed.merge(self.groups, on=["t", "gpos"])
+        rules = [
+            (t.key, i, d["key"], d["after"], j, r["next"], r["group"], None if r["else"] or not r["when"] else _condition(r["when"]))
+            for t in ts for i, d in enumerate(t.decisions) for j, r in enumerate(d["rules"])
+        ]
+        self.rules = _frame(rules, "t dpos decision after rule next group condition")
+        self.rules["gate"] = "decision:" + self.rules["decision"]
+        # a key that groups share names the first of them
+        self.named = self.groups.drop_duplicates(["t", "group"])[["t", "group", "gpos", "entry"]]
+
+    def entry(self, rows: pd.DataFrame) -> pd.Series:
+        """Node that leads into the group of each row; a group that is not declared is drawn as one node."""
+        known = rows[["t", "group"]].merge(self.named, how="left", on=["t", "group"])["entry"]
+        known.index = rows.index
+        return known.fillna("parallel:" + rows["group"])
+
+
+def _edges(src: _Source) -> pd.DataFrame:
+    def drawn(rows: pd.DataFrame, start, end, label=None, condition=None, style="flow") -> pd.DataFrame:
+        return pd.DataFrame({"t": rows["t"], "from_node": start, "to_node": end, "label": label, "condition": condition, "style": style}, dtype=object)
+
+    r, m, g, tr, st = src.rules, src.members, src.groups, src.transitions, src.steps
+    aimed = r.assign(target=r["next"].where(r["group"].isna(), src.entry(r)))
+    aimed = aimed[aimed["target"].notna()]
+    label = ["[else]" if pd.isna(c) else f"[{n + 1}] {c}" for n, c in zip(aimed["rule"], aimed["condition"], strict=True)]
+    open_, closed = m[m["next"].isna()], m[m["next"].notna()]
+    left = g[g["next"].notna()]
+    direct, grouped = tr[tr["to"].notna()], tr[tr["to"].isna() & tr["group"].notna()]
+    following = st.assign(then=st.groupby("t")["step"].shift(-1)).dropna(subset=["then"])
+    stays = pd.concat([r[["t", "after"]].rename(columns={"after": "step"}), m[["t", "member"]].rename(columns={"member": "step"})]).drop_duplicates()
+    following = following[~following["t"].isin(tr["t"])].merge(stays, how="left", on=["t", "step"], indicator=True)
+    following = following[following["_merge"] == "left_only"]
+    flows = pd.concat([
+        drawn(src.starts, START, src.starts["step"]),
+        drawn(direct, direct["step"], direct["to"]),
+        drawn(grouped, grouped["step"], src.entry(grouped)),
+        drawn(following, following["step"], following["then"], "default order", None, "implicit"),
+        drawn(r[r["after"].notna()], r["after"].dropna(), r["gate"]),
+        drawn(aimed, aimed["gate"], aimed["target"], label, aimed["condition"]),
+        drawn(open_, open_["member"], open_["entry"], "part of", None, "constraint"),
+        drawn(closed, closed["entry"], closed["member"]),
+        drawn(closed, closed["member"], closed["join"]),
+        drawn(left, left["join"], left["next"]),
+    ])
+    tasks = _nodes(src, flows)
+    tasks = tasks[tasks["node_type"] == "task"][["t", "node_id"]]
+    sinks = tasks.merge(flows[["t", "from_node"]].drop_duplicates(), how="left", left_on=["t", "node_id"], right_on=["t", "from_node"])
+    sinks = sinks[sinks["from_node"].isna()]
+    out = pd.concat([flows, drawn(sinks, sinks["node_id"], END)])[EDGE]
+    return out.astype(object).where(out.notna(), None).drop_duplicates(ignore_index=True)
+
+
+def _nodes(src: _Source, edges: pd.DataFrame) -> pd.DataFrame:
+    """Every node once: declared kinds before steps, steps before mere ends of edges."""
+    def of(rows: pd.DataFrame, node, kind, label=None, required=None) -> pd.DataFrame:
+        return pd.DataFrame({"t": rows["t"], "node_id": node, "node_type": kind, "label": label, "required": required}, dtype=object)
+
+    every, g, st = pd.DataFrame({"t": src.templates}, dtype=object), src.groups, src.steps
+    left = g[g["next"].notna()]
+    out = pd.concat([
+        of(every, START, "start"), of(every, END, "end"), of(src.rules, src.rules["gate"], "exclusive_gateway"),
+        of(left, left["entry"], "parallel_start"), of(left, left["join"], "parallel_join"),
+        of(g[g["next"].isna()], g[g["next"].isna()]["entry"], "parallel_group"),
+        of(st, st["step"], "task", st["name"], st["required"]),
+        of(edges, edges["from_node"], "task"), of(edges, edges["to_node"], "task"),
+    ])
+    out = out.drop_duplicates(["t", "node_id"], ignore_index=True)
+    return out.astype(object).where(out.notna(), None)
+
+
+def _pairs(src: _Source, edges: pd.DataFrame) -> pd.DataFrame:
+    """Classes that a pair of steps may have, the one that counts first; a class through a decision holds for one rule."""
+    def classed(rows: pd.DataFrame, a, b, kind, path, order=(0, 0), decision=None, rule=None) -> pd.DataFrame:
+        return pd.DataFrame(
+            {"t": rows["t"], "a": a, "b": b, "kind": kind, "path": list(path), "o1": order[0], "o2": order[1], "decision": decision, "rule": rule}, dtype=object
+        )
+
+    flow = edges[edges["style"] == "flow"][["t", "from_node", "to_node"]].drop_duplicates()
+    r, m, tr = src.rules[src.rules["after"].notna()], src.members, src.transitions
+    inside = m.merge(src.named[["t", "group", "gpos"]], on=["t", "group", "gpos"])
+    plain, grouped = r[r["next"].notna()], r[r["group"].notna()].merge(inside, on=["t", "group"], suffixes=("", "_g"))
+    into = tr[tr["group"].notna()].merge(inside, on=["t", "group"])
+    both = m[m["order"] == "any"]
+    both = both.merge(both, on=["t", "gpos"], suffixes=("", "_b"))
+    done = m[m["next"].notna()]
+
+    def legs(rows: pd.DataFrame, *nodes: str) -> list[list[tuple]]:
+        return [list(zip(row, row[1:])) for row in rows[list(nodes)].itertuples(index=False, name=None)]
+
+    def into_group(rows: pd.DataFrame, *nodes: str) -> list[list[tuple]]:
+        """The last leg is drawn only out of a start node."""
+        whole = legs(rows, *nodes)
+        return [w if n is not None else w[:-1] for w, n in zip(whole, rows["next_g" if "next_g" in rows else "next"], strict=True)]
+
+    out = pd.concat([
+        classed(flow, flow["from_node"], flow["to_node"], DIRECT, legs(flow, "from_node", "to_node")),
+        classed(plain, plain["after"], plain["next"], VIA_DECISION, legs(plain, "after", "gate", "next"), (plain["dpos"], plain["rule"]), plain["decision"], plain["rule"]),
+        classed(grouped, grouped["after"], grouped["member"], VIA_DECISION, into_group(grouped, "after", "gate", "entry", "member"), (grouped["dpos"], grouped["rule"]), grouped["decision"], grouped["rule"]),
+        classed(into, into["step"], into["member"], VIA_GROUP, into_group(into, "step", "entry", "member"), (into["pos"], 0)),
+        classed(both, both["member"], both["member_b"], INTERNAL, [[] for _ in range(len(both))], (both["gpos"], 0)),
+        classed(done, done["member"], done["next"], COMPLETE, legs(done, "member", "join", "next"), (done["gpos"], 0)),
+    ])
+    return out.assign(rank=out["kind"].map(RANK)).sort_values(["t", "a", "b", "rank", "o1", "o2"], kind="stable")
+
+
+def picked_rules(templates: TemplateSet, obj: Column) -> Column:
+    """Map of the decisions after ``step_key`` to the rule that the context matches; null without a context."""
     out = None
     for t in templates:
         for after in dict.fromkeys(d["after"] for d in t.decisions if d["after"]):
             here = [d for d in t.decisions if d["after"] == after]
-            parts = [F.coalesce(match_decision_rule(d, obj).cast("string"), F.lit("-")) for d in here]
-            value = F.when(obj.isNull(), F.lit("any")).otherwise(F.concat_ws(",", *parts))
+            pairs = [x for d in here for x in (F.lit(d["key"]), match_decision_rule(d, obj))]
             cond = (F.col("template_key") == t.key) & (F.col("step_key") == after)
+            value = F.when(obj.isNotNull(), F.create_map(*pairs))
             out = F.when(cond, value) if out is None else out.when(cond, value)
-    return F.lit("") if out is None else out.otherwise(F.lit(""))
-
-
-EDGE_LIST = "array<struct<from_node:string,to_node:string>>"
+    none = F.create_map().cast("map<string,int>")
+    return none if out is None else out.otherwise(none)
 
 
 class GraphTables:
@@ -200,40 +181,33 @@ class GraphTables:
 
     def __init__(self, templates: TemplateSet):
         self.templates, self.spark = templates, templates.spark
-        self.graphs = [ExpectedGraph(t) for t in templates]
+        self.source = _Source(templates)
+        self._edge_rows = _edges(self.source)
+
+    def _table(self, rows: pd.DataFrame, columns: list[str], schema: str) -> DataFrame:
+        return small_table(self.spark, list(rows[columns].itertuples(index=False, name=None)), schema)
 
     def nodes(self) -> DataFrame:
-        rows = [(g.template.key, n, k) for g in self.graphs for n, k in g.nodes.items()]
-        return small_table(self.spark, rows, "template_key string, node_id string, node_type string")
+        """A step has its name and whether it is required, other nodes neither."""
+        rows = _nodes(self.source, self._edge_rows)
+        return self._table(rows, ["t", "node_id", "node_type", "label", "required"], "template_key string, node_id string, node_type string, label string, required boolean")
 
     def edges(self) -> DataFrame:
-        rows = [(g.template.key, *e) for g in self.graphs for e in g.edges]
-        return small_table(
-            self.spark,
-            rows,
-            "template_key string, from_node string, to_node string, label string, condition string, style string",
-        )
+        schema = "template_key string, from_node string, to_node string, label string, condition string, style string"
+        return self._table(self._edge_rows, EDGE, schema)
 
-    def projections(self) -> DataFrame:
-        rows = [r for g in self.graphs for r in g.projections()]
-        return small_table(
-            self.spark,
-            rows,
-            f"template_key string, step_key string, to_step string, rule_signature string, classification string, edges {EDGE_LIST}",
-        )
-
-    def members(self) -> DataFrame:
+    def candidates(self) -> DataFrame:
+        """Per pair of steps its possible classes, in order."""
         rows = [
-            (g.template.key, gr["key"], s, _group_entry(gr), len(gr["required"]))
-            for g in self.graphs
-            for gr in g.template.groups
-            for s in gr["required"]
+            (t, a, b, [(r.decision if pd.notna(r.decision) else None, int(r.rule) if pd.notna(r.rule) else None, r.kind, r.path) for r in g.itertuples()])
+            for (t, a, b), g in _pairs(self.source, self._edge_rows).groupby(["t", "a", "b"], sort=False)
         ]
-        return small_table(
-            self.spark,
-            rows,
-            "template_key string, group_key string, step_key string, start_node string, group_size int",
-        )
+        return small_table(self.spark, rows, f"template_key string, step_key string, to_step string, candidates {CANDIDATES}")
+
+    def members(self) -> DataFrame:
+        columns = ["t", "group", "member", "entry", "size"]
+        schema = "template_key string, group_key string, step_key string, start_node string, group_size int"
+        return self._table(self.source.members, columns, schema)
 
 
 def expected_graph(templates: TemplateSet) -> tuple[DataFrame, DataFrame]:
@@ -252,9 +226,16 @@ def project_transitions(
         timeline, next={"to_step": "step_key", "to_at": "occurred_at"}, order=order_columns(order)
     )
     tagged = templates.expand(nxt)
-    tagged = tagged.withColumn("rule_signature", signature(templates, V.as_object(F.col("ctx"))))
-    looked = tagged.join(
-        GraphTables(templates).projections(), ["template_key", "step_key", "to_step", "rule_signature"], "left"
+    tagged = tagged.withColumn("_picked", picked_rules(templates, V.as_object(F.col("ctx"))))
+    looked = tagged.join(GraphTables(templates).candidates(), ["template_key", "step_key", "to_step"], "left")
+    fits = F.filter(
+        "candidates",
+        lambda c: c["decision_key"].isNull()
+        | F.col("_picked").isNull()
+        | F.coalesce(F.try_element_at("_picked", c["decision_key"]) == c["rule_pos"], F.lit(False)),
+    )
+    looked = looked.withColumn("_class", F.get(fits, F.lit(0))).select(
+        *tagged.drop("_picked").columns, F.col("_class.edges").alias("edges"), F.col("_class.classification").alias("classification")
     )
     own = F.array(F.struct(F.col("step_key").alias("from_node"), F.col("to_step").alias("to_node"))).cast(EDGE_LIST)
     is_pair = F.col("to_step").isNotNull()
@@ -351,7 +332,7 @@ def node_flow(projected: DataFrame, templates: TemplateSet) -> DataFrame:
         .filter((F.col("node_id") != F.col("step_key")) & (F.col("node_id") != F.col("to_step")))
         .select(*key, "node_id")
     )
-    known = tables.nodes()
+    known = tables.nodes().drop("label", "required")
     joins = _completed_groups(projected, templates).select(
         *key, F.concat(F.lit("parallel_join:"), "group_key").alias("node_id")
     )
@@ -367,7 +348,7 @@ def node_flow(projected: DataFrame, templates: TemplateSet) -> DataFrame:
 
 def virtual_node_durations(projected: DataFrame, templates: TemplateSet) -> DataFrame:
     """One row per passage: waiting at decisions, time inside parallel groups."""
-    known = GraphTables(templates).nodes().withColumnRenamed("node_id", "node_key")
+    known = GraphTables(templates).nodes().drop("label", "required").withColumnRenamed("node_id", "node_key")
     gate = F.filter("edges", lambda e: e["to_node"].startswith("decision:"))[0]["to_node"]
     waits = projected.filter(F.col("classification") == VIA_DECISION).select(
         "template_key",
