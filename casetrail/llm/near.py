@@ -5,7 +5,8 @@ densification (a hash of bin and attempt names the next bin to look into, until
 ROWS minima are bucket keys: two sets of similarity 0.75 share no bucket with probability (1 - 0.75^4)^40 < 3e-7.
 
 Documents with equal sets are one class from the start, so copies never meet in a bucket. A bucket proposes a star (each
-member with one centre), never its pairs. Proposed links are checked on whole sets. Where a bucket then still holds
+member with one centre), never its pairs; a node is first compared with one of its centres, then with those it is still
+apart from. Proposed links are checked on whole sets. Where a bucket then still holds
 more than one component, further rounds propose stars around other centres: all members outside the centre's component
 with that centre, and among themselves with one of their own. Rounds go on until QUIET in a row find no new link.
 
@@ -30,8 +31,8 @@ ROWS = 4
 BANDS = 40
 #: Links need 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 75
-#: Rounds in a row without a new link after which buckets of several components are left.
-QUIET = 2
+#: Rounds without a new link after which buckets of several components are left.
+QUIET = 1
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -83,25 +84,21 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of ``pairs`` (a, b), those whose full sets are alike; ``texts`` has (node, text). A frequent ``b`` is a skewed
-    join, which Spark splits."""
-
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = [shingle_set(t).tobytes() for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(got, pa.binary())], names=["node", "hashes"])
+    join, which Spark splits; its set is made once for the pairs that follow one another."""
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        alike = []
-        for x, y in zip(batch.column("ha").to_pylist(), batch.column("hb").to_pylist(), strict=True):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        alike, last, q = [], None, None
+        for x, y, b in zip(*[batch.column(c).to_pylist() for c in ("ta", "tb", "b")], strict=True):
+            if b != last or q is None:
+                last, q = b, shingle_set(y)
+            p = shingle_set(x)
             both = len(np.intersect1d(p, q, assume_unique=True))
             alike.append(100 * both >= THRESHOLD * (len(p) + len(q) - both) and both > 0)
         return batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    known = staged(batches(texts.join(nodes, "node", "left_semi"), sets, "node long, hashes binary"), "near-sets")
-    with_a = pairs.join(known.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
-    with_both = with_a.join(known.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
-    return staged(batches(with_both, compare, "a long, b long").distinct(), "near-links")
+    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    with_both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    return staged(batches(with_both.select("a", "b", "ta", "tb"), compare, "a long, b long").distinct(), "near-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -121,22 +118,26 @@ def components(edges: DataFrame) -> DataFrame:
         e = staged(down.union(low.select("a", F.col("m").alias("b"))).distinct(), "near-edges")
 
 
-def first_labels(links: DataFrame) -> DataFrame:
-    """Components of stars (member, centre): a member has few centres, so members tie centres together, and only the
-    much smaller graph of centres is searched."""
-    main = staged(links.groupBy("member").agg(F.min("centre").alias("main")), "near-main")
-    ties = links.join(main, "member").filter("centre <> main").select(F.col("centre").alias("a"), F.col("main").alias("b"))
-    # a centre may be a member elsewhere
-    both = main.join(links.select("centre").distinct(), F.col("member") == F.col("centre"), "left_semi")
-    merged = components(ties.union(both.select(F.col("member").alias("a"), F.col("main").alias("b"))))
-    own = links.select(F.col("centre").alias("node"), F.col("centre").alias("label")).distinct()
-    own = own.join(main.select(F.col("member").alias("node")), "node", "left_anti")
-    return relabelled(main.select(F.col("member").alias("node"), F.col("main").alias("label")).union(own), merged)
-
+def relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """Labels (node, label) after the links ``found`` (a, b); nodes without a label are their own.
 
-def relabelled(labels: DataFrame, merged: DataFrame) -> DataFrame:
+    Only the graph of labels is searched, which is much smaller than that of nodes."""
+    own = F.coalesce("label", "node")
+    a = found.join(labels.withColumnRenamed("node", "a"), "a", "left").select("a", "b", F.coalesce("label", "a").alias("la"))
+    ties = a.join(labels.withColumnRenamed("node", "b"), "b", "left").select("a", "b", "la", F.coalesce("label", "b").alias("lb"))
+    ties = staged(ties, "near-ties")
+    merged = components(ties.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    met = ties.select(F.col("a").alias("node")).union(ties.select("b")).distinct()
+    every = labels.join(met, "node", "full_outer").select("node", own.alias("label"))
     to = merged.select(F.col("node").alias("label"), F.col("label").alias("_to"))
-    return staged(labels.join(to, "label", "left").select("node", F.coalesce("_to", "label").alias("label")), "near-labels")
+    return staged(every.join(to, "label", "left").select("node", F.coalesce("_to", "label").alias("label")), "near-labels")
+
+
+def crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components."""
+    a = pairs.join(labels.withColumnRenamed("node", "a"), "a", "left").select("a", "b", F.coalesce("label", "a").alias("la"))
+    both = a.join(labels.withColumnRenamed("node", "b"), "b", "left").select("a", "b", "la", F.coalesce("label", "b").alias("lb"))
+    return both.filter("la <> lb").select("a", "b")
 
 
 def _stars(rows: DataFrame, seed: int) -> DataFrame:
@@ -166,27 +167,31 @@ def _classes(known: DataFrame) -> DataFrame:
 def component_labels(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """node, label of the nodes that are linked with another."""
     keys = classes.select("node", "n", F.explode("bands").alias("band"))
+    met = keys.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("band")
+    shared = staged(keys.join(staged(met, "near-met"), "band"), "near-shared")
     order = F.xxhash64(F.lit(0), "node")
-    centres = keys.groupBy("band").agg(
-        F.count(F.lit(1)).alias("members"), F.min_by("node", order).alias("centre"), F.min_by("n", order).alias("n_centre")
+    centres = shared.groupBy("band").agg(
+        F.min_by("node", order).alias("centre"), F.min_by("n", order).alias("n_centre"), F.min(order).alias("place")
     )
-    centres = staged(centres.filter("members > 1").drop("members"), "near-centres")
-    shared = staged(keys.join(centres, "band"), "near-shared")
+    fits = F.expr(f"100 * least(n, n_centre) >= {THRESHOLD} * greatest(n, n_centre)")
+    stars = shared.join(staged(centres, "near-centres"), "band").filter(fits & (F.col("node") != F.col("centre")))
+    stars = staged(stars.select(F.col("node").alias("a"), F.col("centre").alias("b"), "place").distinct(), "near-stars")
     rows = docs.select(F.col("doc_id").cast("long").alias("node"), text_of().alias("text"))
     texts = staged(rows.join(shared.select("node").distinct(), "node", "left_semi"), "near-texts")
-    fits = F.expr(f"100 * least(n, n_centre) >= {THRESHOLD} * greatest(n, n_centre)")
-    stars = shared.filter(fits & (F.col("node") != F.col("centre"))).select("node", "centre").distinct()
-    checked = staged(stars.select(F.col("node").alias("a"), F.col("centre").alias("b")), "near-pairs")
-    links = confirm(checked, texts)
-    labels = first_labels(links.select(F.col("a").alias("member"), F.col("b").alias("centre")))
-    checked = checked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    # first one centre each, then the other centres of nodes that are still apart from them
+    first = staged(stars.groupBy("a").agg(F.min_by("b", "place").alias("b")), "near-pairs")
+    none = first.sparkSession.createDataFrame([], "node long, label long")
+    labels = relabelled(none, confirm(first, texts))
+    rest = staged(crossing(stars.select("a", "b"), labels).join(first, ["a", "b"], "left_anti"), "near-pairs")
+    labels = relabelled(labels, confirm(rest, texts))
+    checked = first.union(rest).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     rows, quiet, seed = shared.select("band", "node"), 0, 0
     while quiet < QUIET:
         seed += 1
-        placed = rows.select("band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        placed = rows.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
         placed = staged(placed, "near-placed")
         mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
-        rows = staged(placed.join(staged(mixed, "near-mixed"), "band"), "near-open")
+        rows = staged(placed.join(mixed, "band"), "near-open")
         new = staged(_stars(rows, seed).join(checked, ["a", "b"], "left_anti"), "near-pairs")
         if new.isEmpty():
             break
@@ -196,11 +201,7 @@ def component_labels(docs: DataFrame, classes: DataFrame) -> DataFrame:
             quiet += 1
             continue
         quiet = 0
-        label = rows.select("node", "label").distinct()
-        ties = found.join(label.withColumnsRenamed({"node": "a", "label": "la"}), "a").join(label.withColumnsRenamed({"node": "b", "label": "lb"}), "b")
-        merged = components(ties.select(F.col("la").alias("a"), F.col("lb").alias("b")))
-        met = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
-        labels = relabelled(labels.union(met.select("node", F.col("node").alias("label"))), merged)
+        labels = relabelled(labels, found)
     return labels
 
 
