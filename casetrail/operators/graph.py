@@ -71,7 +71,7 @@ class _Source:
         """Node that leads into the group of each row; a group that is not declared is drawn as one node."""
         known = rows[["t", "group"]].merge(self.named, how="left", on=["t", "group"])["entry"]
         known.index = rows.index
-        return known.fillna("parallel:" + rows["group"])
+        return known.where(known.notna(), "parallel:" + rows["group"])
 
 
 def _edges(src: _Source) -> pd.DataFrame:

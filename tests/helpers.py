@@ -37,14 +37,12 @@ def rows(df, *cols):
     return sorted(tuple(r) for r in df.select(*cols).collect())
 
 
-# Invoice log: two branches, steps 05 and 07 in both orders.
-INVOICES = {
-    "900001": [("01", "08:00"), ("02", "08:05"), ("05", "08:20"), ("07", "08:30"), ("09", "08:35")],
-    "900002": [("01", "09:00"), ("02", "09:03"), ("07", "09:12"), ("05", "09:20"), ("09", "09:28")],
-    "900003": [("01", "10:00"), ("03", "10:04"), ("05", "10:20"), ("07", "10:45"), ("09", "10:50")],
-    "900004": [("01", "11:00"), ("03", "11:05"), ("04", "11:40"), ("05", "12:10"), ("07", "12:15"), ("09", "12:20")],
-    "900005": [("01", "13:00"), ("05", "13:02"), ("07", "13:12"), ("09", "13:15")],
-    "900006": [("01", "14:00"), ("02", "14:04"), ("01", "14:15"), ("07", "14:30")],
-    "900007": [("01", "15:00"), ("03", "15:05"), ("04", "15:45"), ("07", "16:00"), ("05", "16:30"), ("09", "16:40")],
-    "900008": [("01", "17:00"), ("03", "17:05"), ("07", "17:20"), ("05", "17:50"), ("09", "18:00")],
+# Returns desk: goods come back, are weighed and looked at in either order, then paid for or scrapped.
+RETURNS = {
+    "r-a": [("arrive", "06:10"), ("weigh", "06:31"), ("inspect", "06:52"), ("refund", "07:40")],
+    "r-b": [("arrive", "06:15"), ("inspect", "06:44"), ("weigh", "07:02"), ("refund", "07:05")],
+    "r-c": [("arrive", "07:20"), ("label", "07:21"), ("weigh", "07:50"), ("inspect", "08:33"), ("scrap", "09:14")],
+    "r-d": [("arrive", "07:45"), ("label", "07:58"), ("inspect", "08:01"), ("weigh", "08:12"), ("scrap", "11:00")],
+    "r-e": [("arrive", "12:00"), ("label", "12:09"), ("arrive", "12:30")],
+    "r-f": [("arrive", "13:37"), ("weigh", "13:59"), ("inspect", "14:20"), ("scrap", "14:21")],
 }

@@ -2,57 +2,55 @@ from casetrail.plans.check import check_processes
 from casetrail.plans.templates import TemplateSet
 from helpers import make_log, rows, snapshots_of
 
-STEPS = ["incident_received", "classify_incident", "trigger_security_review", "route_to_specialist_group", "resolve_first_level", "close_incident"]
-INCIDENT = {
+REPAIRS = {
     "key": "p",
-    "steps": [{"key": s} for s in STEPS],
-    "required_steps": ["incident_received", "classify_incident", "close_incident"],
-    "transitions": [{"from": "incident_received", "to": "classify_incident"}] + [{"from": s, "to": "close_incident"} for s in STEPS[2:5]],
+    "steps": [{"key": k} for k in ("drop_off", "estimate", "repair", "ship_to_maker", "hand_back")],
+    "required_steps": ["drop_off", "estimate", "hand_back"],
+    "transitions": [
+        {"from": "drop_off", "to": "estimate"},
+        {"from": "repair", "to": "hand_back"},
+        {"from": "ship_to_maker", "to": "hand_back"},
+    ],
     "decision_points": [
         {
-            "key": "routing",
-            "after": "classify_incident",
-            "rules": [
-                {"when": {"data_exposure": {"eq": True}}, "next": "trigger_security_review"},
-                {"when": {"category": {"eq": "business_process"}}, "next": "route_to_specialist_group"},
-                {"else": True, "next": "resolve_first_level"},
-            ],
+            "key": "who_repairs",
+            "after": "estimate",
+            "required_fields": ["brand"],
+            "rules": [{"when": {"under_warranty": {"eq": True}}, "next": "ship_to_maker"}, {"else": True, "next": "repair"}],
         }
     ],
-    "field_mappings": {"data_exposure": {"stability": "mutable"}, "category": {"stability": "immutable"}},
-    "context_policy": {"max_delay_seconds": 300},
+    "field_mappings": {"under_warranty": {"stability": "mutable"}, "brand": {"stability": "immutable"}},
+    "context_policy": {"max_delay_seconds": 60},
 }
 LOG = {
-    "1": [("incident_received", "09:00"), ("classify_incident", "09:05"), ("resolve_first_level", "09:12"), ("close_incident", "09:18")],
-    "2": [("incident_received", "10:00"), ("classify_incident", "10:06"), ("route_to_specialist_group", "10:18"), ("close_incident", "10:44")],
-    "3": [("incident_received", "11:00"), ("classify_incident", "11:04"), ("trigger_security_review", "11:15"), ("close_incident", "11:42")],
-    "4": [("incident_received", "12:00"), ("classify_incident", "12:03"), ("resolve_first_level", "12:11"), ("close_incident", "12:19")],
+    "bike": [("drop_off", "07:30"), ("estimate", "07:47"), ("repair", "09:10"), ("hand_back", "16:00")],
+    "lamp": [("drop_off", "08:05"), ("estimate", "08:06"), ("ship_to_maker", "10:00"), ("hand_back", "15:21")],
+    "kettle": [("drop_off", "08:40"), ("estimate", "09:02"), ("repair", "09:30"), ("hand_back", "11:11")],
 }
 CONTEXT = {
-    "1": {"data_exposure": False, "category": "general_support"},
-    "2": {"data_exposure": False, "category": "business_process"},
-    "3": {"data_exposure": True, "category": "security"},
-    "4": {"data_exposure": True, "category": "security"},
+    "bike": {"under_warranty": False, "brand": "Norrum"},
+    "lamp": {"under_warranty": True, "brand": "Helio"},
+    "kettle": {"under_warranty": True, "brand": "Helio"},
 }
 
 
-def test_incident_log_has_one_violation(spark):
-    log = make_log(spark, LOG, context=CONTEXT, day="2026-07-08")
-    c = check_processes(log, snapshots_of(log), TemplateSet(spark, [INCIDENT]))
+def test_one_repair_took_the_wrong_way(spark):
+    log = make_log(spark, LOG, context=CONTEXT)
+    c = check_processes(log, snapshots_of(log), TemplateSet(spark, [REPAIRS]))
     assert rows(c.findings, "document_uuid", "message") == [
-        ("4", "Decision rule violation: routing after classify_incident expected trigger_security_review but got resolve_first_level")
+        ("kettle", "Decision rule violation: who_repairs after estimate expected ship_to_maker but got repair")
     ]
-    assert rows(c.status, "document_uuid", "status", "problem_score") == [("1", "OK", 0), ("2", "OK", 0), ("3", "OK", 0), ("4", "DEVIATION", 2)]
+    assert rows(c.status, "document_uuid", "status", "problem_score") == [("bike", "OK", 0), ("kettle", "DEVIATION", 2), ("lamp", "OK", 0)]
 
 
 def test_missing_snapshot_makes_the_decision_uncheckable(spark):
-    log = make_log(spark, {"4": LOG["4"]}, day="2026-07-08")
-    c = check_processes(log, snapshots_of(log), TemplateSet(spark, [INCIDENT]), stage=False)
+    log = make_log(spark, {"kettle": LOG["kettle"]})
+    c = check_processes(log, snapshots_of(log), TemplateSet(spark, [REPAIRS]), stage=False)
     assert rows(c.status, "status", "context_status") == [("UNCHECKABLE_CONTEXT_MISSING", "UNCHECKABLE_CONTEXT_MISSING")]
 
 
 def test_missing_decision_context_is_a_warning(spark):
-    log = make_log(spark, {"1": LOG["1"]}, context={"1": {"data_exposure": False, "category": ""}}, day="2026-07-08")
-    c = check_processes(log, snapshots_of(log), TemplateSet(spark, [INCIDENT]), stage=False)
-    assert rows(c.findings, "message") == [("Missing context for decision point routing: category",)]
+    log = make_log(spark, {"bike": LOG["bike"]}, context={"bike": {"under_warranty": False, "brand": ""}})
+    c = check_processes(log, snapshots_of(log), TemplateSet(spark, [REPAIRS]), stage=False)
+    assert rows(c.findings, "message") == [("Missing context for decision point who_repairs: brand",)]
     assert rows(c.status, "status", "report_status", "problem_score") == [("DEVIATION", "WARNING", 0)]

@@ -4,9 +4,9 @@ import pytest
 
 from casetrail.operators import cases, discovery, kpi
 from casetrail.plans.templates import TemplateSet
-from helpers import INVOICES, make_log, rows
+from helpers import RETURNS, make_log, rows
 
-TPL = {"key": "p", "steps": [{"key": "03"}, {"key": "04"}], "transitions": [{"from": "03", "to": "04"}]}
+TPL = {"key": "p", "steps": [{"key": "dry"}, {"key": "fold"}], "transitions": [{"from": "dry", "to": "fold"}]}
 
 
 def starts(spark, log):
@@ -18,19 +18,19 @@ def test_flow_shares(spark, split):
     if split:
         spark.conf.set(cases.HOT_CONF, "1")
     try:
-        log = make_log(spark, {"a": [("03", "08:00"), ("04", "09:00")], "b": [("03", "08:00"), ("04", "09:00")], "c": [("04", "08:00"), ("03", "09:00")]})
+        log = make_log(spark, {k: [("dry", "05:00"), ("fold", "05:30")] for k in "abc"} | {"z": [("fold", "05:00"), ("dry", "05:12")]})
         got = rows(kpi.flow_heatmap(starts(spark, log), TemplateSet(spark, [TPL])), "from_step", "to_step", "observed", "percentage", "intensity", "is_allowed")
     finally:
         spark.conf.unset(cases.HOT_CONF)
-    assert got == [("03", "04", 2, 66.67, 1.0, True), ("04", "03", 1, 33.33, 0.5, False)]
+    assert got == [("dry", "fold", 3, 75.0, 1.0, True), ("fold", "dry", 1, 25.0, 0.3333, False)]
 
 
 def test_durations_and_open_ages(spark):
-    log = make_log(spark, {"a": [("03", "08:00"), ("04", "10:00")], "b": [("03", "08:00"), ("04", "09:00")], "c": [("03", "08:00"), ("04", "11:00")]})
-    now = datetime(2026, 5, 31, 13, tzinfo=timezone.utc)
+    log = make_log(spark, {"a": [("dry", "05:00"), ("fold", "05:50")], "b": [("dry", "05:00"), ("fold", "05:10")], "c": [("dry", "05:00"), ("fold", "06:30")]})
+    now = datetime(2026, 5, 31, 7, tzinfo=timezone.utc)
     got = {r["step_key"]: r for r in kpi.duration_heatmap(starts(spark, log), TemplateSet(spark, [TPL]), now).collect()}
-    assert (got["03"]["completed"], got["03"]["avg_minutes"], got["03"]["median_minutes"], got["03"]["max_minutes"]) == (3, 120.0, 120.0, 180.0)
-    assert (got["04"]["open"], got["04"]["avg_open_minutes"], got["04"]["max_open_minutes"], got["04"]["backlog_count_intensity"]) == (3, 180.0, 240.0, 1.0)
+    assert (got["dry"]["completed"], got["dry"]["avg_minutes"], got["dry"]["median_minutes"], got["dry"]["max_minutes"]) == (3, 50.0, 50.0, 90.0)
+    assert (got["fold"]["open"], got["fold"]["avg_open_minutes"], got["fold"]["max_open_minutes"], got["fold"]["backlog_count_intensity"]) == (3, 70.0, 110.0, 1.0)
 
 
 def test_split_cases_equal_whole_cases(spark, hot):
@@ -45,16 +45,16 @@ def test_split_cases_equal_whole_cases(spark, hot):
 
 
 def test_order_of_input_does_not_matter(spark):
-    log = make_log(spark, INVOICES)
+    log = make_log(spark, RETURNS)
     again = log.repartition(3).orderBy("step_key").unionByName(log.limit(0))
     cols = ("document_uuid", "entry", "step_key", "next_step")
     assert rows(starts(spark, log), *cols) == rows(starts(spark, again), *cols)
 
 
 def test_parallel_steps_are_found(spark):
-    e = discovery.discovery_entries(discovery.discovery_timeline(make_log(spark, INVOICES)))
+    e = discovery.discovery_entries(discovery.discovery_timeline(make_log(spark, RETURNS)))
     g = discovery.discover_parallel_groups(e, discovery.discover_transitions(e))
-    assert rows(g, "left_step", "right_step", "forward", "reverse", "cases") == [("05", "07", 4, 3, 7)]
+    assert rows(g, "left_step", "right_step", "forward", "reverse", "cases") == [("inspect", "weigh", 2, 3, 5)]
 
 
 def test_bad_templates_are_refused(spark):
