@@ -6,7 +6,7 @@ ROWS minima are bucket keys: two sets of similarity 0.75 share no bucket with pr
 
 Documents with equal sets are one class from the start, so copies never meet in a bucket. A bucket proposes a star (each
 member with one centre), never its pairs; a node is first compared with one of its centres, then with those it is still
-apart from. Proposed links are checked on whole sets. Where a bucket then still holds
+apart from. Proposed links are checked on whole sets. Where a bucket (first of two bands together, then of one) still holds
 more than one component, further rounds propose stars around other centres: all members outside the centre's component
 with that centre, and among themselves with one of their own. Rounds go on until QUIET in a row find no new link.
 
@@ -31,6 +31,8 @@ ROWS = 4
 BANDS = 40
 #: Links need 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 75
+#: Centres that a bucket proposes in a round.
+STARS = 3
 #: Rounds without a new link after which buckets of several components are left.
 QUIET = 1
 
@@ -141,15 +143,19 @@ def crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _stars(rows: DataFrame, seed: int) -> DataFrame:
-    """Pairs to check in buckets of several components: (band, node, label) in, (a, b) out."""
-    order = F.xxhash64(F.lit(seed), "node")
-
-    def star(rows: DataFrame) -> DataFrame:
-        centre = rows.groupBy("band").agg(F.min_by("node", order).alias("b"), F.min_by("label", order).alias("of"))
-        return rows.join(staged(centre, "near-centres"), "band").filter("label <> of").select("band", "node", "label", "b")
-
-    outside = staged(star(rows), "near-outside")
-    among = star(outside.select("band", "node", "label"))
+    """Pairs to check in buckets of several components: (band, node, label) in, (a, b) out. STARS centres of a bucket are
+    each paired with the members outside their component, and one of those outside the first with the rest of them."""
+    orders = [F.xxhash64(F.lit(seed * STARS + k), "node") for k in range(STARS)]
+
+    def drawn(rows: DataFrame, n: int) -> DataFrame:
+        centre = rows.groupBy("band").agg(
+            F.array(*[F.struct(F.min_by("node", o).alias("b"), F.min_by("label", o).alias("of")) for o in orders[:n]]).alias("_c")
+        )
+        pairs = rows.join(staged(centre, "near-centres"), "band").select("band", "node", "label", F.posexplode("_c").alias("k", "_c"))
+        return pairs.filter("label <> _c.of").select("band", "node", "label", "k", "_c.b")
+
+    outside = staged(drawn(rows, STARS), "near-outside")
+    among = drawn(outside.filter("k = 0").select("band", "node", "label"), 1)
     return outside.select("node", "b").union(among.select("node", "b")).select(
         F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")
     ).distinct()
@@ -185,23 +191,26 @@ def component_labels(docs: DataFrame, classes: DataFrame) -> DataFrame:
     rest = staged(crossing(stars.select("a", "b"), labels).join(first, ["a", "b"], "left_anti"), "near-pairs")
     labels = relabelled(labels, confirm(rest, texts))
     checked = first.union(rest).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rows, quiet, seed = shared.select("band", "node"), 0, 0
+    # two bands together make buckets that hold little but true neighbours; single bands then give the rest
+    fine = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(bands[i], bands[(i + 1) % {BANDS}]))")
+    known = classes.join(shared.select("node").distinct(), "node", "left_semi")
+    rows, quiet, seed = known.select("node", F.explode(fine).alias("band")), 0, 0
     while quiet < QUIET:
-        seed += 1
         placed = rows.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
         placed = staged(placed, "near-placed")
         mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
         rows = staged(placed.join(mixed, "band"), "near-open")
         new = staged(_stars(rows, seed).join(checked, ["a", "b"], "left_anti"), "near-pairs")
-        if new.isEmpty():
-            break
         found = confirm(new, texts)
         checked = checked.union(new)
         if found.isEmpty():
-            quiet += 1
-            continue
-        quiet = 0
-        labels = relabelled(labels, found)
+            quiet += seed > 0
+        else:
+            quiet = 0
+            labels = relabelled(labels, found)
+        if not seed:
+            rows = shared
+        seed += 1
     return labels
 
 
