@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from casetrail.functions import values as V
 from casetrail.operators.cases import CASE
 from casetrail.operators.conformance import KEY, findings_frame
-from casetrail.plans.templates import Template, TemplateSet
+from casetrail.plans.templates import Template, TemplateSet, small_table
 
 MISSING = "UNCHECKABLE_CONTEXT_MISSING"
 SKEW = "UNCERTAIN_CONTEXT_TIME_SKEW"
@@ -231,6 +231,25 @@ def decision_rule_violations(evaluated: DataFrame, templates: TemplateSet, profi
     return wrong.unionByName(never)
 
 
+def decision_reasons(evaluated: DataFrame, templates: TemplateSet) -> DataFrame:
+    """Why a followed path is wrong: one row per violated decision and field that it reads, with the field's value in the
+    context that was judged, the rule that applied and what it called for."""
+    rules = [
+        (t.key, d["key"], j, "else" if r["else"] or not r["when"] else " ".join([r["when"][0], r["when"][1], V.canonical(r["when"][2])]))
+        for t in templates for d in t.decisions for j, r in enumerate(d["rules"])
+    ]
+    reads = [(t.key, d["key"], n) for t in templates for d in t.decisions for n in t.decision_fields(d)]
+    rule = small_table(templates.spark, rules, "template_key string, decision_key string, rule_pos int, rule string")
+    field = small_table(templates.spark, reads, "template_key string, decision_key string, field string")
+    bad = evaluated.filter("violated").select(
+        *KEY, "decision_key", "after_step", "rule_pos", "context",
+        F.coalesce("next_group", "next_step").alias("expected"), F.col("next_step_seen").alias("actual_step"),
+    )
+    rows = bad.join(rule, ["template_key", "decision_key", "rule_pos"]).join(field, ["template_key", "decision_key"])
+    value = F.get_json_object("context", F.concat(F.lit("$['"), F.col("field"), F.lit("']")))
+    return rows.select(*KEY, "decision_key", "after_step", "rule", "expected", "actual_step", "field", value.alias("value"))
+
+
 def context_freshness_issues(evaluated: DataFrame) -> DataFrame:
     """Decisions that could not be checked, with the status that says why."""
     return evaluated.filter(F.col("context_issue").isNotNull()).select(

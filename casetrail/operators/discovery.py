@@ -241,15 +241,30 @@ def decision_candidates(entries: DataFrame) -> DataFrame:
     )
 
 
-def decision_field_evidence(entries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Context fields with two or more values at a candidate, one row per field and
-    next step.  ``entries`` carry ``ctx``."""
+def _candidate_values(entries: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(moves out of candidates, their known context values as rows)."""
     moves = entries.filter(F.col("next_step").isNotNull()).join(
         candidates.select("process_key", F.col("after_step").alias("step")), ["process_key", "step"], "left_semi"
     )
-    total = moves.groupBy("process_key", "step").agg(F.count(F.lit(1)).alias("transitions"))
     rows = moves.withColumn("_obj", V.as_object(F.col("ctx"))).select("process_key", "step", "next_step", "_obj")
-    long = V.explode_fields(rows, "_obj").filter(F.col("field").isNotNull() & (F.col("field") != "") & (F.col("value_json") != "null"))
+    known = F.col("field").isNotNull() & (F.col("field") != "") & (F.col("value_json") != "null")
+    return moves, V.explode_fields(rows, "_obj").filter(known)
+
+
+def values_by_next_step(entries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """How often each value of a context field stood before each next step, for fields with two or more values."""
+    long = _candidate_values(entries, candidates)[1]
+    key = ["process_key", "step", "field"]
+    values = long.groupBy(*key, "next_step", "value_type", "value_json").agg(F.count(F.lit(1)).alias("n"))
+    several = values.groupBy(*key).agg(F.min("value_json").alias("_lo"), F.max("value_json").alias("_hi")).filter("_lo <> _hi")
+    return values.join(several.select(*key), key, "left_semi").select(*key, "next_step", F.col("value_json").alias("value"), "n")
+
+
+def decision_field_evidence(entries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Context fields with two or more values at a candidate, one row per field and
+    next step.  ``entries`` carry ``ctx``."""
+    moves, long = _candidate_values(entries, candidates)
+    total = moves.groupBy("process_key", "step").agg(F.count(F.lit(1)).alias("transitions"))
     key = ["process_key", "step", "field"]
     distinct = long.groupBy(*key, "next_step", "value_type", "value_json").agg(F.count(F.lit(1)).alias("_n"))
     per_value = distinct.groupBy(*key, "value_type", "value_json").agg(F.sum("_n").alias("_n"))

@@ -179,6 +179,19 @@ def decision_field_evidence(spark, d):
     return discovery.decision_field_evidence(e, discovery.decision_candidates(e))
 
 
+def values_by_next_step(spark, d):
+    log = A.full_log(utc(spark), d)
+    e = discovery.discovery_entries(discovery.discovery_timeline(cases.attach_snapshots(log, A.log_snapshots(log))))
+    return discovery.values_by_next_step(e, discovery.decision_candidates(e))
+
+
+def expected_nodes(spark, d):
+    """Nodes of the expected graphs with the events seen at them."""
+    nodes, _ = graph.expected_graph(templates(utc(spark)))
+    n = A.full_log(spark, d).groupBy(F.col("process_key").alias("template_key"), F.col("step_key").alias("node_id")).agg(F.count(F.lit(1)).alias("events"))
+    return nodes.join(n, ["template_key", "node_id"], "left").withColumn("events", F.coalesce("events", F.lit(0)))
+
+
 def discover_single_case(spark, d):
     s = discovery.discover_single_case(_discovery(spark, d))
     return s.select("document_uuid", "step_no", "step_key", "next_step_key", "run_length")
@@ -191,7 +204,7 @@ QUERIES = {
         relative_buckets, fixed_dwell_buckets, parallel_group_rollup, projection_summary, skipped_cases, normalize_step,
         discover_steps, discover_transitions, discover_transitions_chat, conflicting_transitions, discover_parallel_groups,
         discover_parallel_fallback, repeated_runs, repeated_run_neighbours, decision_candidates, decision_field_evidence,
-        discover_single_case,
+        discover_single_case, values_by_next_step, expected_nodes,
     )
 }
 
@@ -323,5 +336,15 @@ fl AS (SELECT process_key, step, next_step, field, CAST(json_extract(ctx, '$.' |
 fs AS (SELECT process_key, step, field, count(*) AS present, count(DISTINCT v) AS distinct_values FROM fl GROUP BY ALL)
 SELECT process_key, step, field, next_step, any_value(distinct_values) AS distinct_values, count(DISTINCT v) AS values_at_next, count(*) AS present_at_next, {rnd('any_value(present) * 1.0 / any_value(t.n)')} AS coverage
 FROM fl JOIN fs USING (process_key, step, field) JOIN (SELECT process_key, step, count(*) AS n FROM mv GROUP BY ALL) t USING (process_key, step) WHERE distinct_values >= 2 GROUP BY ALL""",
+    "values_by_next_step": f"""{D_LOG}, {snaps_sql()}, {attach_sql('log')}, {CAND},
+mv AS (SELECT d.process_key, d.step_key AS step, d.nxt AS next_step, a.ctx FROM den d JOIN cand c ON c.process_key = d.process_key AND c.after_step = d.step_key JOIN att a ON a.document_uuid = d.document_uuid AND a.external_event_key = d.external_event_key AND a.process_key = d.process_key WHERE nxt IS NOT NULL),
+fl AS (SELECT process_key, step, next_step, field, CAST(json_extract(ctx, '$.' || field) AS VARCHAR) AS v FROM (SELECT *, unnest(json_keys(ctx)) AS field FROM mv WHERE ctx IS NOT NULL) q WHERE json_type(ctx, '$.' || field) <> 'NULL')
+SELECT process_key, step, field, next_step, regexp_replace(v, '\\.0$', '') AS value, count(*) AS n FROM fl WHERE (process_key, step, field) IN (SELECT (process_key, step, field) FROM fl GROUP BY process_key, step, field HAVING count(DISTINCT v) >= 2) GROUP BY ALL""",
+    "expected_nodes": f"""WITH {LOG_SQL}, {G_EDGES},
+ends AS (SELECT template_key, from_node AS node_id FROM g_edges UNION SELECT template_key, to_node FROM g_edges UNION VALUES ('web', '__end')),
+own(template_key, node_id, required) AS (VALUES ('web','signup',true),('web','view',true),('web','click',true),('web','purchase',true),('web','refund',false),('orders','placed',true),('orders','shipped',true),('orders','returned',false))
+SELECT template_key, node_id, CASE WHEN node_id = '__start' THEN 'start' WHEN node_id = '__end' THEN 'end' WHEN node_id LIKE 'decision:%' THEN 'exclusive_gateway' WHEN node_id LIKE 'parallel_start:%' THEN 'parallel_start' WHEN node_id LIKE 'parallel_join:%' THEN 'parallel_join' WHEN node_id LIKE 'parallel:%' THEN 'parallel_group' ELSE 'task' END AS node_type,
+  CASE WHEN own.required IS NOT NULL THEN node_id END AS label, own.required, coalesce(n, 0) AS events
+FROM ends LEFT JOIN own USING (template_key, node_id) LEFT JOIN (SELECT process_key AS template_key, step_key AS node_id, count(*) AS n FROM log GROUP BY ALL) c USING (template_key, node_id)""",
     "discover_single_case": f"{D_LOG}, {RUNS} SELECT document_uuid, grp_no AS step_no, step AS step_key, following AS next_step_key, len AS run_length FROM rr",
 }

@@ -1,3 +1,4 @@
+from casetrail.operators import decisions
 from casetrail.plans.check import check_processes
 from casetrail.plans.templates import TemplateSet
 from helpers import make_log, rows, snapshots_of
@@ -40,6 +41,11 @@ def test_one_repair_took_the_wrong_way(spark):
     assert rows(c.findings, "document_uuid", "message") == [
         ("kettle", "Decision rule violation: who_repairs after estimate expected ship_to_maker but got repair")
     ]
+    why = decisions.decision_reasons(c.evaluated, TemplateSet(spark, [REPAIRS]))
+    assert rows(why, "document_uuid", "rule", "expected", "actual_step", "field", "value") == [
+        ("kettle", "under_warranty eq true", "ship_to_maker", "repair", "brand", "Helio"),
+        ("kettle", "under_warranty eq true", "ship_to_maker", "repair", "under_warranty", "true"),
+    ]
     assert rows(c.status, "document_uuid", "status", "problem_score") == [("bike", "OK", 0), ("kettle", "DEVIATION", 2), ("lamp", "OK", 0)]
 
 
