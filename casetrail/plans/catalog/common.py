@@ -172,7 +172,9 @@ def timeline_sql(source: str, name: str = "tl", version: str = "latest", where:
 
 def attach_sql(timeline: str = "tl", snaps: str = "snaps", name: str = "att") -> str:
     return f"""last_snap AS (
-  SELECT * FROM {snaps} QUALIFY row_number() OVER (PARTITION BY document_uuid, external_event_key ORDER BY captured_at DESC, loaded_at DESC, context DESC) = 1),
+  SELECT document_uuid, external_event_key, m.context AS context, m.loaded_at AS loaded_at, m.occurred_at AS occurred_at FROM (
+    SELECT document_uuid, external_event_key, max({{'captured_at': captured_at, 'loaded_at': loaded_at, 'context': context, 'occurred_at': occurred_at}}) AS m
+    FROM {snaps} GROUP BY document_uuid, external_event_key) q),
 {name} AS (
   SELECT t.*, s.context AS ctx, s.loaded_at AS ctx_loaded_at, s.occurred_at AS ctx_occurred_at,
     {sec('s.loaded_at')} - {sec('s.occurred_at')} AS ctx_freshness, s.external_event_key IS NOT NULL AS has_snapshot
