@@ -32,7 +32,7 @@ BANDS = 40
 #: Links need 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 75
 #: Centres that a bucket proposes in a round.
-STARS = 3
+STARS = 2
 #: Rounds without a new link after which buckets of several components are left.
 QUIET = 1
 
@@ -149,10 +149,13 @@ def _stars(rows: DataFrame, seed: int) -> DataFrame:
 
     def drawn(rows: DataFrame, n: int) -> DataFrame:
         centre = rows.groupBy("band").agg(
-            F.array(*[F.struct(F.min_by("node", o).alias("b"), F.min_by("label", o).alias("of")) for o in orders[:n]]).alias("_c")
+            F.array(
+                *[F.struct(F.lit(k).alias("k"), F.min_by("node", o).alias("b"), F.min_by("label", o).alias("of")) for k, o in enumerate(orders[:n])]
+            ).alias("_c")
         )
-        pairs = rows.join(staged(centre, "near-centres"), "band").select("band", "node", "label", F.posexplode("_c").alias("k", "_c"))
-        return pairs.filter("label <> _c.of").select("band", "node", "label", "k", "_c.b")
+        met = rows.join(staged(centre, "near-centres"), "band")
+        other = met.withColumn("_c", F.filter("_c", lambda c: c["of"] != F.col("label")))
+        return other.select("band", "node", "label", F.explode("_c").alias("_c")).select("band", "node", "label", "_c.k", "_c.b")
 
     outside = staged(drawn(rows, STARS), "near-outside")
     among = drawn(outside.filter("k = 0").select("band", "node", "label"), 1)
