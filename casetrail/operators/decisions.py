@@ -246,7 +246,7 @@ def decision_reasons(evaluated: DataFrame, templates: TemplateSet) -> DataFrame:
         F.coalesce("next_group", "next_step").alias("expected"), F.col("next_step_seen").alias("actual_step"),
     )
     rows = bad.join(rule, ["template_key", "decision_key", "rule_pos"]).join(field, ["template_key", "decision_key"])
-    value = F.get_json_object("context", F.concat(F.lit("$['"), F.col("field"), F.lit("']")))
+    value = F.call_function("get_json_object", F.col("context"), F.concat(F.lit("$['"), F.col("field"), F.lit("']")))
     return rows.select(*KEY, "decision_key", "after_step", "rule", "expected", "actual_step", "field", value.alias("value"))
 
 
