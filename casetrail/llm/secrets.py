@@ -4,7 +4,8 @@
 key characters with both letters and digits) that the network takes for secrets. The network sees the candidate and its
 surroundings as characters; it is trained with numpy on labelled findings: pattern findings and other candidates of a
 bounded sample of documents (SAMPLE), and generated keys and look-alikes set into contexts of that sample. Scores are
-calibrated (Platt) on held-out findings; the threshold is the highest that keeps RECALL of the held-out secrets.
+calibrated (Platt) on held-out findings; the threshold is the highest that keeps RECALL of the held-out secrets of every
+generated family. Candidates of the sample that have the shape of a generated secret may be real and are not trained on.
 
 Defined cases: a null text is empty and has no spans; an empty table gives no rows (the network is then trained on
 generated findings alone); repeated rows are scanned one by one; further columns are ignored.
@@ -121,7 +122,7 @@ class CharNetwork:
             np.add.at(g["emb"], seen, back[..., : self.DIM])
         return g
 
-    def fit(self, codes: np.ndarray, inside: np.ndarray, y: np.ndarray, epochs: int = 6, rate: float = 0.01, seed: int = 5):
+    def fit(self, codes: np.ndarray, inside: np.ndarray, y: np.ndarray, family: np.ndarray | None = None, epochs: int = 6, rate: float = 0.01, seed: int = 5):
         r = np.random.default_rng(seed)
         held = r.random(len(y)) < 0.25
         train = np.flatnonzero(~held)
@@ -136,11 +137,11 @@ class CharNetwork:
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v2[k] = 0.999 * v2[k] + 0.001 * g * g
                     self.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.999**step)) + 1e-8)
-        self._calibrate(self.logits(codes[held], inside[held]), y[held])
+        self._calibrate(self.logits(codes[held], inside[held]), y[held], None if family is None else family[held])
         return self
 
-    def _calibrate(self, z: np.ndarray, y: np.ndarray) -> None:
-        """Platt scaling by Newton steps with softened labels, then the highest threshold of sufficient recall."""
+    def _calibrate(self, z: np.ndarray, y: np.ndarray, family: np.ndarray | None = None) -> None:
+        """Platt scaling by Newton steps with softened labels, then the highest threshold of sufficient recall in every family."""
         pos, neg = y.sum(), (1 - y).sum()
         t = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
         a, x = np.array([1.0, 0.0]), np.stack([z, np.ones_like(z)], 1)
@@ -148,8 +149,9 @@ class CharNetwork:
             p = 1 / (1 + np.exp(-np.clip(x @ a, -40, 40)))
             a -= np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-6)[:, None]) + 1e-3 * np.eye(2), x.T @ (p - t))
         self.scale, self.shift = map(float, a)
-        p = np.sort(1 / (1 + np.exp(-np.clip(x @ a, -40, 40)))[y > 0])
-        self.threshold = max(float(p[int((1 - RECALL) * len(p))]) if len(p) else 0.5, 0.5)
+        p = 1 / (1 + np.exp(-np.clip(x @ a, -40, 40)))
+        kept = [np.sort(p[g]) for g in ([y > 0] if family is None else [family == f for f in range(FAMILIES)]) if g.any()]
+        self.threshold = min([float(q[int((1 - RECALL) * len(q))]) for q in kept], default=0.5)
 
 
 # ---- labelled findings --------------------------------------------------------------------------
@@ -159,19 +161,27 @@ def _draw(r: np.random.Generator, letters: str, low: int, high: int) -> str:
     return "".join(letters[i] for i in r.integers(0, len(letters), r.integers(low, high)))
 
 
-def _generated(r: np.random.Generator, secret: bool) -> tuple[str, str, str]:
-    """What stands before, the candidate, and what stands behind."""
+#: Shapes of the generated secrets, in their order.
+SHAPES = [re.compile(x) for x in (r"[A-Za-z0-9+/]{20,63}", r"[0-9a-f]{16,23}", r"[a-z]{2,3}_[A-Za-z0-9]{20,43}", r"[A-Za-z0-9_-]{24,47}", r"[A-Z0-9]{18,31}")]
+FAMILIES = len(SHAPES)
+
+
+def _generated(r: np.random.Generator, secret: bool) -> tuple[str, str, str, int]:
+    """What stands before, the candidate, what stands behind, and the family of a secret."""
     b64 = string.ascii_letters + string.digits
     if secret:
-        value = [
+        family = int(r.integers(FAMILIES))
+        draw = [
             lambda: _draw(r, b64 + "+/", 20, 64),
             lambda: _draw(r, "0123456789abcdef", 16, 24),
             lambda: _draw(r, string.ascii_lowercase, 2, 4) + "_" + _draw(r, b64, 20, 44),
             lambda: _draw(r, b64 + "_-", 24, 48),
             lambda: _draw(r, string.ascii_uppercase + string.digits, 18, 32),
-        ][r.integers(5)]()
+        ][family]
+        while (value := draw()).isalpha() or not any(map(str.isalpha, value)) or not any(map(str.isdigit, value)):
+            pass
         name = ["key ", "pwd=", "credentials: ", "Authorization: Bearer ", "private key ", "auth ", "", "", "pass is "][r.integers(9)]
-        return name, value + "7a", " "
+        return name, value, " ", family
     word = lambda n, m: _draw(r, string.ascii_lowercase, n, m)
     value = [
         lambda: f"{word(4, 9)}-{word(3, 8)}-{r.integers(1, 2000)}",
@@ -183,29 +193,33 @@ def _generated(r: np.random.Generator, secret: bool) -> tuple[str, str, str]:
         lambda: f"{word(5, 9).capitalize()}{word(5, 9).capitalize()}{r.integers(1, 9)}",
         lambda: f"{r.integers(1, 9999)}{word(6, 12)}",
     ][r.integers(8)]()
-    return ["", "", "version ", "see ", "id ", "file: "][r.integers(6)], value, " "
+    return ["", "", "version ", "see ", "id ", "file: "][r.integers(6)], value, " ", -1
 
 
-def labelled_findings(texts: list[str], seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes, inside marks and labels: findings of the sample's texts and generated ones."""
+def _labelled(texts: list[str], seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, inside marks, labels, families (-1: not a generated secret): findings of the sample's texts and generated ones."""
     r, rows = np.random.default_rng(seed), []
     for t in texts:
         base = base_spans(t)
         for kind, a, b in base:
             value = ASSIGN.match(t, a).start(2) if kind == "assign" else a
-            rows.append((encode(t, value, b), 1))
-        rows += [(encode(t, a, b), 0) for a, b in candidates(t, base)]
+            rows.append((encode(t, value, b), 1, -1))
+        rows += [(encode(t, a, b), 0, -1) for a, b in candidates(t, base) if not any(x.fullmatch(t, a, b) for x in SHAPES)]
     frames = [t for t in texts if t] or [" "]
     for label in (0, 1):
         for _ in range(GENERATED):
             t = frames[r.integers(len(frames))]
             at = t.rfind(" ", 0, int(r.integers(len(t))) + 1) + 1
-            before, value, after = _generated(r, bool(label))
+            before, value, after, family = _generated(r, bool(label))
             head = t[max(0, at - LEFT) : at] + before
-            rows.append((encode(head + value + after + t[at : at + RIGHT], len(head), len(head) + len(value)), label))
-    codes = np.array([c for (c, _), _ in rows], np.int64)
-    n = np.array([n for (_, n), _ in rows])
-    return codes, _inside(n), np.array([y for _, y in rows], float)
+            rows.append((encode(head + value + after + t[at : at + RIGHT], len(head), len(head) + len(value)), label, family))
+    codes = np.array([c for (c, _), _, _ in rows], np.int64)
+    n = np.array([n for (_, n), _, _ in rows])
+    return codes, _inside(n), np.array([y for _, y, _ in rows], float), np.array([f for _, _, f in rows])
+
+
+def labelled_findings(texts: list[str], seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _labelled(texts, seed)[:3]
 
 
 def _inside(n: np.ndarray) -> np.ndarray:
@@ -217,7 +231,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> CharNetwork:
     ids = docs.select(F.col("doc_id").alias("_id")).dropna().distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", text_of().alias("text"))
     texts = [x.text for x in rows.orderBy("doc_id", F.xxhash64("text")).limit(sample).collect()]
-    return CharNetwork().fit(*labelled_findings(texts))
+    return CharNetwork().fit(*_labelled(texts))
 
 
 # ---- scanning -----------------------------------------------------------------------------------

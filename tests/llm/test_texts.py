@@ -262,3 +262,25 @@ def test_pages_on_odd_rows(spark, trees):
     assert {r.page_id: r.text for r in got}[2] == "" and all(r.n_chars == len(r.text) for r in got)
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert pages.extract(none, pages.train(none)).count() == 0
+
+
+def test_generated_secrets_hold_no_mark():
+    r = np.random.default_rng(1)
+    values = [secrets._generated(r, True)[1] for _ in range(500)]
+    assert max(collections.Counter(v[-2:] for v in values).values()) < 50
+    assert all(re.search("[a-zA-Z]", v) and re.search("[0-9]", v) for v in values)
+
+
+def test_possible_keys_are_no_negatives():
+    plain = len(secrets.labelled_findings(["word"])[2])
+    assert len(secrets.labelled_findings(["word Zk3vQ9xLm2TtR8bWc5Yd"])[2]) == plain
+    assert len(secrets.labelled_findings(["word release-12b"])[2]) == plain + 1
+
+
+def test_threshold_keeps_recall_below_one_half():
+    net, r = secrets.CharNetwork(), np.random.default_rng(2)
+    y = (r.random(2000) < 0.1).astype(float)
+    z = r.normal(size=2000) + y
+    net._calibrate(z, y)
+    p = 1 / (1 + np.exp(-(net.scale * z + net.shift)))
+    assert (p >= net.threshold)[y > 0].mean() >= secrets.RECALL
