@@ -10,6 +10,10 @@ apart from. Proposed links are checked on whole sets. Where a bucket (first of t
 more than one component, further rounds propose stars around other centres: all members outside the centre's component
 with that centre, and among themselves with one of their own. Rounds go on until QUIET in a row find no new link.
 
+What is left in buckets of several components is joined exactly: two sets of similarity 0.75 share one of the shingles that
+come first in any fixed order (``prefixes``; the rarest come first). Pairs of different components that share one, and whose
+sizes and places allow the similarity, are all checked; no pair that shares a bucket is left out.
+
 Defined cases: null and empty texts have the empty set, are linked with nothing and kept; rows without doc_id are linked
 with nothing; rows that repeat a doc_id are judged by their own texts; further columns are ignored; an empty table
 gives no rows.
@@ -18,6 +22,7 @@ gives no rows.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +38,10 @@ BANDS = 40
 THRESHOLD = 75
 #: Centres that a bucket proposes in a round.
 STARS = 2
-#: Rounds without a new link after which buckets of several components are left.
+#: Rounds without a new link after which buckets of several components are joined exactly.
 QUIET = 1
+#: Slots in which shingles are counted for the order of prefixes; any order is right, a finer one gives fewer pairs.
+SLOTS = 1 << 20
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -164,6 +171,83 @@ def _stars(rows: DataFrame, seed: int) -> DataFrame:
     ).distinct()
 
 
+def _levels(texts: DataFrame) -> np.ndarray:
+    """How frequent the shingles of each slot are, in steps of a quarter of a power of two."""
+
+    def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in source:
+            for text in batch.column("text").to_pylist():
+                np.add.at(total, _slot(shingle_set(text)), 1)
+        met = np.flatnonzero(total)
+        for k in range(0, len(met), 1 << 16):
+            part = met[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["slot", "n"])
+
+    n = texts.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    got = n.select("slot", F.round(4 * F.log2("n")).cast("short").alias("level")).toArrow()
+    out = np.zeros(SLOTS, np.uint8)
+    out[got.column("slot").to_numpy()] = got.column("level").to_numpy()
+    return out
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (mix(hashes) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def prefixes(texts: DataFrame, levels: np.ndarray) -> DataFrame:
+    """node, n, shingle, place: of every set, as many shingles as it takes to share one with any set that is alike."""
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        nodes, sizes, hashes, places = [], [], [], []
+        for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            s = shingle_set(text)
+            n = len(s)
+            first = s[np.lexsort((s, levels[_slot(s)]))][: n - (THRESHOLD * n + 99) // 100 + 1]
+            nodes.append(np.full(len(first), node, np.int64))
+            sizes.append(np.full(len(first), n, np.int64))
+            hashes.append(first.view(np.int64))
+            places.append(np.arange(len(first), dtype=np.int64))
+        cols = [pa.array(np.concatenate(x)) for x in (nodes, sizes, hashes, places)]
+        return pa.RecordBatch.from_arrays(cols, names=["node", "n", "shingle", "place"])
+
+    return batches(texts.select("node", "text"), make, "node long, n long, shingle long, place long")
+
+
+def _exact(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different components, of the nodes of ``texts``, that may be alike."""
+    own = F.coalesce("label", "node").alias("label")
+    firsts = prefixes(texts, _levels(texts)).join(labels, "node", "left").select("shingle", "node", own, "n", "place")
+    firsts = staged(firsts, "near-prefixes")
+    # the component that holds most of a shingle's nodes is never paired with itself
+    held = firsts.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("held"))
+    most = held.groupBy("shingle").agg(F.max_by("label", F.struct("held", "label")).alias("most"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    met = staged(firsts.join(most.drop("k"), "shingle"), "near-shingles")
+    x = met.filter("label <> most").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("node", "label", "n", "place")])
+    y = met.select("shingle", "most", *[F.col(c).alias(f"y_{c}") for c in ("node", "label", "n", "place")])
+    apart = F.expr("x_label <> y_label and (y_label = most or x_node < y_node)")
+    # what both still hold from the shared shingle on is the most they can share
+    fits = F.expr(
+        f"{100 + THRESHOLD} * least(x_n - x_place, y_n - y_place) >= {THRESHOLD} * (x_n + y_n)"
+        f" and 100 * least(x_n, y_n) >= {THRESHOLD} * greatest(x_n, y_n)"
+    )
+    pairs = x.join(y, "shingle").filter(apart & fits)
+    return pairs.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).distinct()
+
+
+def _finished(texts: DataFrame, nodes: DataFrame, labels: DataFrame, checked: DataFrame) -> DataFrame:
+    """Labels after all links among ``nodes``: one pair of each node and component first, then those still apart."""
+    left = _exact(texts.join(nodes, "node", "left_semi"), labels).join(checked, ["a", "b"], "left_anti")
+    left = staged(left, "near-pairs")
+    with_label = left.join(labels.withColumnRenamed("node", "b"), "b", "left").select("a", "b", F.coalesce("label", "b").alias("of"))
+    first = staged(with_label.groupBy("a", "of").agg(F.min("b").alias("b")).select("a", "b"), "near-pairs")
+    for pairs in (first, left.join(first, ["a", "b"], "left_anti")):
+        found = confirm(staged(crossing(pairs, labels), "near-pairs"), texts)
+        if not found.isEmpty():
+            labels = relabelled(labels, found)
+    return labels
+
+
 def _classes(known: DataFrame) -> DataFrame:
     """set_id, node (its smallest doc_id), bands, n of every class of equal sets."""
     rows = known.filter("set_id is not null and doc_id is not null")
@@ -214,7 +298,7 @@ def component_labels(docs: DataFrame, classes: DataFrame) -> DataFrame:
         if not seed:
             rows = shared
         seed += 1
-    return labels
+    return _finished(texts, rows.select("node").distinct(), labels, checked)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Quality rules, near-duplicates, mixing."""
 
 import collections
+import random
 import re
 
 import pandas as pd
@@ -122,3 +123,16 @@ def test_mixed_corpus_holds_the_words_taken(odd):
         have[r.doc_id] += len(r.text.encode().split())
         assert r._u == (r.doc_id or 0)
     assert +have == +taken
+
+
+def test_links_that_no_star_proposes(spark, monkeypatch):
+    """A family of texts from the same blocks: large buckets, no shingle that only a pair has."""
+    monkeypatch.setattr(near, "_stars", lambda rows, seed: rows.selectExpr("node AS a", "node AS b").limit(0))
+    blocks, r = [(prose(500 + i, 20), prose(600 + i, 20)) for i in range(30)], random.Random(4)
+    picks = [[r.random() < 0.2 for _ in blocks] for _ in range(400)]
+    for k in range(20):
+        flipped = set(r.sample(range(30), 3))
+        picks.append([x != (i in flipped) for i, x in enumerate(picks[k])])
+    rows = [(i, " ".join(b[x] for b, x in zip(blocks, p, strict=True))) for i, p in enumerate(picks)]
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_components(rows)[0]
