@@ -2,7 +2,7 @@
 
 ``find_secrets`` marks what the patterns of ``base_spans`` find in whole texts, and adds candidates (runs of 8 or more
 key characters with both letters and digits) that the network takes for secrets. The network sees the candidate and its
-surroundings as characters; it is trained with numpy on labelled findings: pattern findings and other candidates of a
+surroundings as characters, a long candidate in windows that overlap by half (the highest score counts); it is trained with numpy on labelled findings: pattern findings and other candidates of a
 bounded sample of documents (SAMPLE), and generated keys and look-alikes set into contexts of that sample. Scores are
 calibrated (Platt) on held-out findings; the threshold is the highest that keeps RECALL of the held-out secrets of every
 generated family. Candidates of the sample that have the shape of a generated secret may be real and are not trained on.
@@ -72,6 +72,13 @@ def encode(text: str, start: int, end: int) -> tuple[list[int], int]:
     return [0 if c == "\0" else CODES.get(c, 1) for c in row.ljust(WIDTH, "\0")], len(body)
 
 
+def windows(start: int, end: int) -> list[tuple[int, int]]:
+    """Stretches of BODY characters, each half a stretch after the one before, that cover [start, end)."""
+    if end - start <= BODY:
+        return [(start, end)]
+    return [(a, a + BODY) for a in (*range(start, end - BODY, BODY // 2), end - BODY)]
+
+
 class CharNetwork:
     """Embedding, one convolution, maxima inside and outside of the candidate, one unit; calibrated by Platt scaling."""
 
@@ -196,6 +203,12 @@ def _generated(r: np.random.Generator, secret: bool) -> tuple[str, str, str, int
     return ["", "", "version ", "see ", "id ", "file: "][r.integers(6)], value, " ", -1
 
 
+def _ahead(r: np.random.Generator) -> str:
+    """A name with =, or folders, as they stand in one run with what follows."""
+    words = [_draw(r, string.ascii_lowercase, 3, 12) for _ in range(r.integers(2, 6))]
+    return "_".join(words).upper() + "=" if r.random() < 0.5 else "/".join(words) + "/"
+
+
 def _labelled(texts: list[str], seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Codes, inside marks, labels, families (-1: not a generated secret): findings of the sample's texts and generated ones."""
     r, rows = np.random.default_rng(seed), []
@@ -203,8 +216,9 @@ def _labelled(texts: list[str], seed: int = 3) -> tuple[np.ndarray, np.ndarray,
         base = base_spans(t)
         for kind, a, b in base:
             value = ASSIGN.match(t, a).start(2) if kind == "assign" else a
-            rows.append((encode(t, value, b), 1, -1))
-        rows += [(encode(t, a, b), 0, -1) for a, b in candidates(t, base) if not any(x.fullmatch(t, a, b) for x in SHAPES)]
+            rows += [(encode(t, x, y), 1, -1) for x, y in windows(value, b)]
+        plain = [(a, b) for a, b in candidates(t, base) if not any(x.fullmatch(t, a, b) for x in SHAPES)]
+        rows += [(encode(t, x, y), 0, -1) for a, b in plain for x, y in windows(a, b)]
     frames = [t for t in texts if t] or [" "]
     for label in (0, 1):
         for _ in range(GENERATED):
@@ -212,7 +226,14 @@ def _labelled(texts: list[str], seed: int = 3) -> tuple[np.ndarray, np.ndarray,
             at = t.rfind(" ", 0, int(r.integers(len(t))) + 1) + 1
             before, value, after, family = _generated(r, bool(label))
             head = t[max(0, at - LEFT) : at] + before
-            rows.append((encode(head + value + after + t[at : at + RIGHT], len(head), len(head) + len(value)), label, family))
+            # a quarter stands at the end of a longer run, as after a name or in a path
+            run = _ahead(r) if r.random() < 0.25 else ""
+            start, key, end = len(head), len(head + run), len(head + run + value)
+            text = head + run + value + after + t[at : at + RIGHT]
+            cuts = windows(start, end)
+            for x, y in cuts:
+                if not label or min(y, end) - max(x, key) >= min(16, len(value)):
+                    rows.append((encode(text, x, y), label, family if (x, y) == cuts[-1] else -1))
     codes = np.array([c for (c, _), _, _ in rows], np.int64)
     n = np.array([n for (_, n), _, _ in rows])
     return codes, _inside(n), np.array([y for _, y, _ in rows], float), np.array([f for _, _, f in rows])
@@ -240,15 +261,16 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> CharNetwork:
 def scan(texts: list[str], network: CharNetwork) -> list[tuple[list[S.Span], list[S.Span]]]:
     """Base spans and all spans of each text."""
     base = [base_spans(t) for t in texts]
-    found = [(i, a, b) for i, t in enumerate(texts) for a, b in candidates(t, base[i])]
-    added: dict[int, list[S.Span]] = {}
+    found = [(i, a, b, w) for i, t in enumerate(texts) for a, b in candidates(t, base[i]) for w in windows(a, b)]
+    taken: dict[int, dict[tuple[int, int], None]] = {}
     for k in range(0, len(found), 4096):
         part = found[k : k + 4096]
-        rows = [encode(texts[i], a, b) for i, a, b in part]
+        rows = [encode(texts[i], *w) for i, _, _, w in part]
         score = network.scores(np.array([c for c, _ in rows]), _inside(np.array([n for _, n in rows])))
-        for (i, a, b), s in zip(part, score, strict=True):
+        for (i, a, b, _), s in zip(part, score, strict=True):
             if s >= network.threshold:
-                added.setdefault(i, []).append((ADDED, a, b))
+                taken.setdefault(i, {})[a, b] = None
+    added = {i: [(ADDED, a, b) for a, b in x] for i, x in taken.items()}
     return [(x, S.ordered(x + added[i], [*KINDS, ADDED]) if i in added else x) for i, x in enumerate(base)]
 
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import string
 
 import numpy as np
 import pytest
@@ -284,3 +285,18 @@ def test_threshold_keeps_recall_below_one_half():
     net._calibrate(z, y)
     p = 1 / (1 + np.exp(-(net.scale * z + net.shift)))
     assert (p >= net.threshold)[y > 0].mean() >= secrets.RECALL
+
+
+def test_keys_at_the_end_of_long_runs(network):
+    r, hit, wrong = np.random.default_rng(7), 0, 0
+    for k in range(200):
+        key = secrets._draw(r, string.ascii_letters + string.digits, 40, 41)
+        run = ["AWS_SECRET_ACCESS_KEY=", "deploy/config/environments/production/keys/"][k % 2]
+        text = f"{prose(k, 8)} {run}{key} {prose(k + 1, 8)}"
+        a = text.index(run)
+        (_, spans_of), = secrets.scan([text], network)
+        hit += any(x <= a and y == a + len(run) + 40 or x <= a + len(run) and y >= a + len(run) + 40 for _, x, y in spans_of)
+        other = f"{prose(k, 8)} deploy/config/environments/production/{prose(k, 1)}/release{k % 90} {prose(k + 1, 8)}"
+        wrong += bool(secrets.scan([other], network)[0][1])
+    assert hit >= 190 and wrong <= 10
+    assert [w for w in secrets.windows(3, 100)] == [(3, 43), (23, 63), (43, 83), (60, 100)]
