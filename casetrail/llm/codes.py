@@ -147,7 +147,7 @@ def first_books(kept: DataFrame, width: int) -> np.ndarray:
     rows = np.zeros((len(first), width), np.int64)
     for i, r in enumerate(first):
         rows[i, : len(r.x)] = r.x
-    return np.ascontiguousarray(rows.reshape(len(first), PARTS, -1).transpose(1, 0, 2))
+    return np.ascontiguousarray(rows.reshape(len(first), PARTS, width // PARTS).transpose(1, 0, 2))
 
 
 def next_books(kept: DataFrame, books: np.ndarray, width: int) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casetrail.llm import codes, fingerprints, mixing, near, packing, pages, pii, preference, quality, secrets, spans, substrings, training_order
+from casetrail.llm import codes, fingerprints, mixing, near, packing, pages, pii, preference, prefixes, quality, secrets, spans, substrings, training_order
 from casetrail.llm.common import read, scratch_path
 
 
@@ -60,14 +60,18 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.vector_codes(read(spark, sf_dir, "embeddings"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_main_text, op3_repeated_substrings, op4_training_order, op5_best_fit_packing, op6_near_duplicates, op7_personal_data, op8_source_mix, op9_quality_rules, op10_weighted_fingerprints, op11_vector_codes, op13_quality_classifier)
+    f.__name__: f for f in (op1_secret_scan, op2_main_text, op3_repeated_substrings, op4_training_order, op5_best_fit_packing, op6_near_duplicates, op7_personal_data, op8_source_mix, op9_quality_rules, op10_weighted_fingerprints, op11_vector_codes, op12_prefix_trie, op13_quality_classifier)
 }
-SQL: dict[str, str] = {"op8_source_mix": mixing.ORACLE, "op11_vector_codes": codes.ORACLE}
+SQL: dict[str, str] = {"op8_source_mix": mixing.ORACLE, "op11_vector_codes": codes.ORACLE, "op12_prefix_trie": prefixes.ORACLE}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
