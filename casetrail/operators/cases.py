@@ -13,12 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from casetrail.functions import values as V
+from casetrail.operators import numbering
+from casetrail.operators.numbering import HOT_CONF, LAST_ID, hot_limit, null_safe_join, sort_by
 from casetrail.sources.scratch import staged
 
 CASE = ["process_key", "document_uuid", "document_version"]
-HOT_CONF = "spark.casetrail.hotCaseRows"
-HOT_DEFAULT = 2_000_000
-LAST_ID = 2**63 - 1
 
 ORDERS = {
     "occurred-then-received": ["occurred_at", "received_at"],
@@ -27,20 +26,11 @@ ORDERS = {
 }
 
 
-def hot_limit(spark: SparkSession) -> int:
-    return int(spark.conf.get(HOT_CONF, str(HOT_DEFAULT)))
-
-
 def order_columns(order: str = "occurred-then-received") -> list[str]:
     """Total order of a case's events; unknown ids come last, the event key decides ties."""
     return ORDERS[order] + ["event_id", "external_event_key"]
 
 
-def sort_by(names: list[str]) -> list[Column]:
-    """Plain columns only, so that windows in the same order share one sort."""
-    return [F.col(c).asc_nulls_last() if c == "event_id" else F.col(c) for c in names]
-
-
 # ---------------------------------------------------------------- hot cases
 
 
@@ -55,85 +45,20 @@ def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame | None:
     return None if sizes.isEmpty() else sizes
 
 
-def _axes(df: DataFrame, order: list[str]) -> list[Column]:
-    """Leading order columns that can be cut into pieces, as numbers (unknown = last).
-
-    Stops at the first column of another type: pieces must follow the order."""
-    out = []
-    for name in order:
-        kind = df.schema[name].dataType.typeName()
-        if kind in ("timestamp", "timestamp_ntz"):
-            out.append(F.unix_micros(F.col(name).cast("timestamp")).cast("double"))
-        elif kind == "date":
-            out.append(F.unix_date(name).cast("double"))
-        elif kind in ("integer", "long", "short", "double"):
-            # as ``sort_by`` has it: unknown event ids last, other unknown numbers first
-            known = F.coalesce(F.col(name), F.lit(LAST_ID)) if name == "event_id" else F.col(name)
-            out.append(known.cast("double"))
-        else:
-            break
-    return out
-
-
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "pos", check: bool = True) -> DataFrame:
     """``row_number`` per group that also works when one group is huge.
 
-    Large groups are cut along the leading order column into pieces; the row
-    number is the number inside the piece plus the rows of earlier pieces.  Input
-    and result are then written once, as later steps read them several times.
+    Where a group is, rows are numbered range by range (``numbering``) and written
+    once with the ``block`` that later steps work in.
     """
     if check and hot_keys(df, keys) is not None:
-        df = staged(df, "hot-rows")
-        axes = _axes(df, order)
-        # The first axis is cut twice, so that a burst is spread as well.
-        out = _numbered_hot(df, keys, order, name, axes[:1] + axes, 0)
+        out = numbering.numbered(df, keys, order, name)
         block = F.floor((F.col(name) - 1) / hot_limit(df.sparkSession)).cast("int")
         return staged(out.withColumn("block", block), "hot-numbered")
     w = Window.partitionBy(*keys).orderBy(*sort_by(order))
     return df.withColumn(name, F.row_number().over(w).cast("long"))
 
 
-def _numbered_hot(df, keys, order, name, axes, level) -> DataFrame:
-    hot = hot_keys(df, keys) if level < len(axes) else None
-    if hot is None:
-        w = Window.partitionBy(*keys).orderBy(*sort_by(order))
-        return df.withColumn(name, F.row_number().over(w).cast("long"))
-    axis, piece = axes[level], f"_piece{level}"
-    span = (
-        null_safe_join(df, hot, keys)
-        .groupBy(*keys)
-        .agg(F.min(axis).alias("_lo"), F.max(axis).alias("_hi"), F.first("_n").alias("_n"))
-        .withColumn("_grid", F.least(F.lit(100_000), F.ceil(F.col("_n") / hot_limit(df.sparkSession)) * 8))
-        .drop("_n")
-    )
-    grid = F.floor((axis - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1.0)) * F.col("_grid"))
-    cut = (
-        null_safe_join(df, span, keys, "left")
-        .withColumn(piece, F.coalesce(grid, F.lit(0)).cast("int"))
-        .drop("_lo", "_hi", "_grid")
-    )
-    w = Window.partitionBy(*keys).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
-    before = (
-        cut.groupBy(*keys, piece)
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-        .drop("_c")
-    )
-    inner = _numbered_hot(cut, keys + [piece], order, name, axes, level + 1)
-    return (
-        null_safe_join(inner, before, keys + [piece])
-        .withColumn(name, F.col(name) + F.col("_before"))
-        .drop("_before", piece)
-    )
-
-
-def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join on equal keys, where unknown equals unknown."""
-    other = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    return left.join(other, on, how).drop(*[f"_r_{k}" for k in keys])
-
-
 def is_split(df: DataFrame) -> bool:
     return "block" in df.columns
 
@@ -205,8 +130,7 @@ def with_last_known(
         .drop("_last")
     )
     return (
-        out.withColumn("_local", local)
-        .join(carried, keys + ["block"], "left")
+        null_safe_join(out.withColumn("_local", local), carried, keys + ["block"], "left")
         .withColumn(name, F.coalesce("_local", "_carried"))
         .drop("_v", "_local", "_carried")
     )
@@ -274,15 +198,19 @@ def case_timeline(
     order: str = "occurred-then-received",
     include_before: bool = True,
     merge_versions: bool = False,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Events of each case in order, numbered ``pos`` = 1, 2, ...
 
     ``merge_versions`` numbers all versions of a case as one timeline; the
     ``document_version`` of its rows is then replaced by 0 and kept in
-    ``event_version``.
+    ``event_version``.  ``sized_by``: the log before anything was joined to it,
+    which shows more cheaply whether a case is large.
     """
-    events = filter_phase(events, include_before).filter(F.col("document_uuid").isNotNull())
-    hot = hot_keys(events, ["process_key", "document_uuid"])
+    known = F.col("document_uuid").isNotNull()
+    events = filter_phase(events, include_before).filter(known)
+    sizes = events if sized_by is None else filter_phase(sized_by, include_before).filter(known)
+    hot = hot_keys(sizes, ["process_key", "document_uuid"])
     if version == "latest" and not merge_versions:
         events = _latest_version(events, hot, order_columns(order))
     elif version not in ("all", "latest"):
@@ -296,7 +224,8 @@ def case_timeline(
 
 def order_timeline(events: DataFrame, order: str = "occurred-then-received") -> DataFrame:
     """All events of each (process, case, version), numbered in the given order."""
-    return case_timeline(events, version="all", order=order).drop("block")
+    known = events.filter(F.col("document_uuid").isNotNull())
+    return numbering.numbered(known, CASE, order_columns(order)).drop("block")
 
 
 def attach_snapshots(events: DataFrame, snapshots: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from casetrail.functions import values as V
+from casetrail.operators import numbering
 from casetrail.operators.cases import numbered, with_neighbours
 from casetrail.operators.decisions import matched_rule
 from casetrail.plans.templates import TemplateSet
@@ -21,7 +22,7 @@ def context_entries(snapshots: DataFrame) -> DataFrame:
     s = snapshots.withColumn("at", snapshot_time()).withColumn(
         "_tie", F.concat_ws("|", F.coalesce("external_event_key", F.lit("")), F.coalesce("context", F.lit("")))
     )
-    return numbered(s, DOC, ["at", "captured_at", "_tie"], "seq").drop("_tie")
+    return numbering.numbered(s, DOC, ["at", "captured_at", "_tie"], "seq").drop("_tie")
 
 
 def context_history(
@@ -40,14 +41,15 @@ def context_history(
     return long if with_empty else long.filter(~F.col("value_json").isin("null", '""', "[]", "{}"))
 
 
-def _diff(rows: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
+def _diff(rows: DataFrame, keys: list[str], neighbours=with_neighbours) -> DataFrame:
     """Field changes between each row and the next one (``seq`` order).
 
     Every field value is sent to its own row as *current* and to the following
     row as *previous*; both meet in one aggregation per (row, field), so no row
-    is compared with more than its neighbour."""
-    nxt = with_neighbours(rows, next={"_next": "_row"}, keys=keys, pos="seq")
-    long = V.explode_fields(nxt.select(*keys, "seq", "_row", "_next", *carry, "_obj"), "_obj")
+    is compared with more than its neighbour.  ``neighbours`` belongs to the
+    operator that numbered the rows."""
+    nxt = neighbours(rows, next={"_next": "_row"}, keys=keys, pos="seq")
+    long = V.explode_fields(nxt.select(*keys, "seq", "_row", "_next", "_obj"), "_obj")
     long = long.filter(F.col("field").isNotNull())
     cur = long.select(*keys, F.col("_row").alias("_at"), "field", F.col("value_json").alias("_cur"), F.lit(None).cast("string").alias("_prev"))
     old = long.filter(F.col("_next").isNotNull()).select(
@@ -72,14 +74,14 @@ def context_diff_by_event(timeline: DataFrame, keys: list[str]) -> DataFrame:
     """Changes of each event against the previous event that had a context."""
     t = timeline.withColumn("_obj", V.as_object(F.col("ctx"))).filter(F.col("_obj").isNotNull())
     t = numbered(t.drop("block"), keys, ["pos"], "seq", check="block" in timeline.columns)
-    return _diff(t.withColumn("_row", F.struct("seq", "pos", "external_event_key")), keys, [])
+    return _diff(t.withColumn("_row", F.struct("seq", "pos", "external_event_key")), keys)
 
 
 def context_field_changes(entries: DataFrame) -> DataFrame:
     """Added, removed and changed values over a case's history, plus the fields
     that never changed with their first value."""
     e = entries.withColumn("_obj", V.as_object(F.coalesce("context", F.lit("{}"))))
-    diffs = _diff(e.withColumn("_row", F.struct("seq", "at")), DOC, [])
+    diffs = _diff(e.withColumn("_row", F.struct("seq", "at")), DOC, numbering.with_neighbours)
     first = V.explode_fields(e.filter(F.col("seq") == 1).select(*DOC, "seq", "at", "_obj"), "_obj")
     first = first.filter(F.col("field").isNotNull())
     same = first.join(diffs.select(*DOC, "field").distinct(), DOC + ["field"], "left_anti").select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from casetrail.functions.values import trimmed
-from casetrail.operators.cases import numbered
+from casetrail.operators.numbering import numbered
 
 
 def dedup_documents(documents: DataFrame, key: str = "doc_id", order: str = "pos") -> DataFrame:
@@ -86,7 +86,7 @@ def map_by_doctype(rows: DataFrame, texts: DataFrame, doctype: str, default: Col
 
 
 def row_counter(rows: DataFrame, order: list[str], start: int = 1, name: str = "counter") -> DataFrame:
-    """Running number in an explicit order.  A large table is numbered in pieces."""
+    """Running number in an explicit order; a large table is numbered range by range."""
     out = numbered(rows.withColumn("_all", F.lit(0)), ["_all"], order, name)
     return out.withColumn(name, F.col(name) + (start - 1)).drop("_all", "block")
 

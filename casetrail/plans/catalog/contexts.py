@@ -23,7 +23,7 @@ def _web(spark, d):
 
 def _timeline(spark, d):
     log, snaps = _web(spark, d)
-    return cases.case_timeline(cases.attach_snapshots(log, snaps), include_before=False, merge_versions=True)
+    return cases.case_timeline(cases.attach_snapshots(log, snaps), include_before=False, merge_versions=True, sized_by=log)
 
 
 def context_history(spark, d):

@@ -13,7 +13,7 @@ from casetrail.sources import adapters as A
 
 def _projected(spark, d):
     log = A.full_log(utc(spark), d)
-    t = cases.case_timeline(cases.attach_snapshots(log, A.log_snapshots(log)), include_before=False, merge_versions=True)
+    t = cases.case_timeline(cases.attach_snapshots(log, A.log_snapshots(log)), include_before=False, merge_versions=True, sized_by=log)
     tpl = templates(spark)
     return graph.project_transitions(t, tpl), tpl
 

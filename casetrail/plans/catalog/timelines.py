@@ -83,7 +83,7 @@ def select_case_version(spark, d):
 
 def collapse_repeats(spark, d):
     log = A.full_log(utc(spark), d)
-    t = cases.case_timeline(cases.attach_snapshots(log, A.log_snapshots(log)))
+    t = cases.case_timeline(cases.attach_snapshots(log, A.log_snapshots(log)), sized_by=log)
     e = cases.collapse_repeats(t, ["k", "flag"])
     return e.select(
         *cases.CASE,

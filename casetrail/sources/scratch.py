@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 FOLDER_CONF = "spark.checkpoint.dir"
 
@@ -33,7 +34,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_held: list[DataFrame] = []
+
+
+def held(df: DataFrame) -> DataFrame:
+    """Kept on the executors' disks from its first use on, so that a plan may read it several times; nothing runs now.
+
+    What a lost executor held is computed again by the same stages, so rows keep their partitions. The mark sets the frame
+    apart from equal ones of earlier calls, whose files may have changed since."""
+    mark = f"_held_{uuid.uuid4().hex}"
+    out = df.withColumn(mark, F.lit(True)).persist(StorageLevel.DISK_ONLY)
+    _held.append(out)
+    return out.drop(mark)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Remove every working table of this application; call it when no result is read any more."""
+    while _held:
+        _held.pop().unpersist()
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{_base(spark)}/casetrail/{spark.sparkContext.applicationId}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

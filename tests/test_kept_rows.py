@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from casetrail.functions import text, values
-from casetrail.operators import cases, documents, graph, routing, signoff, visibility
+from casetrail.operators import cases, documents, graph, numbering, routing, signoff, visibility
 from casetrail.plans.templates import TemplateSet
 from casetrail.sources import files, intake
 from casetrail.streaming import intake as streams
@@ -60,6 +60,31 @@ def test_large_and_small_groups_are_numbered_alike(spark):
         spark.conf.unset(cases.HOT_CONF)
 
 
+def test_values_are_carried_over_ranges_and_unknown_keys(spark):
+    data = [(None if i % 2 else 1, f"{i:03d}", "v" if i in (0, 1) else None, i) for i in range(60)] + [(1, "zz", None, 99)] * 20
+    df = spark.createDataFrame(data, "k int, at string, v string, i int").repartition(3)
+    seen = []
+    for limit in ("1000", "5"):
+        spark.conf.set(cases.HOT_CONF, limit)
+        try:
+            n = numbering.numbered(df, ["k"], ["at", "i"])
+            last = numbering.with_last_known(n, F.col("v"), "last", keys=["k"], order=["at", "i"])
+            both = numbering.with_neighbours(n, {"after": "i"}, {"ahead": "i"}, keys=["k"], order=["at", "i"])
+            counted = documents.row_counter(df, ["at", "i"])
+            assert last.filter("last = 'v'").count() == 80
+            seen.append([sorted(map(repr, n.select("k", "i", "pos").collect())), sorted(map(repr, both.select("k", "pos", "i", "after", "ahead").collect())), rows(counted, "counter", "at")])
+        finally:
+            spark.conf.unset(cases.HOT_CONF)
+    assert seen[0] == seen[1]
+
+
+def test_numbering_runs_nothing_while_it_is_planned(spark, tmp_path):
+    log = make_log(spark, {"a": [("s", "08:00"), ("t", "09:00")]})
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    cases.order_timeline(log), documents.row_counter(log, ["step_key"])
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup() == before
+
+
 def test_files_without_an_array_are_reported(spark, tmp_path):
     for name, body in (("a", '[{"x": 1}, 2]'), ("b", "{broken"), ("c", "[]"), ("d", '{"x": 1}')):
         (tmp_path / f"{name}.json").write_text(body)
