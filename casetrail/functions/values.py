@@ -49,7 +49,11 @@ def plain_text(v: Column) -> Column:
 
 def value_type(v: Column) -> Column:
     """null | bool | int | float | string | array  (objects count as array)."""
-    s = F.schema_of_variant(v)
+    return kind_of(F.schema_of_variant(v))
+
+
+def kind_of(s: Column) -> Column:
+    """``value_type`` of a variant's schema text."""
     return (
         F.when(s.isNull(), F.lit(None).cast("string"))
         .when(s == "VOID", F.lit("null"))

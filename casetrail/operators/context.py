@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from casetrail.functions import values as V
 from casetrail.operators import numbering
 from casetrail.operators.cases import numbered, with_neighbours
-from casetrail.operators.decisions import matched_rule
+from casetrail.operators.decisions import RULE_COLUMNS, matched_rule, with_decision_rules
 from casetrail.plans.templates import TemplateSet
 
 DOC = ["process_key", "document_uuid"]
@@ -212,19 +212,15 @@ def context_change_annotations(timeline: DataFrame, templates: TemplateSet, keys
     rows = templates.expand(nxt.filter(F.col("_to").isNotNull() & V.as_object(F.col("ctx")).isNotNull())).join(
         templates.decisions().withColumnRenamed("after_step", "step_key"), ["template_key", "step_key"]
     )
-    rows = rows.withColumn("rule_pos", matched_rule(templates, V.as_object(F.col("ctx"))))
+    rows = with_decision_rules(rows, templates).withColumn("rule_pos", matched_rule(V.as_object(F.col("ctx"))))
+    rows = rows.withColumn("_wanted", F.col("required_names")).drop(*RULE_COLUMNS)
     rules = templates.rules().drop("after_step", "decision_key")
     groups = templates.groups().select("template_key", F.col("group_key").alias("next_group"), "required")
     rows = rows.join(rules, ["template_key", "decision_pos", "rule_pos"]).join(groups, ["template_key", "next_group"], "left")
     violated = F.when(F.col("next_step").isNotNull(), F.col("next_step") != F.col("_to")).when(
         F.col("next_group").isNotNull(), ~F.coalesce(F.array_contains("required", F.col("_to")), F.lit(False))
     )
-    wanted = F.lit(None).cast("array<string>")
-    for t in templates:
-        for d in t.decisions:
-            here = (F.col("template_key") == t.key) & (F.col("decision_key") == d["key"])
-            wanted = F.when(here, F.array(*[F.lit(n) for n in d["required"]]).cast("array<string>")).otherwise(wanted)
-    fields = F.array_distinct(F.array_compact(F.concat(wanted, F.array("field"))))
+    fields = F.array_distinct(F.array_compact(F.concat("_wanted", F.array("field"))))
     first = (
         rows.filter(violated)
         .select(*keys, "template_key", "decision_key", "pos", F.explode(fields).alias("field"))

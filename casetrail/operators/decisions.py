@@ -2,66 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import json
 
-from casetrail.functions import values as V
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from casetrail.functions import conditions as C, values as V
 from casetrail.operators.cases import CASE
 from casetrail.operators.conformance import KEY, findings_frame
-from casetrail.plans.templates import Template, TemplateSet, small_table
+from casetrail.plans.templates import TemplateSet, _named, small_table
 
 MISSING = "UNCHECKABLE_CONTEXT_MISSING"
 SKEW = "UNCERTAIN_CONTEXT_TIME_SKEW"
 STALE = "UNCERTAIN_CONTEXT_STALE"
 
 
-def _per_decision(templates: TemplateSet, build, otherwise: Column) -> Column:
-    """CASE over (template, decision) with a Column built for each."""
-    out = None
-    for t in templates:
-        for d in t.decisions:
-            here = (F.col("template_key") == t.key) & (F.col("decision_key") == d["key"])
-            value = build(t, d)
-            out = F.when(here, value) if out is None else out.when(here, value)
-    return otherwise if out is None else out.otherwise(otherwise)
-
-
 def match_decision_rule(decision: dict, obj: Column) -> Column:
     """Position of the first matching rule; the first ``else`` when none matches."""
-    fallback = next((i for i, r in enumerate(decision["rules"]) if r["else"]), None)
-    out = None
-    for i, r in enumerate(decision["rules"]):
-        if r["else"] or r["when"] is None:
-            continue
-        cond = V.rule_condition(obj, *r["when"])
-        out = F.when(cond, F.lit(i)) if out is None else out.when(cond, F.lit(i))
-    default = F.lit(fallback).cast("int")
-    return default if out is None else out.otherwise(default)
+    struct = T.StructType.fromDDL(f"rules {C.RULES}")
+    rules = F.from_json(F.lit(json.dumps(_named(C.rules(decision), struct["rules"].dataType))), struct["rules"].dataType)
+    return C.first_rule(C.facts(obj), rules)
+
+
+def with_decision_rules(rows: DataFrame, templates: TemplateSet) -> DataFrame:
+    """Add what ``TemplateSet.decision_rules`` knows of each row's decision."""
+    return rows.join(templates.decision_rules().drop("decision_key", "after_step"), ["template_key", "decision_pos"], "left")
+
+
+RULE_COLUMNS = ["names", "required_names", "fresh_names", "max_delay", "rules"]
 
 
-def matched_rule(templates: TemplateSet, obj: Column) -> Column:
-    """Rule position for rows carrying ``template_key`` and ``decision_key``."""
-    return _per_decision(templates, lambda t, d: match_decision_rule(d, obj), F.lit(None).cast("int"))
+def matched_rule(obj: Column) -> Column:
+    """Rule position for rows that carry ``names`` and ``rules`` of their decision."""
+    return C.first_rule(C.facts(obj, F.col("names")), F.col("rules"))
 
 
-def context_issue(template: Template, decision: dict, obj: Column) -> Column:
+def context_issue(obj: Column) -> Column:
     """Status that makes the decision uncheckable, null when it can be checked.
 
     ``obj`` is the last snapshot of the entry; uses ``has_snapshot``,
-    ``sum_loaded_at``, ``sum_occurred_at``, ``sum_freshness``, ``occurred_at``.
+    ``sum_loaded_at``, ``sum_occurred_at``, ``sum_freshness``, ``occurred_at``
+    and the rule columns.  Fields that never change need not be fresh.
     """
-    names = [n for n in template.decision_fields(decision) if template.fields.get(n) != "immutable"]
-    none = F.lit(None).cast("string")
-    if not names:
-        return none
     shot_at = F.coalesce(F.col("sum_occurred_at"), F.col("occurred_at"))
     fresh = F.coalesce(F.unix_seconds("sum_loaded_at") - F.unix_seconds(shot_at), F.col("sum_freshness"))
-    absent = [~F.col("has_snapshot") | ~F.coalesce(V.has_key(obj, n), F.lit(False)) for n in names]
-    out = F.when(absent[0] | F.col("sum_loaded_at").isNull(), F.lit(MISSING)).when(fresh < 0, F.lit(SKEW))
-    if template.max_delay is not None:
-        out = out.when(fresh > template.max_delay, F.lit(STALE))
-    for a in absent[1:]:
-        out = out.when(a, F.lit(MISSING))
-    return out.otherwise(none)
+    known = F.coalesce(F.map_keys(F.try_variant_get(obj, "$", "map<string,variant>")), F.array().cast("array<string>"))
+    names = F.col("fresh_names")
+
+    def absent(name: Column) -> Column:
+        return ~F.col("has_snapshot") | ~F.array_contains(known, name)
+
+    return (
+        F.when(F.coalesce(F.size(names), F.lit(0)) <= 0, F.lit(None).cast("string"))
+        .when(absent(F.get(names, F.lit(0))) | F.col("sum_loaded_at").isNull(), F.lit(MISSING))
+        .when(fresh < 0, F.lit(SKEW))
+        .when(fresh > F.col("max_delay"), F.lit(STALE))
+        .when(F.exists(names, absent), F.lit(MISSING))
+    )
+
+
+def _missing(obj: Column) -> Column:
+    """Names of the decision that carry no value."""
+    return C.missing(C.facts(obj, F.col("names")), F.col("names"))
 
 
 def decision_entries(entries: DataFrame, templates: TemplateSet) -> DataFrame:
@@ -94,12 +95,10 @@ def nearest_complete_context(decisions: DataFrame, entries: DataFrame, templates
     Only incomplete decision rows are joined to the entries of their case.
     """
     def complete(obj):
-        return _per_decision(
-            templates, lambda t, d: V.all_filled(obj, t.decision_fields(d)), F.lit(True)
-        )
+        return F.coalesce(obj.isNotNull() & (F.size(_missing(obj)) == 0), F.lit(False)) | F.col("names").isNull()
 
-    marked = decisions.withColumn("_ok", complete(V.as_object(F.col("context"))))
-    open_rows = marked.filter(~F.col("_ok")).select(*KEY, "decision_key", F.col("entry").alias("_p"))
+    marked = with_decision_rules(decisions, templates).withColumn("_ok", complete(V.as_object(F.col("context"))))
+    open_rows = marked.filter(~F.col("_ok")).select(*KEY, "decision_key", "names", F.col("entry").alias("_p"))
     others = entries.filter(F.col("context").isNotNull()).select(
         *CASE, F.col("entry").alias("_e"), F.col("context").alias("_c")
     )
@@ -115,7 +114,7 @@ def nearest_complete_context(decisions: DataFrame, entries: DataFrame, templates
         marked.join(found, KEY + ["decision_key"], "left")
         .withColumn("context", F.coalesce("_near._c", "context"))
         .withColumn("context_distance", F.coalesce("_near.distance", F.lit(0)))
-        .drop("_ok", "_near")
+        .drop("_ok", "_near", *RULE_COLUMNS)
     )
 
 
@@ -123,21 +122,13 @@ def evaluate_decisions(entries: DataFrame, templates: TemplateSet, profiles: Dat
     """One row per case and reached decision with everything the checks need."""
     rows = nearest_complete_context(decision_entries(entries, templates), entries, templates)
     obj, shot = V.as_object(F.col("context")), V.as_object(F.col("sum_context"))
-    rows = rows.withColumns(
-        {
-            "context_issue": _per_decision(templates, lambda t, d: context_issue(t, d, shot), F.lit(None).cast("string")),
-            "missing_fields": _per_decision(
-                templates,
-                lambda t, d: V.missing_names(obj, t.decision_fields(d)),
-                F.array().cast("array<string>"),
-            ),
-            "rule_pos": matched_rule(templates, obj),
-        }
+    rows = with_decision_rules(rows, templates).withColumns(
+        {"context_issue": context_issue(shot), "missing_fields": _missing(obj), "rule_pos": matched_rule(obj)}
     )
     checkable = (
         F.col("context_issue").isNull() & (F.size("missing_fields") == 0) & V.as_object(F.col("context")).isNotNull()
     )
-    rows = rows.withColumn("rule_pos", F.when(checkable, F.col("rule_pos")))
+    rows = rows.withColumn("rule_pos", F.when(checkable, F.col("rule_pos"))).drop("names", "required_names", "rules")
     rules = templates.rules().select("template_key", "decision_pos", "rule_pos", "next_step", "next_group")
     steps = profiles.select(*KEY, F.map_keys("first_at").alias("_seen"), "groups")
     rows = rows.join(rules, ["template_key", "decision_pos", "rule_pos"], "left").join(steps, KEY)

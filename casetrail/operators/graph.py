@@ -11,9 +11,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from casetrail.functions import values as V
+from casetrail.functions import conditions as C, values as V
 from casetrail.operators.cases import CASE, order_columns, with_neighbours
-from casetrail.operators.decisions import match_decision_rule
 from casetrail.operators.quantiles import exact_quantiles, value_counts
 from casetrail.plans.templates import END, START, TemplateSet, small_table
 
@@ -162,18 +161,22 @@ def _pairs(src: _Source, edges: pd.DataFrame) -> pd.DataFrame:
     return out.assign(rank=out["kind"].map(RANK)).sort_values(["t", "a", "b", "rank", "o1", "o2"], kind="stable")
 
 
-def picked_rules(templates: TemplateSet, obj: Column) -> Column:
-    """Map of the decisions after ``step_key`` to the rule that the context matches; null without a context."""
-    out = None
-    for t in templates:
-        for after in dict.fromkeys(d["after"] for d in t.decisions if d["after"]):
-            here = [d for d in t.decisions if d["after"] == after]
-            pairs = [x for d in here for x in (F.lit(d["key"]), match_decision_rule(d, obj))]
-            cond = (F.col("template_key") == t.key) & (F.col("step_key") == after)
-            value = F.when(obj.isNotNull(), F.create_map(*pairs))
-            out = F.when(cond, value) if out is None else out.when(cond, value)
+def picked_rules(rows: DataFrame, templates: TemplateSet, obj: Column) -> DataFrame:
+    """Add ``_picked``: the decisions after ``step_key`` with the rule that the context matches; null without a context."""
+    each = F.struct("decision_pos", "decision_key", "names", "rules")
+    here = (
+        templates.decision_rules().filter(F.col("after_step").isNotNull())
+        .groupBy("template_key", F.col("after_step").alias("step_key"))
+        .agg(F.array_sort(F.collect_list(each)).alias("_decisions"), F.flatten(F.collect_set("names")).alias("_names"))
+    )
+    pairs = C.let(
+        C.facts(obj, F.col("_names")),
+        lambda seen: F.transform("_decisions", lambda d: F.struct(d["decision_key"].alias("key"), C.first_rule(seen, d["rules"]).alias("rule_pos"))),
+    )
     none = F.create_map().cast("map<string,int>")
-    return none if out is None else out.otherwise(none)
+    picked = F.when(F.col("_decisions").isNull(), none).when(obj.isNotNull(), F.map_from_entries(pairs))
+    out = rows.join(F.broadcast(here) if templates.is_small() else here, ["template_key", "step_key"], "left")
+    return out.withColumn("_picked", picked).drop("_decisions", "_names")
 
 
 class GraphTables:
@@ -226,7 +229,7 @@ def project_transitions(
         timeline, next={"to_step": "step_key", "to_at": "occurred_at"}, order=order_columns(order)
     )
     tagged = templates.expand(nxt)
-    tagged = tagged.withColumn("_picked", picked_rules(templates, V.as_object(F.col("ctx"))))
+    tagged = picked_rules(tagged, templates, V.as_object(F.col("ctx")))
     looked = tagged.join(GraphTables(templates).candidates(), ["template_key", "step_key", "to_step"], "left")
     fits = F.filter(
         "candidates",

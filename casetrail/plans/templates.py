@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from casetrail.functions import conditions
+
 SMALL_ROWS = 20_000
 OPERATORS = ("eq", "neq", "gt", "gte", "lt", "lte", "in", "exists")
 START, END = "__start", "__end"
@@ -185,6 +187,10 @@ class TemplateSet:
     def __iter__(self):
         return iter(self.templates)
 
+    def is_small(self) -> bool:
+        """Few enough decisions for tables made of them to be broadcast."""
+        return sum(len(t.decisions) for t in self) < SMALL_ROWS
+
     def context_fields(self) -> list[str]:
         return list(dict.fromkeys(n for t in self for n in t.context_fields()))
 
@@ -267,6 +273,20 @@ class TemplateSet:
             " next_step string, next_group string, field string, is_else boolean",
         )
 
+    def decision_rules(self) -> DataFrame:
+        """Per decision: the fields it reads, those that must be fresh, the longest delay, and its rules as data."""
+        rows = []
+        for t in self:
+            for i, d in enumerate(t.decisions):
+                names = t.decision_fields(d)
+                fresh = [n for n in names if t.fields.get(n) != "immutable"]
+                rows.append((t.key, i, d["key"], d["after"], names, list(dict.fromkeys(d["required"])), fresh, t.max_delay, conditions.rules(d)))
+        return self._table(
+            rows,
+            "template_key string, decision_pos int, decision_key string, after_step string, names array<string>,"
+            f" required_names array<string>, fresh_names array<string>, max_delay long, rules {conditions.RULES}",
+        )
+
     def expand(self, df: DataFrame) -> DataFrame:
         """Tag rows carrying ``process_key`` with every template of that process."""
         return df.join(self.processes(), "process_key").withColumnRenamed("start_step", "_start").drop("_start")
