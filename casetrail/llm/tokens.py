@@ -30,6 +30,8 @@ def _look_up(tokenizer: Tokenizer, pieces: list[str]) -> dict[str, bytes]:
     own = [p for p in pieces if BREAK in p]
     out = {p: _raw(tokenizer.encode(p, add_special_tokens=False).ids) for p in own}
     rest = [p for p in pieces if BREAK not in p]
+    if not rest:
+        return out
     ids = np.array(tokenizer.encode(BREAK.join(rest), add_special_tokens=False).ids, "<u4")
     cuts = np.flatnonzero(ids == tokenizer.token_to_id(BREAK))
     raw, starts, ends = ids.tobytes(), [0, *((cuts + 1) * 4).tolist()], [*(cuts * 4).tolist(), 4 * len(ids)]

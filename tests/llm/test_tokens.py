@@ -33,6 +33,11 @@ def test_ids_are_those_of_the_whole_text():
     assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encode(texts)] == [ids_of(t) for t in texts]
 
 
+@pytest.mark.parametrize("text", ["<|startoftext|>", "<|endoftext|>", "<|startoftext|><|endoftext|> <|startoftext|>"])
+def test_texts_of_special_tokens_only(text):
+    assert np.frombuffer(tokens.encode([text])[0], "<u4").tolist() == ids_of(text)
+
+
 def test_fullest_matches_brute_force():
     r = random.Random(2)
     for _ in range(200):
