@@ -342,33 +342,54 @@ def collapse_repeats(
 IDENTITY = ["source_system", "case_identity", "document_version", "process_key", "template_version"]
 
 
-def build_instances(events: DataFrame, template_version: str = "draft") -> DataFrame:
-    """One row per identity: start of the first arrival, last event, current step.
-
-    Arrival order is (received, id); a case without uuid is known by its
-    external id.  Instances never end.
-    """
-    arrival = F.struct("received_at", F.coalesce("event_id", F.lit(LAST_ID)), "external_event_key")
-    after = F.col("event_phase") == "after"
+def instance_state(events: DataFrame, template_version: str = "draft") -> DataFrame:
+    """What is known of each identity from these events alone: first and last arrival, last arrival of phase ``after``,
+    count.  States of parts of a log merge (``merged_state``) in any order and grouping."""
+    arrival = F.struct("received_at", F.coalesce("event_id", F.lit(LAST_ID)).alias("event_id"), "external_event_key")
     uuid = F.nullif(F.col("document_uuid"), F.lit(""))
     identity = F.when(uuid.isNotNull(), F.concat(F.lit("uuid:"), uuid)).otherwise(
         F.concat(F.lit("external:"), F.coalesce("document_external_id", F.lit("")))
     )
+    first = F.struct(arrival.alias("arrival"), "document_uuid", "document_external_id", "occurred_at")
+    last = F.struct(arrival.alias("arrival"), "occurred_at")
+    after = F.when(F.col("event_phase") == "after", F.struct(arrival.alias("arrival"), "step_key"))
     return (
         events.withColumns({"case_identity": identity, "template_version": F.lit(template_version)})
         .groupBy(*IDENTITY)
-        .agg(
-            F.min_by("document_uuid", arrival).alias("document_uuid"),
-            F.min_by("document_external_id", arrival).alias("document_external_id"),
-            F.min_by("occurred_at", arrival).alias("started_at"),
-            F.max_by("occurred_at", arrival).alias("last_event_at"),
-            F.coalesce(F.max_by("step_key", F.when(after, arrival)), F.lit("unknown")).alias("current_step_key"),
-            F.count(F.lit(1)).alias("event_count"),
-        )
-        .withColumn("status", F.lit("running"))
+        .agg(F.min(first).alias("first"), F.max(last).alias("last"), F.max(after).alias("after"), F.count(F.lit(1)).alias("event_count"))
+    )
+
+
+def merged_state(states: DataFrame) -> DataFrame:
+    """One state per identity."""
+    return states.groupBy(*IDENTITY).agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.max("after").alias("after"), F.sum("event_count").alias("event_count")
     )
 
 
+def instances_of(states: DataFrame) -> DataFrame:
+    """Instances from merged states."""
+    return states.select(
+        *IDENTITY,
+        F.col("first.document_uuid").alias("document_uuid"),
+        F.col("first.document_external_id").alias("document_external_id"),
+        F.col("first.occurred_at").alias("started_at"),
+        F.col("last.occurred_at").alias("last_event_at"),
+        F.coalesce("after.step_key", F.lit("unknown")).alias("current_step_key"),
+        "event_count",
+        F.lit("running").alias("status"),
+    )
+
+
+def build_instances(events: DataFrame, template_version: str = "draft") -> DataFrame:
+    """One row per identity: start of the first arrival, last event, current step.
+
+    Arrival order is (received, id); a case without uuid is known by its
+    external id.  Instances never end.
+    """
+    return instances_of(instance_state(events, template_version))
+
+
 def journey_overview(events: DataFrame, instances: DataFrame) -> DataFrame:
     """Per case and process: event and instance counts, versions, first and last time."""
     e = (

@@ -175,7 +175,7 @@ def stream_instances(spark, d):
     events = A.web_log(utc(spark), d, split_process=True)
     events.repartition(4).write.parquet(log)
     streams.stream_instances(log, events.schema, out, mark, spark).awaitTermination()
-    now = streams.current_instances(spark.read.parquet(out))
+    now = streams.current_instances(spark, out)
     return now.select("process_key", "document_uuid", "document_version", "current_step_key", s("started_at"), s("last_event_at"), "event_count")
 
 
