@@ -8,13 +8,18 @@ log, which Spark aggregates, as small tables.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from datetime import datetime
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from casetrail.functions import conditions as C, values as V
-from casetrail.operators.cases import CASE, order_columns, with_neighbours
+from casetrail.operators.cases import CASE, order_columns, run_starts, with_neighbours
+from casetrail.operators.kpi import durations_of, step_times
 from casetrail.operators.quantiles import exact_quantiles, value_counts
 from casetrail.plans.templates import END, START, TemplateSet, small_table
+from casetrail.sources.scratch import staged
 
 DIRECT = "EXPECTED_DIRECT"
 VIA_DECISION = "EXPECTED_VIA_DECISION"
@@ -261,7 +266,11 @@ def transition_classes(projected: DataFrame) -> DataFrame:
 
 def edge_metrics(projected: DataFrame, templates: TemplateSet) -> DataFrame:
     """Observed and deviating passages per edge, expected edges included."""
-    pairs = transition_classes(projected)
+    return edges_of(transition_classes(projected), templates)
+
+
+def edges_of(pairs: DataFrame, templates: TemplateSet) -> DataFrame:
+    """``edge_metrics`` from counted pairs."""
     bad = F.col("classification") == UNEXPECTED
     seen = (
         pairs.select("template_key", "observed", bad.alias("_bad"), F.inline("edges"))
@@ -325,6 +334,11 @@ def _completed_groups(projected: DataFrame, templates: TemplateSet) -> DataFrame
 
 def node_flow(projected: DataFrame, templates: TemplateSet) -> DataFrame:
     """Distinct cases touching each node, gateways and completed joins included."""
+    return flow_of(touched_nodes(projected, _completed_groups(projected, templates), templates), templates)
+
+
+def touched_nodes(projected: DataFrame, groups: DataFrame, templates: TemplateSet) -> DataFrame:
+    """Cases (``n``) per node. A case counts once, so counts of different cases add up."""
     tables = GraphTables(templates)
     key = ["process_key", "document_uuid", "template_key"]
     own = projected.select(*key, F.col("step_key").alias("node_id"))
@@ -335,22 +349,28 @@ def node_flow(projected: DataFrame, templates: TemplateSet) -> DataFrame:
         .filter((F.col("node_id") != F.col("step_key")) & (F.col("node_id") != F.col("to_step")))
         .select(*key, "node_id")
     )
-    known = tables.nodes().drop("label", "required")
-    joins = _completed_groups(projected, templates).select(
+    known = tables.nodes()
+    joins = groups.select(
         *key, F.concat(F.lit("parallel_join:"), "group_key").alias("node_id")
     )
     virtual = ends.unionByName(joins).join(known.select("template_key", "node_id"), ["template_key", "node_id"], "left_semi")
     touched = own.unionByName(virtual.select(*key, "node_id")).filter(~F.col("node_id").isin(START, END)).distinct()
-    return (
-        touched.groupBy("template_key", "node_id")
-        .agg(F.count(F.lit(1)).alias("flow_count"))
-        .join(known, ["template_key", "node_id"], "left")
-        .fillna("task", ["node_type"])
-    )
+    return touched.groupBy("template_key", "node_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def flow_of(touched: DataFrame, templates: TemplateSet) -> DataFrame:
+    """``node_flow`` from counted cases."""
+    known = GraphTables(templates).nodes().drop("label", "required")
+    flow = touched.withColumnRenamed("n", "flow_count")
+    return flow.join(known, ["template_key", "node_id"], "left").fillna("task", ["node_type"])
 
 
 def virtual_node_durations(projected: DataFrame, templates: TemplateSet) -> DataFrame:
     """One row per passage: waiting at decisions, time inside parallel groups."""
+    return _virtual_durations(projected, _completed_groups(projected, templates), templates)
+
+
+def _virtual_durations(projected: DataFrame, groups: DataFrame, templates: TemplateSet) -> DataFrame:
     known = GraphTables(templates).nodes().drop("label", "required").withColumnRenamed("node_id", "node_key")
     gate = F.filter("edges", lambda e: e["to_node"].startswith("decision:"))[0]["to_node"]
     waits = projected.filter(F.col("classification") == VIA_DECISION).select(
@@ -358,7 +378,6 @@ def virtual_node_durations(projected: DataFrame, templates: TemplateSet) -> Data
         gate.alias("node_key"),
         F.greatest(F.lit(0).cast("long"), F.unix_seconds("to_at") - F.unix_seconds("occurred_at")).alias("seconds"),
     )
-    groups = _completed_groups(projected, templates)
     join = groups.select("template_key", F.concat(F.lit("parallel_join:"), "group_key").alias("node_key"), "seconds")
     start = groups.select("template_key", F.col("start_node").alias("node_key"), "seconds").join(
         known.select("template_key", "node_key"), ["template_key", "node_key"], "left_semi"
@@ -369,9 +388,17 @@ def virtual_node_durations(projected: DataFrame, templates: TemplateSet) -> Data
     )
 
 
+#: What a gateway is known by in counted waiting times.
+GATE = ["template_key", "node_key", "node_type"]
+
+
 def duration_stats(rows: DataFrame, keys: list[str], value: str = "seconds") -> DataFrame:
     """Count, average, median, 95th percentile and maximum of whole seconds."""
-    counts = value_counts(rows, keys, value)
+    return stats_of(value_counts(rows, keys, value), keys, value)
+
+
+def stats_of(counts: DataFrame, keys: list[str], value: str = "seconds") -> DataFrame:
+    """``duration_stats`` from counted values."""
     base = counts.groupBy(*keys).agg(
         F.sum("_n").alias("n"),
         (F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias("avg_seconds"),
@@ -386,6 +413,10 @@ def node_metrics(durations: DataFrame, virtual: DataFrame, flow: DataFrame, temp
     ``durations`` is the duration heatmap.  A task's 95th percentile is its
     maximum; start steps have no reliable waiting time.
     """
+    return _node_rows(durations, duration_stats(virtual, GATE), flow, templates)
+
+
+def _node_rows(durations: DataFrame, stats: DataFrame, flow: DataFrame, templates: TemplateSet) -> DataFrame:
     starts = (
         GraphTables(templates).edges()
         .filter(F.col("from_node") == START)
@@ -408,7 +439,7 @@ def node_metrics(durations: DataFrame, virtual: DataFrame, flow: DataFrame, temp
         .withColumn("reliable", F.when(F.col("_start"), F.lit(0)).otherwise(F.col("completed")))
         .drop("_start", "completed")
     )
-    gates = duration_stats(virtual, ["template_key", "node_key", "node_type"]).select(
+    gates = stats.select(
         "template_key",
         F.col("node_key").alias("node_id"),
         "node_type",
@@ -435,6 +466,61 @@ def node_metrics(durations: DataFrame, virtual: DataFrame, flow: DataFrame, temp
     )
 
 
+@dataclass(frozen=True)
+class ProjectionMetrics:
+    """Everything that is counted about a projection, in one written table: passages per pair of steps, cases per node,
+    and waiting times per task and gateway as counts of whole seconds. Tables of different cases may be stacked: the
+    frames below only add counts up."""
+
+    counts: DataFrame
+    templates: TemplateSet
+
+    def _kind(self, kind: str, *columns: str) -> DataFrame:
+        keys = [F.col(c) for c in columns]
+        return self.counts.filter(F.col("kind") == kind).groupBy("template_key", *keys).agg(F.sum("n").alias("n"))
+
+    def edges(self) -> DataFrame:
+        pairs = self._kind("pair", "node", "other", "classification", "edges").withColumnsRenamed({"node": "from_step", "other": "to_step", "n": "observed"})
+        return edges_of(pairs, self.templates)
+
+    def flow(self) -> DataFrame:
+        return flow_of(self._kind("case", "node").withColumnRenamed("node", "node_id"), self.templates)
+
+    def gate_stats(self) -> DataFrame:
+        waits = self._kind("gate", "node", "other", "seconds").withColumnsRenamed({"node": "node_key", "other": "node_type", "n": "_n"})
+        return stats_of(waits, GATE)
+
+    def durations(self) -> DataFrame:
+        waits = self._kind("task", "node", "is_open", "seconds").withColumnsRenamed({"node": "step_key", "n": "_n"})
+        return durations_of(waits, self.templates)
+
+    def nodes(self) -> DataFrame:
+        return _node_rows(self.durations(), self.gate_stats(), self.flow(), self.templates)
+
+
+METRICS = ["template_key", "kind", "node", "other", "classification", "edges", "is_open", "seconds", "n"]
+
+
+def projection_metrics(timeline: DataFrame, templates: TemplateSet, now: datetime, order: str = "occurred-then-received") -> ProjectionMetrics:
+    """Project a timeline (with ``ctx``) once and count what the graph shows. The timeline and the projection are written
+    once each, as the counts read them several times."""
+    names = [*CASE, "pos", *order_columns(order), "step_key", "ctx", *[c for c in ("block",) if c in timeline.columns]]
+    rows = staged(timeline.select(*dict.fromkeys(names)), "graph-timeline")
+    projected = project_transitions(rows, templates, order)
+    projected = staged(projected.select(*CASE, "template_key", "pos", "step_key", "to_step", "occurred_at", "to_at", "classification", "edges"), "projected")
+    groups = staged(_completed_groups(projected, templates), "completed-groups")
+    pairs = transition_classes(projected).withColumnsRenamed({"from_step": "node", "to_step": "other", "observed": "n"}).withColumn("kind", F.lit("pair"))
+    touched = touched_nodes(projected, groups, templates).withColumnRenamed("node_id", "node").withColumn("kind", F.lit("case"))
+    gates = value_counts(_virtual_durations(projected, groups, templates), GATE, "seconds")
+    gates = gates.withColumnsRenamed({"node_key": "node", "node_type": "other", "_n": "n"}).withColumn("kind", F.lit("gate"))
+    tasks = templates.expand(value_counts(step_times(run_starts(rows.drop("ctx"), order=order), now), ["process_key", "step_key", "is_open"], "seconds"))
+    tasks = tasks.drop("process_key").withColumnsRenamed({"step_key": "node", "_n": "n"}).withColumn("kind", F.lit("task"))
+    every = pairs
+    for part in (touched, gates, tasks):
+        every = every.unionByName(part, allowMissingColumns=True)
+    return ProjectionMetrics(staged(every.select(*METRICS), "projection-metrics"), templates)
+
+
 def parallel_group_rollup(durations: DataFrame, templates: TemplateSet) -> DataFrame:
     """Members of a group taken together: sums, mean of averages, highest intensity."""
     members = GraphTables(templates).members().select("template_key", "group_key", "step_key")

@@ -179,8 +179,13 @@ def duration_heatmap(entries: DataFrame, templates: TemplateSet, now: datetime)
     Averages are rounded to 2 before intensities are taken; steps of the
     template without events are listed with zeros.
     """
-    keys = ["process_key", "step_key"]
-    counts = value_counts(step_times(entries, now), keys + ["is_open"], "seconds")
+    counts = value_counts(step_times(entries, now), ["process_key", "step_key", "is_open"], "seconds")
+    return durations_of(templates.expand(counts).drop("process_key"), templates)
+
+
+def durations_of(counts: DataFrame, templates: TemplateSet) -> DataFrame:
+    """``duration_heatmap`` from counted seconds (``_n``) per template, step and ``is_open``."""
+    keys = ["template_key", "step_key"]
     done, n, total = ~F.col("is_open"), F.col("_n"), F.col("seconds") * F.col("_n")
     agg = counts.groupBy(*keys).agg(
         F.sum(F.when(done, n)).alias("completed"),
@@ -192,9 +197,9 @@ def duration_heatmap(entries: DataFrame, templates: TemplateSet, now: datetime)
     )
     median = exact_quantiles(counts, keys + ["is_open"], "seconds", {"_median": 0.5})
     median = median.filter(~F.col("is_open")).drop("is_open")
-    seen = templates.expand(agg.join(median, keys, "left"))
+    seen = agg.join(median, keys, "left")
     steps = templates.steps().select("template_key", "step_key")
-    rows = seen.drop("process_key").join(steps, ["template_key", "step_key"], "full_outer").fillna(
+    rows = seen.join(steps, ["template_key", "step_key"], "full_outer").fillna(
         0, ["completed", "open"]
     )
 

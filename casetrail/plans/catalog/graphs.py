@@ -18,6 +18,12 @@ def _projected(spark, d):
     return graph.project_transitions(t, tpl), tpl
 
 
+def _metrics(spark, d):
+    log = A.full_log(utc(spark), d)
+    t = cases.case_timeline(cases.attach_snapshots(log, A.log_snapshots(log)), include_before=False, merge_versions=True, sized_by=log)
+    return graph.projection_metrics(t, templates(spark), NOW)
+
+
 def _durations(spark, d):
     t = cases.case_timeline(A.full_log(utc(spark), d), include_before=False, merge_versions=True)
     tpl = templates(spark)
@@ -57,10 +63,7 @@ def virtual_node_durations(spark, d):
 
 
 def node_metrics(spark, d):
-    p, tpl = _projected(spark, d)
-    dur, _ = _durations(spark, d)
-    m = graph.node_metrics(dur, graph.virtual_node_durations(p, tpl), graph.node_flow(p, tpl), tpl)
-    return m.select("template_key", "node_id", "node_type", "observed", *[F.round(c, 3).alias(c) for c in ("avg_seconds", "median_seconds", "p95_seconds")], "reliable", "flow_count")
+    return _metrics(spark, d).nodes().select("template_key", "node_id", "node_type", "observed", *[F.round(c, 3).alias(c) for c in ("avg_seconds", "median_seconds", "p95_seconds")], "reliable", "flow_count")
 
 
 def _gaps(spark, d):
