@@ -287,3 +287,11 @@ def timeline_report(timeline: DataFrame, templates: TemplateSet, keys: list[str]
     )
     tagged = templates.expand(diffs)
     return tagged.join(fields, ["template_key", "field"], "left").fillna(False, ["is_decision_field"])
+
+
+def event_timeline_report(timeline: DataFrame, templates: TemplateSet, keys: list[str]) -> DataFrame:
+    """Every event with its context; events whose context changed have one row per change."""
+    events = templates.expand(timeline.select(*dict.fromkeys([*keys, "process_key", "pos", "external_event_key", "step_key", "occurred_at", "ctx"])))
+    changes = timeline_report(timeline, templates, keys)
+    same = list(dict.fromkeys([*keys, "template_key", "pos"]))
+    return events.join(changes.select(*same, "field", "change", "from_json", "to_json", "is_decision_field"), same, "left")

@@ -237,15 +237,48 @@ def decision_reasons(evaluated: DataFrame, templates: TemplateSet) -> DataFrame:
         F.coalesce("next_group", "next_step").alias("expected"), F.col("next_step_seen").alias("actual_step"),
     )
     rows = bad.join(rule, ["template_key", "decision_key", "rule_pos"]).join(field, ["template_key", "decision_key"])
-    value = F.call_function("get_json_object", F.col("context"), F.concat(F.lit("$['"), F.col("field"), F.lit("']")))
-    return rows.select(*KEY, "decision_key", "after_step", "rule", "expected", "actual_step", "field", value.alias("value"))
+    fields = F.try_variant_get(V.as_object(F.col("context")), "$", "map<string,variant>")
+    value = V.value_text(F.try_element_at(fields, F.col("field")))
+    return rows.select(*KEY, "decision_key", "after_step", "rule", "expected", "actual_step", "field", value.alias("value_json"))
+
+
+# How an issue is worded (decision, field, then what the issue adds).
+ISSUE_TEXTS = {
+    "no_snapshot": "Uncheckable context missing: decision point %s field %s requires a snapshot. event occurred_at=%s",
+    "not_loaded": "Uncheckable context missing: decision point %s field %s snapshot has no loaded_at timestamp. event occurred_at=%s",
+    SKEW: "Uncertain context time skew: decision point %s field %s snapshot freshness_seconds=%d is negative. event occurred_at=%s loaded_at=%s",
+    STALE: "Uncertain context stale: decision point %s field %s snapshot freshness_seconds=%d exceeds max_delay_seconds=%d. event occurred_at=%s loaded_at=%s",
+}
 
 
 def context_freshness_issues(evaluated: DataFrame) -> DataFrame:
-    """Decisions that could not be checked, with the status that says why."""
-    return evaluated.filter(F.col("context_issue").isNotNull()).select(
-        *KEY, "decision_pos", "decision_key", "after_step", "context_issue", "sum_freshness"
+    """Decisions that could not be checked: the status that says why, the field it is about, the limit, and the text.
+
+    An issue is about the first field that must be fresh, unless only a later one is missing."""
+    known = F.coalesce(F.map_keys(F.try_variant_get(V.as_object(F.col("sum_context")), "$", "map<string,variant>")), F.array().cast("array<string>"))
+    absent = F.filter("fresh_names", lambda n: ~F.col("has_snapshot") | ~F.array_contains(known, n))
+    shot_at = F.coalesce("sum_occurred_at", "occurred_at")
+    fresh = F.coalesce(F.unix_seconds("sum_loaded_at") - F.unix_seconds(shot_at), F.col("sum_freshness"))
+    first, lost = F.get("fresh_names", F.lit(0)), F.get(absent, F.lit(0))
+    not_loaded = (F.col("context_issue") == MISSING) & F.col("sum_loaded_at").isNull() & ~F.coalesce(first == lost, F.lit(False))
+    rows = evaluated.filter(F.col("context_issue").isNotNull()).withColumns(
+        {"_unread": not_loaded, "freshness": fresh, "field": F.when((F.col("context_issue") == MISSING) & ~not_loaded, lost).otherwise(first)}
+    )
+
+    def iso(t: Column | str) -> Column:
+        return F.date_format(t, "yyyy-MM-dd'T'HH:mm:ssxxx")
+
+    head, times = ["decision_key", "field"], [iso(shot_at), iso("sum_loaded_at")]
+    message = (
+        F.when(F.col("_unread"), F.format_string(ISSUE_TEXTS["not_loaded"], *head, times[0]))
+        .when(F.col("context_issue") == SKEW, F.format_string(ISSUE_TEXTS[SKEW], *head, "freshness", *times))
+        .when(F.col("context_issue") == STALE, F.format_string(ISSUE_TEXTS[STALE], *head, "freshness", "max_delay", *times))
+        .otherwise(F.format_string(ISSUE_TEXTS["no_snapshot"], *head, times[0]))
     )
+    return rows.select(
+        *KEY, "decision_pos", "decision_key", "after_step", "context_issue", "sum_freshness",
+        "field", "freshness", F.col("max_delay").alias("max_delay_seconds"), message.alias("message"),
+    )
 
 
 def context_status(issues: DataFrame) -> DataFrame:

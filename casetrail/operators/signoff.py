@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from casetrail.functions import values as V
 from casetrail.operators.conformance import KEY
-from casetrail.plans.templates import TemplateSet
-
-#: Lists inside lists that names are looked for in (each level makes the expression longer).
-NESTING = 8
+from casetrail.plans.templates import TemplateSet, small_table
 
 
 def _scalar_text(v: Column) -> Column:
@@ -21,26 +18,40 @@ def _scalar_text(v: Column) -> Column:
     return F.array_compact(F.array(text))
 
 
-def _members(v: Column, depth: int) -> Column:
+def _depth(v: Column) -> Column:
+    """How deep lists and objects are nested."""
+    marks = F.regexp_replace(F.regexp_replace(V.value_text(v), r'"(\\.|[^"\\])*"', ""), r"[^\[\]{}]", "")
+
+    def step(state: Column, mark: Column) -> Column:
+        now = state["now"] + F.when(mark.isin("[", "{"), 1).when(mark.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
+
+    return F.aggregate(F.split(marks, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda x: x["most"])
+
+
+def _members(v: Column) -> Column:
     """Texts inside a list or object: objects give their name, else their id,
-    else their own members."""
+    else their own members.
 
-    def one(e: Column) -> Column:
+    Every round replaces nested values by what they hold, in place; as many
+    rounds as the value is deep leave none."""
+    plain = ("string", "int", "float", "bool")
+
+    def held(e: Column) -> Column:
+        return F.coalesce(F.try_variant_get(e, "$", "array<variant>"), F.map_values(F.try_variant_get(e, "$", "map<string,variant>")))
+
+    def opened(e: Column) -> Column:
         name, ident = V.field(e, "name"), V.field(e, "id")
-        plain = ("string", "int", "float", "bool")
-        inner = _members(e, depth - 1) if depth > 1 else F.array().cast("array<string>")
         return (
-            F.when(V.value_type(name).isin(*plain), _scalar_text(name))
-            .when(V.value_type(ident).isin(*plain), _scalar_text(ident))
-            .when(V.value_type(e) == "array", inner)
-            .otherwise(_scalar_text(e))
+            F.when(V.value_type(name).isin(*plain), F.array(name))
+            .when(V.value_type(ident).isin(*plain), F.array(ident))
+            .when(V.value_type(e) == "array", held(e))
+            .otherwise(F.array(e))
         )
 
-    items = F.coalesce(
-        F.try_variant_get(v, "$", "array<variant>"),
-        F.map_values(F.try_variant_get(v, "$", "map<string,variant>")),
-    )
-    return F.coalesce(F.flatten(F.transform(items, one)), F.array().cast("array<string>"))
+    rounds = F.sequence(F.lit(1), F.greatest(_depth(v), F.lit(1)))
+    leaves = F.aggregate(rounds, held(v), lambda items, _: F.flatten(F.transform(items, opened)))
+    return F.coalesce(F.flatten(F.transform(leaves, _scalar_text)), F.array().cast("array<string>"))
 
 
 def name_set(v: Column) -> Column:
@@ -48,8 +59,8 @@ def name_set(v: Column) -> Column:
     kind, text = V.value_type(v), V.plain_text(v)
     decoded = F.when(kind == "string", F.try_parse_json(text))
     names = (
-        F.when(kind == "array", _members(v, NESTING))
-        .when(V.value_type(decoded) == "array", _members(decoded, NESTING))
+        F.when(kind == "array", _members(v))
+        .when(V.value_type(decoded) == "array", _members(decoded))
         .when(kind == "string", F.split(text, "[,;\n]+"))
         .when(kind.isin("int", "float", "bool"), _scalar_text(v))
         .otherwise(F.array().cast("array<string>"))
@@ -59,34 +70,30 @@ def name_set(v: Column) -> Column:
 
 def sign_checks(entries: DataFrame, templates: TemplateSet) -> DataFrame:
     """One row per case and sign check, judged on the latest entry that has either set."""
-    tagged = templates.expand(entries).withColumn("_obj", V.as_object(F.col("sum_context")))
-    aggs, defs, n = [], [], 0
-    for t in templates:
-        for s in t.sign_checks:
-            has = V.has_key(F.col("_obj"), s["required"]) | V.has_key(F.col("_obj"), s["actual"])
-            here = (F.col("template_key") == t.key) & has
-            aggs.append(F.max_by("sum_context", F.when(here, F.col("entry"))).alias(f"_c{n}"))
-            defs.append((t.key, s, f"_c{n}"))
-            n += 1
-    cases = tagged.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"), *aggs)
-    rows = []
-    for key, s, c in defs:
-        obj = V.as_object(F.col(c))
-        req, act = V.field(obj, s["required"]), V.field(obj, s["actual"])
-        absent = F.array_compact(
-            F.array(F.when(req.isNull(), F.lit(s["required"])), F.when(act.isNull(), F.lit(s["actual"])))
-        )
-        rows.append(
-            F.struct(
-                F.lit(key).alias("_t"),
-                F.lit(s["key"]).alias("check_key"),
-                F.lit(s["label"]).alias("label"),
-                absent.alias("missing_context"),
-                name_set(req).alias("required"),
-                name_set(act).alias("actual"),
-            )
-        )
-    d = cases.select(*KEY, F.inline(F.array(*rows))).filter(F.col("_t") == F.col("template_key"))
+    checks = small_table(
+        templates.spark,
+        [(t.key, s["key"], s["label"], s["required"], s["actual"]) for t in templates for s in t.sign_checks],
+        "template_key string, check_key string, label string, required_field string, actual_field string",
+    )
+
+    def fields(context: Column) -> Column:
+        return F.try_variant_get(V.as_object(context), "$", "map<string,variant>")
+
+    tagged = templates.expand(entries).withColumn("_keys", F.map_keys(fields(F.col("sum_context")))).join(checks, "template_key")
+    has = F.array_contains("_keys", F.col("required_field")) | F.array_contains("_keys", F.col("actual_field"))
+    latest = tagged.groupBy(*KEY, *checks.columns[1:]).agg(F.max_by("sum_context", F.when(has, F.col("entry"))).alias("_context"))
+    both = latest.withColumn("_fields", fields(F.col("_context"))).withColumns(
+        {"_required": F.try_element_at("_fields", F.col("required_field")), "_actual": F.try_element_at("_fields", F.col("actual_field"))}
+    )
+    absent = [F.when(F.col(f"_{side}").isNull(), F.col(f"{side}_field")) for side in ("required", "actual")]
+    d = both.select(
+        *KEY,
+        "check_key",
+        "label",
+        F.array_compact(F.array(*absent)).alias("missing_context"),
+        name_set(F.col("_required")).alias("required"),
+        name_set(F.col("_actual")).alias("actual"),
+    )
     missing, extra = F.array_except("required", "actual"), F.array_except("actual", "required")
     matched = F.size("required") - F.size(missing)
     status = (

@@ -112,6 +112,21 @@ def context_freshness_issues(spark, d):
     return i.select(*KEY, "decision_key", "context_issue", "sum_freshness")
 
 
+def context_issue_details(spark, d):
+    i = decisions.context_freshness_issues(_evaluated(spark, d)[0])
+    return i.select(*KEY, "decision_key", "context_issue", "field", "freshness", "max_delay_seconds")
+
+
+def decision_reasons(spark, d):
+    ev, tpl, _ = _evaluated(spark, d)
+    return decisions.decision_reasons(ev, tpl).select(*KEY, "decision_key", "rule", "expected", "actual_step", "field", "value_json")
+
+
+def process_report(spark, d):
+    c, _ = _check(spark, d)
+    return findings.process_report(c.status, c.findings, c.issues)
+
+
 def sign_checks(spark, d):
     e, tpl = _entries(spark, d)
     out = signoff.sign_checks(e, tpl)
@@ -171,6 +186,9 @@ QUERIES = {
     "process_check_rows": process_check_rows,
     "problem_score": problem_score,
     "problem_summary": problem_summary,
+    "context_issue_details": context_issue_details,
+    "decision_reasons": decision_reasons,
+    "process_report": process_report,
     "top_problem_cases": top_problem_cases,
     "graph_findings": graph_findings,
 }
@@ -309,6 +327,19 @@ FROM (SELECT external_event_key, CAST(context AS JSON) AS c FROM web) x""",
     "case_status": f"{FULL} SELECT {KS}, status, report_status, context_status, sign_failures FROM rows_",
     "process_check_rows": f"{FULL} SELECT {KS}, report_status, warning_count, deviation_count, context_issue_count FROM rows_",
     "problem_score": f"{FULL} SELECT {KS}, problem_score FROM rows_",
+    "context_issue_details": f"{HEAD_D} SELECT {K}, dkey AS decision_key, issue AS context_issue, 'k' AS field, sum_freshness AS freshness, 300 AS max_delay_seconds FROM ev WHERE issue IS NOT NULL",
+    "decision_reasons": f"""{HEAD_D}, why AS (SELECT {K}, dkey AS decision_key, want AS expected, nxt AS actual_step,
+    CASE WHEN dkey = 'after_click' THEN CASE want WHEN 'purchase' THEN 'k gt 80' WHEN 'view' THEN 'k lt 20' WHEN 'browse' THEN 'flag eq true' ELSE 'else' END
+      WHEN dkey = 'after_purchase' THEN CASE want WHEN 'signup' THEN 'value gte 50' WHEN 'view' THEN 'band in ["low","mid"]' ELSE 'else' END
+      ELSE CASE want WHEN 'returned' THEN 'status eq "P"' ELSE 'else' END END AS rule,
+    unnest(CASE WHEN dkey = 'after_click' THEN [struct_pack(f := 'k', v := k), struct_pack(f := 'flag', v := flag)]
+      WHEN dkey = 'after_purchase' THEN [struct_pack(f := 'value', v := value), struct_pack(f := 'band', v := band)] ELSE [struct_pack(f := 'status', v := status)] END) AS x
+  FROM ev WHERE violated) SELECT template_key, document_uuid, document_version, decision_key, rule, expected, actual_step, x.f AS field, x.v AS value_json FROM why""",
+    "process_report": f"""{FULL} SELECT template_key, 'documents' AS section, 'total' AS label, count(*) AS n FROM rows_ GROUP BY ALL
+  UNION ALL SELECT template_key, 'status', report_status, count(*) FROM rows_ GROUP BY ALL
+  UNION ALL SELECT template_key, 'context_status', context_status, count(*) FROM rows_ WHERE context_status IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT f.template_key, CASE WHEN report_status = 'DEVIATION' THEN 'deviation_summary' ELSE 'warning_summary' END AS section, {LABEL} AS label, count(*) FROM found f JOIN rows_ r USING (template_key, document_uuid, document_version) WHERE report_status IN ('DEVIATION', 'WARNING') GROUP BY ALL
+  UNION ALL SELECT process_key, 'context_issue_summary', CASE issue WHEN 'UNCHECKABLE_CONTEXT_MISSING' THEN 'Uncheckable context missing' WHEN 'UNCERTAIN_CONTEXT_TIME_SKEW' THEN 'Uncertain context time skew' ELSE 'Uncertain context stale' END, count(*) FROM ev WHERE issue IS NOT NULL GROUP BY ALL""",
     "problem_summary": f"{FULL} SELECT template_key, {LABEL} AS problem, count(*) AS findings FROM found GROUP BY ALL",
     "top_problem_cases": f"{FULL} SELECT {KS}, problem_score, deviation_count, warning_count FROM rows_ WHERE problem_score > 0 ORDER BY problem_score DESC, deviation_count + warning_count DESC, document_uuid, template_key LIMIT 25",
     "graph_findings": f"{FULL} SELECT template_key, target, target_label, count(*) AS finding_count, count(DISTINCT document_uuid) AS case_count FROM found GROUP BY ALL",

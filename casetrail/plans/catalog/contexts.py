@@ -93,6 +93,11 @@ def timeline_report(spark, d):
     return r.select("document_uuid", "external_event_key", "field", "change", "is_decision_field")
 
 
+def event_timeline_report(spark, d):
+    r = context.event_timeline_report(_timeline(spark, d), web_template(spark), DOC)
+    return r.select("document_uuid", "external_event_key", "step_key", (F.col("ctx").isNotNull()).alias("has_context"), "field", "change", "is_decision_field")
+
+
 def _tags(spark, d):
     """Parts as tagged documents: size, price, brand and type."""
     p = A.table(spark, d, "part")
@@ -256,7 +261,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         context_history, context_diff_by_event, context_field_changes, context_coverage, capture_snapshot, repair_freshness,
-        context_change_annotations, timeline_report, enrich_from_tags, routing_event, as_of_context, cross_process_routing,
+        context_change_annotations, timeline_report, event_timeline_report, enrich_from_tags, routing_event, as_of_context, cross_process_routing,
         cross_process_routing_versions, rollup_status, loose_equals, journey_steps, journey_steps_versions, journey_transitions,
         journey_status, journey_context,
     )
@@ -394,6 +399,7 @@ vio AS (SELECT document_uuid, seq, 'after_click' AS decision_key, unnest(CASE WH
     FROM pairs WHERE step_key = 'purchase' AND nxt IS NOT NULL AND context IS NOT NULL AND CASE WHEN CAST(context->>'$.value' AS DOUBLE) >= 50 THEN nxt <> 'signup' WHEN context->>'$.band' IN ('low','mid') THEN nxt <> 'view' ELSE FALSE END),
 since AS (SELECT document_uuid, decision_key, field, min(seq) AS seq FROM vio GROUP BY ALL)
 SELECT DISTINCT s.decision_key, s.field, d.from_json, d.to_json FROM dif d JOIN since s ON s.document_uuid = d.document_uuid AND s.field = d.field AND d.seq > s.seq""",
+    "event_timeline_report": f"{DIFF_EVENTS} SELECT t.document_uuid, t.external_event_key, t.step_key, t.context IS NOT NULL AS has_context, field, change, CASE WHEN field IS NOT NULL THEN field IN ('k','flag','value','band') END AS is_decision_field FROM tlc t LEFT JOIN dif USING (document_uuid, external_event_key)",
     "timeline_report": f"{DIFF_EVENTS} SELECT document_uuid, external_event_key, field, change, field IN ('k','flag','value','band') AS is_decision_field FROM dif",
     "enrich_from_tags": f"WITH {TAGS_SQL} SELECT doc_id, t.f AS field, t.v AS value, 1 AS n_values FROM tags WHERE t.v IS NOT NULL",
     "routing_event": f"WITH {routed(SPLIT_SQL)}, r(rule_key, after_step) AS (VALUES ('r_buy','click'), ('r_help','view')) SELECT document_uuid, rule_key, external_event_key, event_phase FROM evt JOIN r ON after_step = step_key WHERE process_key = 'web' QUALIFY row_number() OVER (PARTITION BY document_uuid, rule_key ORDER BY event_phase <> 'after', occurred_at, received_at, event_id) = 1",

@@ -64,3 +64,25 @@ def test_five_hundred_templates(spark):
     picked = graph.project_transitions(timeline, templates).filter("to_step IS NOT NULL")
     classes = dict(rows(picked.filter("document_uuid = 'a' AND template_key IN ('t1', 't2')"), "template_key", "classification"))
     assert classes == {"t1": graph.VIA_DECISION, "t2": graph.UNEXPECTED}
+
+
+def test_issues_and_reasons_are_told(spark):
+    raw = template(1) | {"key": "p", "context_policy": {"max_delay_seconds": 60}}
+    raw["decision_points"][0]["required_fields"] = ["amount", "it's"]
+    raw["field_mappings"]["it's"] = {"stability": "volatile"}
+    templates = TemplateSet(spark, [raw])
+    context = {"a": {"amount": "120", "it's": 1, "kind": "z"}, "b": {"kind": "x"}, "c": {"amount": 5, "it's": 2}, "d": {"amount": 5}}
+    log = make_log(spark, {k: [("ask", "08:00"), ("rest", "09:00")] for k in "abcd"}, context=context)
+    late = F.when(F.col("document_uuid") == "c", F.expr("occurred_at + INTERVAL 90 SECONDS")).otherwise(F.col("occurred_at"))
+    snaps = snapshots_of(log).withColumn("loaded_at", late)
+    entries = cases.collapse_repeats(cases.case_timeline(cases.attach_snapshots(log, snaps)), templates.context_fields())
+    found = decisions.evaluate_decisions(entries, templates, conformance.case_profiles(entries, templates))
+    reasons = rows(decisions.decision_reasons(found, templates), "document_uuid", "rule", "expected", "field", "value_json")
+    assert reasons[:2] == [("a", "amount gt 100", "big", "amount", '"120"'), ("a", "amount gt 100", "big", "it's", "1")]
+    told = {r.document_uuid: (r.field, r.message) for r in decisions.context_freshness_issues(found).collect()}
+    at = "2026-05-31T08:00:00+00:00"
+    assert told == {
+        "b": ("amount", f"Uncheckable context missing: decision point d field amount requires a snapshot. event occurred_at={at}"),
+        "c": ("amount", f"Uncertain context stale: decision point d field amount snapshot freshness_seconds=90 exceeds max_delay_seconds=60. event occurred_at={at} loaded_at=2026-05-31T08:01:30+00:00"),
+        "d": ("it's", f"Uncheckable context missing: decision point d field it's requires a snapshot. event occurred_at={at}"),
+    }

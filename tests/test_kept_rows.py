@@ -67,6 +67,17 @@ def test_streamed_instances_equal_one_run_whatever_the_order(spark, tmp_path):
     assert rows(streams.current_instances(spark, out), *columns) == whole
 
 
+def test_names_are_found_however_deep(spark):
+    deep = '"Ada [x"'
+    for n in range(30):
+        deep = f"[{deep}]" if n % 2 else f'[{{"k": {deep}}}, "n{n} {{"]'
+    texts = [deep, '{"name": "Bo", "id": 3}', '[{"id": 3}, {"name": ["x"], "id": "Cy"}, {"name": null, "k": [["Di"]]}]', '"[[[[\\"Ed\\"]]]]"', "[[], {}]"]
+    df = spark.createDataFrame([(i, f'{{"f": {t}}}') for i, t in enumerate(texts)], "i int, c string")
+    got = [r[0] for r in df.orderBy("i").select(signoff.name_set(values.field(values.as_object(F.col("c")), "f"))).collect()]
+    assert got[0][0] == "Ada [x" and set(got[0][1:]) == {f"n{n} {{" for n in range(0, 30, 2)}
+    assert [sorted(x) for x in got[1:]] == [["3", "Bo"], ["3", "Cy", "Di"], ["Ed"], []]
+
+
 def test_large_and_small_groups_are_numbered_alike(spark):
     data = [(None if i % 4 == 0 else i % 3, None if i % 5 == 0 else i, i) for i in range(40)]
     df = spark.createDataFrame(data, "k int, o int, i int")
