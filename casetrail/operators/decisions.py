@@ -224,7 +224,7 @@ def decision_rule_violations(evaluated: DataFrame, templates: TemplateSet, profi
 
 def decision_reasons(evaluated: DataFrame, templates: TemplateSet) -> DataFrame:
     """Why a followed path is wrong: one row per violated decision and field that it reads, with the field's value in the
-    context that was judged, the rule that applied and what it called for."""
+    context that was judged (as text, and as JSON, which keeps its type), the rule that applied and what it called for."""
     rules = [
         (t.key, d["key"], j, "else" if r["else"] or not r["when"] else " ".join([r["when"][0], r["when"][1], V.canonical(r["when"][2])]))
         for t in templates for d in t.decisions for j, r in enumerate(d["rules"])
@@ -238,8 +238,11 @@ def decision_reasons(evaluated: DataFrame, templates: TemplateSet) -> DataFrame:
     )
     rows = bad.join(rule, ["template_key", "decision_key", "rule_pos"]).join(field, ["template_key", "decision_key"])
     fields = F.try_variant_get(V.as_object(F.col("context")), "$", "map<string,variant>")
-    value = V.value_text(F.try_element_at(fields, F.col("field")))
-    return rows.select(*KEY, "decision_key", "after_step", "rule", "expected", "actual_step", "field", value.alias("value_json"))
+    value = F.try_element_at(fields, F.col("field"))
+    return rows.select(
+        *KEY, "decision_key", "after_step", "rule", "expected", "actual_step", "field",
+        V.plain_text(value).alias("value"), V.value_text(value).alias("value_json"),
+    )
 
 
 # How an issue is worded (decision, field, then what the issue adds).
