@@ -3,12 +3,16 @@
 Documents (each closed by END) form one stream in the order of a hash; it is cut into sequences of LENGTH ids, the last
 filled up with PAD. A keyed Feistel permutation gives every sequence its global slot without a table: the smallest even
 number of bits that holds all numbers is permuted, and results beyond the last sequence are permuted again until
-they fall inside (cycle-walking). Slots are range-partitioned by shard; a task writes whole shards, each a file of
-PER_SHARD records of LENGTH little-endian 16-bit ids, under a temporary name first, so repeated or lost tasks do no harm.
-Slot s is record s % PER_SHARD of shard s // PER_SHARD: a reader resumes anywhere by seeking.
+they fall inside (cycle-walking). Slots are range-partitioned by shard, whose number is computed, so no range is sampled;
+a task writes whole shards, each a file of PER_SHARD records of LENGTH little-endian ids (16 bits wide, 32 for a vocabulary
+of more than 65,536), under a temporary name first, so repeated or lost tasks do no harm. Slot s is record s % PER_SHARD of
+shard s // PER_SHARD: a reader resumes anywhere by seeking.
+
+Ids move once, to their shard. Tokenizing tasks leave them in files of their own, in the order of their rows; only lengths
+and hashes are shuffled for the places in the stream, and come back to the task that reads such a file.
 
 Defined cases: a null or empty text is the single id END; rows that repeat are written as often; further columns are
-ignored; an empty table gives no rows and no shards.
+ignored; an empty table gives no rows and no shards; a very long text is one value of a file and is cut at the sequences when it is read.
 """
 
 from __future__ import annotations
@@ -23,10 +27,12 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from tokenizers import Tokenizer
 
 from casetrail.llm import tokens
-from casetrail.llm.common import batches, running_total, spread, staged, text_of, uniform
+from casetrail.llm.common import running_total, spread, staged, text_of, uniform
 from casetrail.llm.packing import TOGETHER
 
 LENGTH = 2048
@@ -34,6 +40,12 @@ PER_SHARD = 2048
 PAD = 0
 ROUNDS = 4
 MANIFEST = "manifest.json"
+#: Compressed bytes after which a task passes on what it has cut.
+PASS_ON = 1 << 24
+
+
+#: Ids of one text, compressed.
+FILE = pa.schema([("ids", pa.binary())])
 
 
 @dataclass(frozen=True)
@@ -45,10 +57,15 @@ class Order:
     length: int
     per_shard: int
     key: int
+    width: int = 2
 
     @property
     def stride(self) -> int:
-        return 2 * self.length
+        return self.width * self.length
+
+    @property
+    def type(self) -> str:
+        return f"<u{self.width}"
 
     def slot(self, sequence: np.ndarray) -> np.ndarray:
         """Global slots of sequences: Feistel rounds over half words, walked until inside the range."""
@@ -71,53 +88,79 @@ class Order:
         return f"shard-{shard:08d}.bin"
 
 
-def _token_rows(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n, ids (16-bit, compressed), _u."""
+def _token_files(docs: DataFrame, vocabulary: str, folder: str, width: int) -> DataFrame:
+    """doc_id, n, _u, and where the ids are: _task, _file, _row. A repeated task writes a file of another name."""
 
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, n, packed = batch.column("text").to_pylist(), [], []
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        task, file, row = TaskContext.get().partitionId(), uuid.uuid4().hex, 0
         squeeze = zstandard.ZstdCompressor(level=1)
-        for i in range(0, len(texts), TOGETHER):
-            for raw in tokens.encode(texts[i : i + TOGETHER], vocabulary):
-                ids = np.frombuffer(raw, "<u4")
-                if len(ids) and ids.max() > 0xFFFF:
-                    raise ValueError("a vocabulary of more than 65,536 ids needs wider records")
-                n.append(len(ids))
-                packed.append(squeeze.compress(ids.astype("<u2").tobytes()))
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(packed, pa.binary()), batch.column("_u")],
-            names=["doc_id", "n", "ids", "_u"],
-        )
+        with store.open_output_stream(f"{base}/{file}") as out, pa.ipc.new_stream(out, FILE) as stream:
+            for batch in source:
+                texts, n = batch.column("text").to_pylist(), []
+                for i in range(0, len(texts), TOGETHER):
+                    packed = []
+                    for raw in tokens.encode(texts[i : i + TOGETHER], vocabulary):
+                        n.append(len(raw) // 4)
+                        packed.append(squeeze.compress(np.frombuffer(raw, "<u4").astype(f"<u{width}").tobytes()))
+                    stream.write_batch(pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], schema=FILE))
+                rows = pa.array(np.arange(row, row + len(n)))
+                row += len(n)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(n, pa.int64()), batch.column("_u"), pa.array([task] * len(n), pa.int32()), pa.array([file] * len(n)), rows],
+                    names=["doc_id", "n", "_u", "_task", "_file", "_row"],
+                )
 
     rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
     rows = rows.withColumn("_u", uniform(F.col("doc_id"), F.xxhash64("text"), seed=1))
-    return batches(rows, make, "doc_id long, n long, ids binary, _u long")
+    return rows.mapInArrow(run, "doc_id long, n long, _u long, _task int, _file string, _row long")
 
 
-def _parts(order: Order):
-    """Documents with their place in the stream, cut at the sequences."""
+def _values(store: fs.FileSystem, path: str) -> Iterator[bytes]:
+    with store.open_input_stream(path) as raw, pa.ipc.open_stream(raw) as stream:
+        for batch in stream:
+            yield from batch.column("ids").to_pylist()
 
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        expand = zstandard.ZstdDecompressor()
-        squeeze = zstandard.ZstdCompressor(level=1)
-        seq, at, ids = [], [], []
-        for start, packed in zip(batch.column("_start").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-            raw, done = expand.decompress(packed), 0
-            while done < len(raw):
-                where = start + done // 2
-                take = min(len(raw) - done, 2 * (order.length - where % order.length))
-                seq.append(where // order.length)
-                at.append(where % order.length)
-                ids.append(squeeze.compress(raw[done : done + take]))
-                done += take
-        seq = np.array(seq, np.int64)
-        slot = order.slot(seq)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(slot // order.per_shard), pa.array(slot), pa.array(seq), pa.array(at, pa.int32()), pa.array(ids, pa.binary())],
-            names=["_shard", "slot", "sequence", "_at", "_ids"],
-        )
-
-    return make
+
+def _parts(order: Order, folder: str):
+    """Documents cut at the sequences; rows (_file, _row, _start) come sorted, all rows of a file in one task."""
+    names = ["_shard", "slot", "sequence", "_at", "_ids"]
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        store, base = fs.FileSystem.from_uri(folder)
+        opened, values, next_row = None, iter(()), 0
+        seq, at, ids, size = [], [], [], 0
+
+        def cut() -> pa.RecordBatch:
+            numbers = np.array(seq, np.int64)
+            slot = order.slot(numbers)
+            cols = [pa.array(slot // order.per_shard), pa.array(slot), pa.array(numbers), pa.array(at, pa.int32()), pa.array(ids, pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=names)
+
+        for batch in source:
+            for file, row, start in zip(*[batch.column(c).to_pylist() for c in ("_file", "_row", "_start")], strict=True):
+                if file != opened:
+                    opened, values, next_row = file, _values(store, f"{base}/{file}"), 0
+                if row != next_row:
+                    raise ValueError(f"row {next_row} of {file} has no place in the stream")
+                raw, done, next_row = expand.decompress(next(values)), 0, row + 1
+                while done < len(raw):
+                    where = start + done // order.width
+                    take = min(len(raw) - done, order.width * (order.length - where % order.length))
+                    seq.append(where // order.length)
+                    at.append(where % order.length)
+                    ids.append(squeeze.compress(raw[done : done + take]))
+                    size += len(ids[-1])
+                    done += take
+                if size > PASS_ON:
+                    yield cut()
+                    seq, at, ids, size = [], [], [], 0
+        if seq:
+            yield cut()
+
+    return run
 
 
 def _writer(order: Order, folder: str):
@@ -153,11 +196,11 @@ def _writer(order: Order, folder: str):
                         yield close()
                     shard, seen = s, {}
                     records = min(order.per_shard, order.sequences - s * order.per_shard)
-                    data = bytearray(np.full(records * order.length, PAD, "<u2").tobytes())
+                    data = bytearray(np.full(records * order.length, PAD, order.type).tobytes())
                 raw = expand.decompress(packed)
-                to = (slot - s * order.per_shard) * order.stride + 2 * at
+                to = (slot - s * order.per_shard) * order.stride + order.width * at
                 data[to : to + len(raw)] = raw
-                seen[slot] = (seq, seen.get(slot, (seq, 0))[1] + len(raw) // 2)
+                seen[slot] = (seq, seen.get(slot, (seq, 0))[1] + len(raw) // order.width)
         if shard is not None:
             yield close()
 
@@ -169,20 +212,25 @@ def write_training_order(
 ) -> tuple[Order, DataFrame]:
     """Writes shards and a manifest below ``folder`` (a URI that all executors reach). The rows of the result:
     slot, sequence, shard, byte_offset, n_tokens (PAD not counted), ids_crc32 of the record."""
-    rows = staged(_token_rows(docs, vocabulary), "order-tokens")
-    total, n = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    order = Order(-(-total // length), total, length, per_shard, key)
+    width = 2 if Tokenizer.from_file(vocabulary).get_vocab_size() <= 1 << 16 else 4
+    ids = f"{folder}/.ids-{uuid.uuid4().hex}"
+    rows = staged(_token_files(docs, vocabulary, ids, width), "order-lengths")
+    total, n, tasks = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max("_task") + 1, F.lit(1))).first()
+    order = Order(-(-total // length), total, length, per_shard, key, width)
     light = rows.withColumn("_parts", spread(F.lit(n)))
-    placed = running_total(light, [], "_u", "_parts", "n", ["doc_id", "n"], "_start").select("_start", "ids")
-    shape = "_shard long, slot long, sequence long, _at int, _ids binary"
+    placed = running_total(light, [], "_u", "_parts", "n", ["doc_id", "n"], "_start").select("_task", "_file", "_row", "_start")
+    placed = placed.repartitionById(tasks, "_task").sortWithinPartitions("_file", "_row")
+    parts = placed.mapInArrow(_parts(order, ids), "_shard long, slot long, sequence long, _at int, _ids binary")
     shards = max(-(-order.sequences // per_shard), 1)
-    parts = batches(placed, _parts(order), shape).repartitionByRange(shards, "_shard").sortWithinPartitions("_shard", "slot", "_at")
+    parts = parts.repartitionById(shards, F.col("_shard").cast("int")).sortWithinPartitions("_shard", "slot", "_at")
     shape = "slot long, sequence long, shard long, byte_offset long, n_tokens int, ids_crc32 long"
     written = staged(parts.mapInArrow(_writer(order, folder), shape), "order-written")
     store, base = fs.FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
     with store.open_output_stream(f"{base}/{MANIFEST}") as out:
         out.write(json.dumps(asdict(order)).encode())
+    if n:
+        store.delete_dir(f"{base}/{ids.rsplit('/', 1)[1]}")
     return order, written
 
 
@@ -196,6 +244,6 @@ def read_order(folder: str, slot: int = 0) -> Iterator[np.ndarray]:
         with store.open_input_file(f"{base}/{order.file(shard)}") as f:
             f.seek(record * order.stride)
             while raw := f.read(order.stride):
-                yield np.frombuffer(raw, "<u2")
+                yield np.frombuffer(raw, order.type)
                 slot += 1
 
