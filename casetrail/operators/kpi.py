@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from casetrail.functions import values as V
 from casetrail.functions.buckets import ratio
 from casetrail.operators.cases import CASE, order_columns, with_neighbours
+from casetrail.operators.numbering import null_safe_join
 from casetrail.operators.quantiles import exact_quantiles, value_counts
 from casetrail.plans.templates import SMALL_ROWS, TemplateSet
+from casetrail.sources.scratch import held
 
 
 def broadcast_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
@@ -114,14 +116,14 @@ def case_filter_by_status(cases: DataFrame, status: DataFrame, keep: str) -> Dat
     return cases.join(wanted, ["process_key", "document_uuid"], "left_semi")
 
 
-def _pair_counts(rows: DataFrame, pos: str, *extra: str) -> DataFrame:
+def _pair_counts(rows: DataFrame, pos: str) -> DataFrame:
     """Counts per (from, to) and cases per process, in one aggregation.
 
     ``cases`` counts rows with position 1, so it needs no distinct."""
     if "next_step" not in rows.columns:
         rows = with_neighbours(rows, next={"next_step": "step_key"}, pos=pos, order=order_columns())
     to = F.col("next_step").alias("to_step")
-    counts = rows.groupBy("process_key", F.col("step_key").alias("from_step"), to, *extra).agg(
+    counts = rows.groupBy("process_key", F.col("step_key").alias("from_step"), to).agg(
         F.count(F.lit(1)).alias("observed"), F.count_if(F.col(pos) == 1).alias("_cases")
     )
     cases = F.sum("_cases").over(Window.partitionBy("process_key"))
@@ -156,9 +158,33 @@ def flow_heatmap(entries: DataFrame, templates: TemplateSet) -> DataFrame:
 
 
 def flow_by_context(timeline: DataFrame) -> DataFrame:
-    """Pairs of the raw timeline grouped by the canonical context of the first event."""
-    t = timeline.withColumn("context_key", F.coalesce(V.value_text(V.as_object(F.col("ctx"))), F.lit("null")))
-    return _shares(_pair_counts(t, "pos", "context_key")).drop("cases")
+    """Pairs of the raw timeline grouped by the canonical context (``context_key``) of the first event.
+
+    Contexts are nearly as many as events: pairs are counted by a digest of the text, every text is stored once and joined
+    to its counts at the end, and totals of a process are sums over the counts, not windows over its contexts. An unknown
+    process is a process of its own; an event without an object as its context has the key ``null``.
+    """
+    text = F.coalesce(V.value_text(V.as_object(F.col("ctx"))), F.lit("null"))
+    t = timeline.withColumns({"context_key": text, "_context": F.unhex(F.sha2(text, 256))})
+    t = with_neighbours(t, next={"next_step": "step_key"}, pos="pos", order=order_columns())
+    to = F.col("next_step").alias("to_step")
+    counts = t.groupBy("process_key", F.col("step_key").alias("from_step"), to, "_context").agg(
+        F.count(F.lit(1)).alias("observed"), F.count_if(F.col("pos") == 1).alias("_cases")
+    )
+    counts = held(counts)
+    texts = timeline.select(text.alias("context_key")).withColumn("_context", F.unhex(F.sha2("context_key", 256))).dropDuplicates(["_context"])
+    seen = F.col("to_step").isNotNull()
+    totals = counts.groupBy("process_key").agg(F.sum("_cases").alias("_n"), F.max(F.when(seen, F.col("observed"))).alias("_top"))
+    shares = null_safe_join(counts.filter(seen), totals, ["process_key"]).join(texts, "_context")
+    return shares.select(
+        "process_key",
+        "from_step",
+        "to_step",
+        "context_key",
+        "observed",
+        ratio(F.col("observed") * 100, F.col("_n"), 2).alias("percentage"),
+        ratio(F.col("observed"), F.col("_top")).alias("intensity"),
+    )
 
 
 def step_times(entries: DataFrame, now: datetime) -> DataFrame:

@@ -172,8 +172,8 @@ def _split(spark, d, versions=False):
 
 def _source(spark, d, versions=False):
     log = _split(spark, d, versions)
-    snaps = A.log_snapshots(log).filter(F.col("event_id") % 3 == 0)
-    t = cases.attach_snapshots(log, A.log_snapshots(log)).withColumn("document_uuid", F.col("document_uuid"))
+    snaps = A.log_snapshots(log)
+    t = cases.attach_snapshots(log, snaps)
     t = cases.numbered(t, ["process_key", "document_uuid"], cases.order_columns())
     return log, snaps, t
 
@@ -223,8 +223,8 @@ def loose_equals(spark, d):
 
 def _journey(spark, d, versions=False):
     log = _split(spark, d, versions)
-    snaps = A.log_snapshots(log).filter(F.col("event_id") % 3 == 0)
-    t = cases.numbered(cases.attach_snapshots(log, A.log_snapshots(log)), ["document_uuid"], cases.order_columns())
+    snaps = A.log_snapshots(log)
+    t = cases.numbered(cases.attach_snapshots(log, snaps), ["document_uuid"], cases.order_columns())
     return t, snaps, routing.journey_steps(t, snaps, _instances(spark, d, versions), JOURNEYS)
 
 
@@ -307,8 +307,8 @@ SPLIT_V_SQL = web_sql("web", split=True)
 
 
 def routed(split: str) -> str:
-    return f"""{split}, {snaps_sql('web', 'all_snaps')}, snaps AS (SELECT * FROM all_snaps WHERE event_id % 3 = 0),
-last_snap AS (SELECT * FROM all_snaps QUALIFY row_number() OVER (PARTITION BY document_uuid, external_event_key ORDER BY captured_at DESC, loaded_at DESC, context DESC) = 1),
+    return f"""{split}, {snaps_sql('web')},
+last_snap AS (SELECT * FROM snaps QUALIFY row_number() OVER (PARTITION BY document_uuid, external_event_key ORDER BY captured_at DESC, loaded_at DESC, context DESC) = 1),
 evt AS (SELECT w.* EXCLUDE (context), s.context AS ctx FROM web w LEFT JOIN last_snap s ON s.document_uuid = w.document_uuid AND s.external_event_key = w.external_event_key)"""
 
 

@@ -209,11 +209,7 @@ def duration_heatmap(spark, d):
 
 
 def flow_by_context(spark, d):
-    log = A.full_log(utc(spark), d)
-    slim = log.withColumn("context", F.regexp_extract("context", '("status":"[A-Z]"|"band":"[a-z]+"|"flag":[a-z]+)', 1))
-    slim = slim.withColumn("context", F.when(F.col("context") != "", F.concat(F.lit("{"), "context", F.lit("}"))))
-    t = cases.case_timeline(slim, include_before=False, merge_versions=True).withColumn("ctx", F.col("context"))
-    return kpi.flow_by_context(t)
+    return kpi.flow_by_context(_kpi_timeline(spark, d).withColumn("ctx", F.col("context")))
 
 
 def heatmap_report(spark, d):
@@ -360,7 +356,7 @@ FROM web GROUP BY ALL""",
     "duration_heatmap": f"WITH {KBASE_SQL}, {durations_sql()} SELECT * FROM dur",
     "flow_by_context": f"""WITH {KBASE_SQL},
 raw AS (SELECT process_key, document_uuid, step_key AS from_step, lead(step_key) OVER (PARTITION BY process_key, document_uuid ORDER BY pos) AS to_step,
-  coalesce('{{' || nullif(regexp_extract(context, '("status":"[A-Z]"|"band":"[a-z]+"|"flag":[a-z]+)', 1), '') || '}}', 'null') AS context_key FROM ktl),
+  coalesce('{{' || array_to_string(list_transform(list_sort(json_keys(context)), lambda k: '"' || k || '":' || regexp_replace(CAST(json_extract(context, '$.' || k) AS VARCHAR), '\\.0$', '')), ',') || '}}', 'null') AS context_key FROM ktl),
 cnt AS (SELECT process_key, from_step, to_step, context_key, count(*) AS observed FROM raw WHERE to_step IS NOT NULL GROUP BY ALL)
 SELECT cnt.*, {rnd('observed * 100.0 / n', 2)} AS percentage, {rnd('observed * 1.0 / max(observed) OVER (PARTITION BY process_key)')} AS intensity
 FROM cnt JOIN (SELECT process_key, count(DISTINCT document_uuid) AS n FROM raw GROUP BY ALL) c USING (process_key)""",
