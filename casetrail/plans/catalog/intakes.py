@@ -120,10 +120,10 @@ def append_event_log(spark, d):
 
 def delete_process_data(spark, d):
     path = scratch_path(spark, "kept")
-    kept, removed = files.delete_process_data(A.web_log(utc(spark), d, split_process=True), "billing", "user-8")
-    files.rewrite_process(kept, path)
+    files.append_event_log(A.web_log(utc(spark), d, split_process=True), path)
+    removed = files.remove_from_log(spark, path, "billing", "user-8")
     left = files.read_event_log(spark, path)
-    return left.groupBy("process_key").agg(F.count(F.lit(1)).alias("events")).join(removed)
+    return left.groupBy("process_key").agg(F.count(F.lit(1)).alias("events")).withColumn("removed", F.lit(removed).cast("long"))
 
 
 def _export_rows(spark, d):

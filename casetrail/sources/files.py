@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casetrail.functions.values import trimmed
-from casetrail.sources.scratch import staged
+from casetrail.sources import commits
 
 ENCODINGS = {"utf-8": "UTF-8", "ansi": "windows-1252"}
 
@@ -37,12 +39,16 @@ def read_event_log_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_event_log(events: DataFrame, path: str) -> None:
-    """Append to the log, one folder per process."""
-    events.write.mode("append").partitionBy("process_key").parquet(path)
+    """Append to the log, one folder per process; the rows count once all are written (``commits``)."""
+    spark = events.sparkSession
+    load = commits.write_load(events, path)
+    commits.commit(spark, path, lambda now: commits.with_load(now, load, events.schema))
 
 
 def read_event_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The rows of the log's latest version, or of any folder of Parquet files that has no versions."""
+    version = commits.latest(spark, path)
+    return spark.read.parquet(path) if version is None else commits.rows_of(spark, path, version).drop(commits.LOAD)
 
 
 def delete_process_data(rows: DataFrame, process_key: str, document_uuid: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -62,21 +68,33 @@ def rewrite_process(kept: DataFrame, path: str) -> None:
 
 
 def remove_from_log(spark: SparkSession, path: str, process_key: str, document_uuid: str | None = None) -> int:
-    """Remove a process or one of its cases from the log of ``append_event_log``; only that process's folder is
-    read and written anew.  Returns the number of rows removed."""
-    log = read_event_log(spark, path).filter(F.col("process_key") == process_key)
-    kept, count = delete_process_data(log, process_key, document_uuid)
-    removed = count.first()["removed"]
-    if not removed:
-        return 0
-    folder = log.select(F.input_file_name()).first()[0].rsplit("/", 1)[0]
-    kept = staged(kept, "kept")
-    if kept.isEmpty():
-        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    else:
-        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("process_key").parquet(path)
-    return removed
+    """Remove a process or one of its cases from the log of ``append_event_log``.  Only that process's folders are read;
+    what stays of them is a new load.  Returns the number of rows removed.
+
+    The rows are gone in one step, with the new version of the log: whoever dies before leaves the log as it was, whoever
+    dies after it leaves folders that nobody reads and the next removal (or ``commits.purge``) deletes.  Rows that others
+    append meanwhile stay; a removal from the same process in between makes this one start anew."""
+    while True:
+        version = commits.latest(spark, path)
+        if version is None:
+            raise ValueError(f"{path} is no log of append_event_log")
+        log = commits.rows_of(spark, path, version).filter(F.col("process_key") == process_key)
+        kept, count = delete_process_data(log, process_key, document_uuid)
+        removed = count.first()["removed"]
+        if removed:
+            replaced = {f"{r[0]}/{process_key}" for r in log.select(commits.LOAD).distinct().collect()}  # one per load
+            load = commits.write_load(kept.drop(commits.LOAD), path) if document_uuid is not None else None
+
+            def change(now: commits.Version) -> commits.Version | None:
+                if replaced & set(now.gone):
+                    return None
+                out = replace(now, gone=(*now.gone, *sorted(replaced)))
+                return commits.with_load(out, load, now.schema) if load else out
+
+            if commits.commit(spark, path, change) is None:
+                continue
+        commits.purge(spark, path)
+        return removed
 
 
 def export_delimited(rows: DataFrame, path: str, sep: str = ";", encoding: str = "utf-8", by: str | None = "period") -> None:

@@ -1,11 +1,12 @@
 """Nothing is lost or changed: late arrivals, unknown keys, large and small cases, broken files."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from casetrail.functions import text, values
 from casetrail.operators import cases, documents, graph, numbering, routing, signoff, visibility
 from casetrail.plans.templates import TemplateSet
-from casetrail.sources import files, intake
+from casetrail.sources import commits, files, intake
 from casetrail.streaming import intake as streams
 from helpers import make_log, rows
 
@@ -136,6 +137,54 @@ def test_one_case_is_removed_and_other_folders_stay(spark, tmp_path):
     assert files.delete_process_data(unknown, "p")[0].count() == 1
 
 
+def test_a_log_reads_as_before_until_a_version_is_in_place(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "log")
+    log = make_log(spark, {"a": [("s", "08:00")], "b": [("s", "09:00")]}, process="007")
+    files.append_event_log(log, path)
+    before = rows(files.read_event_log(spark, path), "process_key", "document_uuid")
+    assert before == [("007", "a"), ("007", "b")]
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(commits, "_put", killed)
+        for work in (lambda: files.append_event_log(log, path), lambda: files.remove_from_log(spark, path, "007", "a")):
+            with pytest.raises(KeyboardInterrupt):
+                work()
+            assert rows(files.read_event_log(spark, path), "process_key", "document_uuid") == before
+    with monkeypatch.context() as m:  # ended after the new version, before the old folders went
+        m.setattr(commits, "purge", killed)
+        with pytest.raises(KeyboardInterrupt):
+            files.remove_from_log(spark, path, "007", "a")
+    assert rows(files.read_event_log(spark, path), "document_uuid") == [("b",)]
+    assert commits.purge(spark, path) == 1 and commits.purge(spark, path) == 0
+    assert rows(files.read_event_log(spark, path), "document_uuid") == [("b",)]
+
+
+def test_writers_of_a_log_do_not_overrun_each_other(spark, tmp_path, monkeypatch):
+    path, put, others = str(tmp_path / "log"), commits._put, []
+    one = make_log(spark, {"a": [("s", "08:00")], "b": [("s", "09:00")]})
+    files.append_event_log(one, path)
+
+    def late(*args):  # another writer is faster once
+        if others:
+            others.pop()()
+        return put(*args)
+
+    monkeypatch.setattr(commits, "_put", late)
+    others.append(lambda: files.append_event_log(make_log(spark, {"a": [("s", "10:00")]}).withColumn("extra", F.lit(1)), path))
+    assert files.remove_from_log(spark, path, "p", "a") == 1
+    assert rows(files.read_event_log(spark, path), "document_uuid", "extra") == [("a", 1), ("b", None)]
+    others.append(lambda: files.remove_from_log(spark, path, "p", "b"))
+    assert files.remove_from_log(spark, path, "p", "a") == 1
+    assert files.read_event_log(spark, path).count() == 0
+    with pytest.raises(ValueError, match="another type"):
+        files.append_event_log(one.withColumn("event_id", F.lit("x")), path)
+    with pytest.raises(ValueError, match="no log"):
+        files.remove_from_log(spark, str(tmp_path), "p")
+
+
 def test_equal_arrivals_have_one_first(spark):
     log = make_log(spark, {"a": [("s", "08:00")]}).withColumn("event_id", F.lit(None).cast("long"))
     flagged = intake.flag_duplicates(log.unionByName(log).unionByName(log.withColumn("actor_ref", F.lit("x"))))
