@@ -68,8 +68,7 @@ def event_key(spark, d):
 
 
 def derive_process_key(spark, d):
-    bare = intake.normalize_events(_raw(spark, d).filter(F.col("payload").startswith("{\"s")))
-    return bare.groupBy("process_key").agg(F.count(F.lit(1)).alias("events"))
+    return intake.normalize_events(_raw(spark, d)).groupBy("process_key").agg(F.count(F.lit(1)).alias("events"))
 
 
 def _repeated(spark, d):
@@ -95,13 +94,13 @@ def _counts(events):
 
 
 def read_event_files(spark, d):
-    raw = _raw(spark, d).filter(F.col("payload").startswith("{") & F.col("payload").endswith("}"))
+    # Each file an array of at most 1000 events; broken payloads break files of their own.
+    part = F.concat_ws("-", F.floor(F.col("event_id") / 1000), F.col("payload").endswith("}") | F.col("payload").endswith("]"))
     path = scratch_path(spark, "arrays")
-    # Each file an array of at most 1000 events.
-    arrays = raw.groupBy(F.floor(F.col("event_id") / 1000).alias("part")).agg(F.concat_ws(",", F.collect_list("payload")).alias("body"))
+    arrays = _raw(spark, d).groupBy(part.alias("part")).agg(F.concat_ws(",", F.collect_list("payload")).alias("body"))
     arrays.select(F.concat(F.lit("["), "body", F.lit("]")).alias("value"), "part").write.partitionBy("part").text(path)
     back = files.read_event_files(spark, f"{path}/*/*").withColumns({"received_at": F.lit(None).cast("timestamp"), "event_id": F.lit(None).cast("long")})
-    return intake.normalize_events(back).groupBy("step_key", "event_phase").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("document_uuid").alias("cases"))
+    return intake.normalize_events(back).groupBy("error", "step_key", "event_phase").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("document_uuid").alias("cases"))
 
 
 def read_event_log_jsonl(spark, d):
@@ -225,11 +224,15 @@ ORACLES = {
   CASE WHEN event_id % 4 < 2 THEN '{{"k":' || k || '}}' ELSE '{{}}' END AS context FROM evs WHERE error IS NULL""",
     "parse_event_time": f"SELECT event_id, {sec('ts')} AS zulu, {sec('ts')} - 3600 AS naive, {sec('ts + INTERVAL 6 MONTH')} - 7200 AS naive_summer, {sec('ts')} - 7200 AS lost_plus, {sec('ts')} + 12600 AS short_offset, CAST(NULL AS BIGINT) AS broken FROM events",
     "event_key": f"WITH {EVS} SELECT event_id, {hash_sql()} AS key FROM evs",
-    "derive_process_key": f"WITH {EVS} SELECT 'shop:user-' || user_id || ':v' || v AS process_key, count(*) AS events FROM evs WHERE {GOOD} AND event_id % 13 = 0 GROUP BY ALL",
+    "derive_process_key": f"""WITH {EVS} SELECT CASE WHEN NOT ({GOOD}) THEN 'unknown::v1' WHEN event_id % 13 = 0 THEN 'shop:user-' || user_id || ':v' || v WHEN event_id % 23 = 0 THEN 'Unknown'
+  WHEN event_id % 2 = 0 THEN 'web' ELSE ' web ' END AS process_key, count(*) AS events FROM evs GROUP BY ALL""",
     "dedup_events": f"WITH {web_sql()} SELECT external_event_key, step_key, {sec('received_at')} AS received_at, CASE WHEN event_id % 20 = 0 THEN 2 ELSE 1 END AS arrivals FROM web",
     "flag_duplicates": f"WITH {web_sql()} SELECT step_key, FALSE AS duplicate, count(*) AS n FROM web GROUP BY step_key UNION ALL SELECT step_key, TRUE, count(*) FROM web WHERE event_id % 20 = 0 GROUP BY step_key",
     "load_summary": f"WITH {web_sql()} SELECT count(*) AS imported, count(*) FILTER (WHERE event_id % 20 = 0) AS duplicates, count(DISTINCT (document_uuid, document_version)) AS instances FROM web",
-    "read_event_files": f"WITH {EVS} SELECT event_type AS step_key, CASE WHEN event_id % 4 = 3 THEN 'before' ELSE 'after' END AS event_phase, count(*) AS n, count(DISTINCT user_id) AS cases FROM evs WHERE {GOOD} GROUP BY ALL",
+    "read_event_files": f"""WITH {EVS}, a AS (SELECT *, event_id % 19 = 0 AS no_object FROM evs WHERE event_id % 17 <> 0)
+SELECT CAST(NULL AS VARCHAR) AS error, CASE WHEN no_object THEN 'unknown' ELSE event_type END AS step_key, CASE WHEN NOT no_object AND event_id % 4 = 3 THEN 'before' ELSE 'after' END AS event_phase,
+  count(*) AS n, count(DISTINCT CASE WHEN NOT no_object THEN user_id END) AS cases FROM a GROUP BY ALL
+UNION ALL SELECT 'invalid_json', 'unknown', 'after', count(DISTINCT event_id // 1000), 0 FROM evs WHERE event_id % 17 = 0""",
     "read_event_log_jsonl": f"WITH {EVS} SELECT error, count(*) AS n FROM evs GROUP BY ALL",
     "append_event_log": f"WITH {LOG_SQL}, {web_sql('sw', split=True)}, a AS (SELECT process_key, step_key FROM sw UNION ALL SELECT process_key, step_key FROM ord) {STEP_COUNTS.format(src='a')}",
     "delete_process_data": f"WITH {web_sql(split=True)} SELECT process_key, count(*) AS events, (SELECT count(*) FROM web WHERE process_key = 'billing' AND document_uuid = 'user-8') AS removed FROM web WHERE NOT (process_key = 'billing' AND document_uuid = 'user-8') GROUP BY ALL",

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casetrail.functions import text, values
-from casetrail.operators import cases, documents, graph, numbering, routing, signoff, visibility
+from casetrail.operators import cases, documents, graph, kpi, numbering, routing, signoff, visibility
 from casetrail.plans.templates import TemplateSet
 from casetrail.sources import commits, files, intake
 from casetrail.streaming import intake as streams
@@ -185,6 +185,19 @@ def test_writers_of_a_log_do_not_overrun_each_other(spark, tmp_path, monkeypatch
         files.remove_from_log(spark, str(tmp_path), "p")
 
 
+def test_contexts_of_flows_are_whole_and_unknown_ones_have_a_key(spark):
+    log = make_log(spark, {"a": [("s", "08:00"), ("t", "09:00"), ("u", "10:00")], "b": [("s", "08:00"), ("t", "09:00")]})
+    log = log.withColumn("ctx", F.expr("CASE WHEN step_key = 'u' THEN NULL WHEN document_uuid = 'a' THEN '{\"y\": 1, \"x\": [2]}' ELSE '{\"x\":[2],\"y\":1}' END"))
+    none = log.withColumns({"process_key": F.lit(None).cast("string"), "ctx": F.lit("[1]")})
+    t = cases.case_timeline(log.unionByName(none), include_before=False, merge_versions=True)
+    got = [tuple(r) for r in kpi.flow_by_context(t).collect()]
+    whole = '{"x":[2],"y":1}'
+    assert sorted(got, key=str) == sorted(
+        [("p", "s", "t", whole, 2, 100.0, 1.0), ("p", "t", "u", whole, 1, 50.0, 0.5), (None, "s", "t", "null", 2, 100.0, 1.0), (None, "t", "u", "null", 1, 50.0, 0.5)], key=str
+    )
+    assert kpi.flow_by_context(t.limit(0)).count() == 0
+
+
 def test_equal_arrivals_have_one_first(spark):
     log = make_log(spark, {"a": [("s", "08:00")]}).withColumn("event_id", F.lit(None).cast("long"))
     flagged = intake.flag_duplicates(log.unionByName(log).unionByName(log.withColumn("actor_ref", F.lit("x"))))
