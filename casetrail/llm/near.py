@@ -15,8 +15,8 @@ come first in any fixed order (``prefixes``; the rarest come first). Pairs of di
 sizes and places allow the similarity, are all checked; no pair that shares a bucket is left out.
 
 Defined cases: null and empty texts have the empty set, are linked with nothing and kept; rows without doc_id are linked
-with nothing; rows that repeat a doc_id are judged by their own texts; further columns are ignored; an empty table
-gives no rows.
+with nothing; rows that repeat a doc_id are judged by their own texts, each text being a node of its own; further columns
+are ignored; an empty table gives no rows; very long texts are compared whole.
 """
 
 from __future__ import annotations
@@ -75,7 +75,8 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_id (equal sets, equal ids; null for the empty set), bands."""
+    """doc_id, text_id (tells the texts of one doc_id apart), n_shingles, set_id (equal sets, equal ids; null for the empty
+    set), bands."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, ids, keys = [], [], []
@@ -85,10 +86,14 @@ def sketches(docs: DataFrame) -> DataFrame:
             ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             keys.append(bands(s) if len(s) else None)
         cols = [pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", "n_shingles", "set_id", "bands"])
+        names = ["doc_id", "text_id", "n_shingles", "set_id", "bands"]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_id"), *cols], names=names)
 
-    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    return batches(rows, make, "doc_id long, n_shingles long, set_id binary, bands array<long>")
+    return batches(_rows(docs), make, "doc_id long, text_id long, n_shingles long, set_id binary, bands array<long>")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).withColumn("text_id", F.xxhash64("text"))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -249,12 +254,17 @@ def _finished(texts: DataFrame, nodes: DataFrame, labels: DataFrame, checked: Da
 
 
 def _classes(known: DataFrame) -> DataFrame:
-    """set_id, node (its smallest doc_id), bands, n of every class of equal sets."""
+    """set_id, doc_id and text_id of the first row, node, bands, n of every class of equal sets. The node is that doc_id; of
+    several classes with one doc_id all but one get a negative number made of the set instead."""
     rows = known.filter("set_id is not null and doc_id is not null")
-    return staged(
-        rows.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")),
-        "near-classes",
+    classes = rows.groupBy("set_id").agg(
+        F.min(F.struct("doc_id", "text_id")).alias("_first"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")
     )
+    classes = staged(classes.select("set_id", "_first.*", "bands", "n"), "near-classes")
+    several = classes.groupBy("doc_id").agg(F.min("set_id").alias("_own"), F.count(F.lit(1)).alias("_k")).filter("_k > 1").drop("_k")
+    other = F.col("_own").isNotNull() & (F.col("set_id") != F.col("_own"))
+    node = F.when(other, F.xxhash64("set_id").bitwiseOR(F.lit(-(1 << 63)))).otherwise(F.col("doc_id"))
+    return staged(classes.join(several, "doc_id", "left").withColumn("node", node).drop("_own"), "near-classes")
 
 
 def component_labels(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -269,8 +279,8 @@ def component_labels(docs: DataFrame, classes: DataFrame) -> DataFrame:
     fits = F.expr(f"100 * least(n, n_centre) >= {THRESHOLD} * greatest(n, n_centre)")
     stars = shared.join(staged(centres, "near-centres"), "band").filter(fits & (F.col("node") != F.col("centre")))
     stars = staged(stars.select(F.col("node").alias("a"), F.col("centre").alias("b"), "place").distinct(), "near-stars")
-    rows = docs.select(F.col("doc_id").cast("long").alias("node"), text_of().alias("text"))
-    texts = staged(rows.join(shared.select("node").distinct(), "node", "left_semi"), "near-texts")
+    wanted = classes.join(shared.select("node").distinct(), "node", "left_semi").select("doc_id", "text_id", "node")
+    texts = staged(_rows(docs).join(wanted, ["doc_id", "text_id"]).select("node", "text"), "near-texts")
     # first one centre each, then the other centres of nodes that are still apart from them
     first = staged(stars.groupBy("a").agg(F.min_by("b", "place").alias("b")), "near-pairs")
     none = first.sparkSession.createDataFrame([], "node long, label long")
@@ -301,26 +311,37 @@ def component_labels(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return _finished(texts, rows.select("node").distinct(), labels, checked)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept."""
+def _judged(docs: DataFrame) -> DataFrame:
+    """doc_id, text_id, n_shingles of all rows, and the first row (doc_id, text_id) of their component; null for the empty set."""
     known = staged(sketches(docs), "near-sketches")
     classes = _classes(known)
     labels = component_labels(docs, classes)
-    smallest = staged(labels.groupBy("label").agg(F.min("node").alias("component_id")), "near-smallest")
-    comps = labels.join(smallest, "label").select("node", "component_id")
-    placed = classes.select("set_id", "node").join(comps, "node", "left")
-    by_set = staged(placed.select("set_id", F.coalesce("component_id", "node").alias("component_id")), "near-classes")
-    out = known.select("doc_id", "n_shingles", "set_id").join(by_set, "set_id", "left")
-    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", comp.alias("component_id")).withColumn(
+    linked = classes.select("node", "doc_id", "text_id").join(labels, "node")
+    first = staged(linked.groupBy("label").agg(F.min(F.struct("doc_id", "text_id")).alias("first")), "near-smallest")
+    comps = labels.join(first, "label").select("node", "first")
+    own = F.struct("doc_id", "text_id")
+    by_set = staged(classes.join(comps, "node", "left").select("set_id", F.coalesce("first", own).alias("first")), "near-classes")
+    return known.select("doc_id", "text_id", "n_shingles", "set_id").join(by_set, "set_id", "left").drop("set_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept."""
+    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("first.doc_id", "doc_id"))
+    return _judged(docs).select("doc_id", "n_shingles", comp.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each component, with all its columns."""
-    gone, first = unused(docs, "_gone"), unused(docs, "_first")
-    out = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias(gone)).distinct()
-    left = docs.join(out, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return left.withColumn(first, number).filter((F.col(first) == 1) | F.col("doc_id").isNull()).drop(first)
+    """The rows of ``docs`` that stay: the first one of each component, with all its columns. Rows with the same doc_id and
+    text are one; other rows go only where a linked or equal text stays. Rows without doc_id all stay."""
+    gone, same, first = (unused(docs, n) for n in ("_gone", "_same", "_first"))
+    apart = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("text_id") != F.col("first.text_id"))
+    out = _judged(docs).filter(F.col("doc_id").isNotNull() & apart)
+    out = out.select(F.col("doc_id").alias(gone), F.col("text_id").alias(f"{gone}_text")).distinct()
+    left = docs.withColumn(same, F.xxhash64(text_of()))
+    left = left.join(out, (F.col("doc_id").cast("long") == F.col(gone)) & (F.col(same) == F.col(f"{gone}_text")), "left_anti")
+    whole = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    spread = F.when(F.col("doc_id").isNull(), whole)  # rows without doc_id are no group
+    number = F.row_number().over(Window.partitionBy("doc_id", same, spread).orderBy(whole))
+    return left.withColumn(first, number).filter((F.col(first) == 1) | F.col("doc_id").isNull()).drop(first, same)

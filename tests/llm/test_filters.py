@@ -136,3 +136,20 @@ def test_links_that_no_star_proposes(spark, monkeypatch):
     rows = [(i, " ".join(b[x] for b, x in zip(blocks, p, strict=True))) for i, p in enumerate(picks)]
     got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == brute_components(rows)[0]
+
+
+def test_rows_with_one_id_are_judged_by_their_texts(spark):
+    a, b = (" ".join(f"{w}{i}" for i in range(40)) for w in ("a", "b"))
+    near_a = a.replace("a39", "x")
+    cases = [
+        ([(3, a), (7, a), (7, b)], [(3, a), (7, b)]),
+        ([(5, a), (5, b)], [(5, a), (5, b)]),
+        ([(5, a), (5, a), (6, b), (5, b)], [(5, a), (5, b)]),
+        ([(3, near_a), (5, a), (5, b), (8, b)], [(3, near_a), (5, b)]),
+        ([(None, a), (None, a), (None, None)], [(None, None), (None, a), (None, a)]),
+    ]
+    for rows, kept in cases:
+        got = near.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(kept, key=repr), rows
+    got = near.keep_one(spark.createDataFrame([(5, near_a), (5, a)], "doc_id long, text string")).collect()
+    assert len(got) == 1 and got[0].text in (a, near_a)
