@@ -5,14 +5,18 @@ densification (a hash of bin and attempt names the next bin to look into, until
 ROWS minima are bucket keys: two sets of similarity 0.75 share no bucket with probability (1 - 0.75^4)^40 < 3e-7.
 
 Documents with equal sets are one class from the start, so copies never meet in a bucket. A bucket proposes a star (each
-member with one centre), never its pairs; a node is first compared with one of its centres, then with those it is still
-apart from. Proposed links are checked on whole sets. Where a bucket (first of two bands together, then of one) still holds
-more than one component, further rounds propose stars around other centres: all members outside the centre's component
-with that centre, and among themselves with one of their own. Rounds go on until QUIET in a row find no new link.
+member with one centre), never its pairs; stars that meet in fewer than MEETINGS buckets are left to the last step. A node
+is first compared with one of its centres, then with those it is still apart from. Buckets of two bands together that
+still hold more than one component propose once more: all members outside the centre's component with that centre, and
+among themselves with one of their own.
 
-What is left in buckets of several components is joined exactly: two sets of similarity 0.75 share one of the shingles that
-come first in any fixed order (``prefixes``; the rarest come first). Pairs of different components that share one, and whose
-sizes and places allow the similarity, are all checked; no pair that shares a bucket is left out.
+Whatever single bands still hold in buckets of several components is then joined exactly: two sets of similarity 0.75 share
+one of the shingles that come first in any fixed order (``prefixes``; the rarest come first). Pairs of different components
+that share one, and whose sizes and places allow the similarity, are all judged; no pair that shares a bucket is left out.
+
+Pairs are judged in two steps. A node carries PARITY bits, each the parity of the number of its shingles in one slot: the
+bits in which two nodes differ are at most as many as the shingles that only one of them holds, so pairs that differ in
+more bits than the similarity allows are dropped without their texts (``plausible``). The others are checked on whole sets.
 
 Defined cases: null and empty texts have the empty set, are linked with nothing and kept; rows without doc_id are linked
 with nothing; rows that repeat a doc_id are judged by their own texts, each text being a node of its own; further columns
@@ -38,8 +42,10 @@ BANDS = 40
 THRESHOLD = 75
 #: Centres that a bucket proposes in a round.
 STARS = 2
-#: Rounds without a new link after which buckets of several components are joined exactly.
-QUIET = 1
+#: Buckets in which a member and a centre must meet to be compared before the exact join.
+MEETINGS = 2
+#: Parity bits of a node. Any number is right; more of them tell longer texts apart.
+PARITY = 1024
 #: Slots in which shingles are counted for the order of prefixes; any order is right, a finer one gives fewer pairs.
 SLOTS = 1 << 20
 
@@ -74,38 +80,57 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    odd = np.bincount((hashes & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, text_id (tells the texts of one doc_id apart), n_shingles, set_id (equal sets, equal ids; null for the empty
-    set), bands."""
+    set), bands, parity."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, ids, keys = [], [], []
-        for text in batch.column("text").to_pylist():
-            s = shingle_set(text)
+        n, ids, keys, odd = [], [], [], []
+        for text in batch.column("text"):
+            s = shingle_set(text.as_py())
             n.append(len(s))
             ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             keys.append(bands(s) if len(s) else None)
-        cols = [pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-        names = ["doc_id", "text_id", "n_shingles", "set_id", "bands"]
+            odd.append(parity(s) if len(s) else None)
+        longs = pa.list_(pa.int64())
+        cols = [pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, longs), pa.array(odd, longs)]
+        names = ["doc_id", "text_id", "n_shingles", "set_id", "bands", "parity"]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_id"), *cols], names=names)
 
-    return batches(_rows(docs), make, "doc_id long, text_id long, n_shingles long, set_id binary, bands array<long>")
+    return batches(_rows(docs), make, "doc_id long, text_id long, n_shingles long, set_id binary, bands array<long>, parity array<long>")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).withColumn("text_id", F.xxhash64("text"))
 
 
+def plausible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) without those whose sizes or parities rule the similarity out; ``marks`` has (node, n, parity).
+
+    Links have |A| + |B| >= (100 + THRESHOLD) / (100 - THRESHOLD) times the shingles that only one of both holds."""
+    differ = " + ".join(f"bit_count(a_parity[{k}] ^ b_parity[{k}])" for k in range(PARITY // 64))
+    fits = F.expr(
+        f"100 * least(a_n, b_n) >= {THRESHOLD} * greatest(a_n, b_n) and {100 + THRESHOLD} * ({differ}) <= {100 - THRESHOLD} * (a_n + b_n)"
+    )
+    a, b = (marks.select(F.col("node").alias(s), F.col("n").alias(f"{s}_n"), F.col("parity").alias(f"{s}_parity")) for s in "ab")
+    return pairs.join(a, "a").join(b, "b").filter(fits).select(*pairs.columns)
+
+
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of ``pairs`` (a, b), those whose full sets are alike; ``texts`` has (node, text). A frequent ``b`` is a skewed
     join, which Spark splits; its set is made once for the pairs that follow one another."""
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
         alike, last, q = [], None, None
-        for x, y, b in zip(*[batch.column(c).to_pylist() for c in ("ta", "tb", "b")], strict=True):
+        for x, y, b in zip(batch.column("ta"), batch.column("tb"), batch.column("b").to_pylist(), strict=True):
             if b != last or q is None:
-                last, q = b, shingle_set(y)
-            p = shingle_set(x)
+                last, q = b, shingle_set(y.as_py())
+            p = shingle_set(x.as_py())
             both = len(np.intersect1d(p, q, assume_unique=True))
             alike.append(100 * both >= THRESHOLD * (len(p) + len(q) - both) and both > 0)
         return batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
@@ -182,8 +207,8 @@ def _levels(texts: DataFrame) -> np.ndarray:
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for batch in source:
-            for text in batch.column("text").to_pylist():
-                np.add.at(total, _slot(shingle_set(text)), 1)
+            for text in batch.column("text"):
+                np.add.at(total, _slot(shingle_set(text.as_py())), 1)
         met = np.flatnonzero(total)
         for k in range(0, len(met), 1 << 16):
             part = met[k : k + (1 << 16)]
@@ -205,8 +230,8 @@ def prefixes(texts: DataFrame, levels: np.ndarray) -> DataFrame:
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         nodes, sizes, hashes, places = [], [], [], []
-        for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            s = shingle_set(text)
+        for node, text in zip(batch.column("node").to_pylist(), batch.column("text"), strict=True):
+            s = shingle_set(text.as_py())
             n = len(s)
             first = s[np.lexsort((s, levels[_slot(s)]))][: n - (THRESHOLD * n + 99) // 100 + 1]
             nodes.append(np.full(len(first), node, np.int64))
@@ -240,10 +265,10 @@ def _exact(texts: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).distinct()
 
 
-def _finished(texts: DataFrame, nodes: DataFrame, labels: DataFrame, checked: DataFrame) -> DataFrame:
+def _finished(texts: DataFrame, marks: DataFrame, nodes: DataFrame, labels: DataFrame, checked: DataFrame) -> DataFrame:
     """Labels after all links among ``nodes``: one pair of each node and component first, then those still apart."""
-    left = _exact(texts.join(nodes, "node", "left_semi"), labels).join(checked, ["a", "b"], "left_anti")
-    left = staged(left, "near-pairs")
+    left = plausible(_exact(texts.join(nodes, "node", "left_semi"), labels), marks)
+    left = staged(left.join(checked, ["a", "b"], "left_anti"), "near-pairs")
     with_label = left.join(labels.withColumnRenamed("node", "b"), "b", "left").select("a", "b", F.coalesce("label", "b").alias("of"))
     first = staged(with_label.groupBy("a", "of").agg(F.min("b").alias("b")).select("a", "b"), "near-pairs")
     for pairs in (first, left.join(first, ["a", "b"], "left_anti")):
@@ -254,13 +279,16 @@ def _finished(texts: DataFrame, nodes: DataFrame, labels: DataFrame, checked: Da
 
 
 def _classes(known: DataFrame) -> DataFrame:
-    """set_id, doc_id and text_id of the first row, node, bands, n of every class of equal sets. The node is that doc_id; of
+    """set_id, doc_id and text_id of the first row, node, bands, parity, n of every class of equal sets. The node is that doc_id; of
     several classes with one doc_id all but one get a negative number made of the set instead."""
     rows = known.filter("set_id is not null and doc_id is not null")
     classes = rows.groupBy("set_id").agg(
-        F.min(F.struct("doc_id", "text_id")).alias("_first"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")
+        F.min(F.struct("doc_id", "text_id")).alias("_first"),
+        F.first("bands").alias("bands"),
+        F.first("parity").alias("parity"),
+        F.first("n_shingles").alias("n"),
     )
-    classes = staged(classes.select("set_id", "_first.*", "bands", "n"), "near-classes")
+    classes = staged(classes.select("set_id", "_first.*", "bands", "parity", "n"), "near-classes")
     several = classes.groupBy("doc_id").agg(F.min("set_id").alias("_own"), F.count(F.lit(1)).alias("_k")).filter("_k > 1").drop("_k")
     other = F.col("_own").isNotNull() & (F.col("set_id") != F.col("_own"))
     node = F.when(other, F.xxhash64("set_id").bitwiseOR(F.lit(-(1 << 63)))).otherwise(F.col("doc_id"))
@@ -278,8 +306,11 @@ def component_labels(docs: DataFrame, classes: DataFrame) -> DataFrame:
     )
     fits = F.expr(f"100 * least(n, n_centre) >= {THRESHOLD} * greatest(n, n_centre)")
     stars = shared.join(staged(centres, "near-centres"), "band").filter(fits & (F.col("node") != F.col("centre")))
-    stars = staged(stars.select(F.col("node").alias("a"), F.col("centre").alias("b"), "place").distinct(), "near-stars")
-    wanted = classes.join(shared.select("node").distinct(), "node", "left_semi").select("doc_id", "text_id", "node")
+    stars = stars.groupBy(F.col("node").alias("a"), F.col("centre").alias("b")).agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("met"))
+    known = staged(classes.join(shared.select("node").distinct(), "node", "left_semi"), "near-known")
+    marks = known.select("node", "n", "parity")
+    stars = staged(plausible(stars.filter(F.col("met") >= MEETINGS).drop("met"), marks), "near-stars")
+    wanted = known.select("doc_id", "text_id", "node")
     texts = staged(_rows(docs).join(wanted, ["doc_id", "text_id"]).select("node", "text"), "near-texts")
     # first one centre each, then the other centres of nodes that are still apart from them
     first = staged(stars.groupBy("a").agg(F.min_by("b", "place").alias("b")), "near-pairs")
@@ -288,27 +319,21 @@ def component_labels(docs: DataFrame, classes: DataFrame) -> DataFrame:
     rest = staged(crossing(stars.select("a", "b"), labels).join(first, ["a", "b"], "left_anti"), "near-pairs")
     labels = relabelled(labels, confirm(rest, texts))
     checked = first.union(rest).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    # two bands together make buckets that hold little but true neighbours; single bands then give the rest
+    # two bands together make buckets that hold little but true neighbours
     fine = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(bands[i], bands[(i + 1) % {BANDS}]))")
-    known = classes.join(shared.select("node").distinct(), "node", "left_semi")
-    rows, quiet, seed = known.select("node", F.explode(fine).alias("band")), 0, 0
-    while quiet < QUIET:
-        placed = rows.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-        placed = staged(placed, "near-placed")
-        mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
-        rows = staged(placed.join(mixed, "band"), "near-open")
-        new = staged(_stars(rows, seed).join(checked, ["a", "b"], "left_anti"), "near-pairs")
-        found = confirm(new, texts)
-        checked = checked.union(new)
-        if found.isEmpty():
-            quiet += seed > 0
-        else:
-            quiet = 0
-            labels = relabelled(labels, found)
-        if not seed:
-            rows = shared
-        seed += 1
-    return _finished(texts, rows.select("node").distinct(), labels, checked)
+    paired = _open(known.select("node", F.explode(fine).alias("band")), labels)
+    new = staged(plausible(_stars(paired, 0), marks).join(checked, ["a", "b"], "left_anti"), "near-pairs")
+    found = confirm(new, texts)
+    labels = relabelled(labels, found)
+    return _finished(texts, marks, _open(shared, labels).select("node").distinct(), labels, checked.union(new))
+
+
+def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """band, node, label of the buckets (band, node) that hold several components."""
+    placed = rows.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    placed = staged(placed, "near-placed")
+    mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
+    return staged(placed.join(mixed, "band"), "near-open")
 
 
 def _judged(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 from casetrail.llm import mixing, near, quality
+from casetrail.llm.shingles import shingle_set
 from tests.llm.conftest import found, prose
 
 
@@ -138,6 +139,29 @@ def test_links_that_no_star_proposes(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == brute_components(rows)[0]
 
 
+def test_parities_rule_out_no_link(spark):
+    """Bits that differ are at most the shingles that one side alone holds; what is dropped is never alike."""
+    r = random.Random(8)
+    texts = []
+    for size in (1, 4, 5, 30, 200, 900, 4000):
+        words = [f"w{r.randrange(10**6)}" for _ in range(size)]
+        for change in (0.0, 0.01, 0.03, 0.05, 0.08, 0.2, 0.6):
+            texts.append(" ".join(f"c{r.randrange(10**6)}" if r.random() < change else w for w in words))
+    sets = [shingle_set(t) for t in texts]
+    marks = [(k, len(s), near.parity(s).tolist()) for k, s in enumerate(sets)]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a)]
+    got = near.plausible(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(marks, "node long, n long, parity array<long>"))
+    got = {tuple(x) for x in got.collect()}
+    alike = set()
+    for a, b in pairs:
+        p, q = set(sets[a].tolist()), set(sets[b].tolist())
+        bits = sum((x ^ y).bit_count() for x, y in zip(*[near.parity(sets[k]).view("uint64").tolist() for k in (a, b)], strict=True))
+        assert bits <= len(p ^ q)
+        if 100 * len(p & q) >= near.THRESHOLD * len(p | q):
+            alike.add((a, b))
+    assert len(alike) >= 20 and alike <= got and len(got) < len(pairs) / 2
+
+
 def test_rows_with_one_id_are_judged_by_their_texts(spark):
     a, b = (" ".join(f"{w}{i}" for i in range(40)) for w in ("a", "b"))
     near_a = a.replace("a39", "x")
