@@ -8,8 +8,9 @@ a task writes whole shards, each a file of PER_SHARD records of LENGTH little-en
 of more than 65,536), under a temporary name first, so repeated or lost tasks do no harm. Slot s is record s % PER_SHARD of
 shard s // PER_SHARD: a reader resumes anywhere by seeking.
 
-Ids move once, to their shard. Tokenizing tasks leave them in files of their own, in the order of their rows; only lengths
-and hashes are shuffled for the places in the stream, and come back to the task that reads such a file.
+Ids move once, to their shard. Tokenizing tasks leave them in files of their own, in the order of their rows, many texts
+compressed together; only lengths and hashes are shuffled for the places in the stream, and come back to the task that
+reads such a file. The files stay until the shards are written, so a lost task of any stage finds what it read.
 
 Defined cases: a null or empty text is the single id END; rows that repeat are written as often; further columns are
 ignored; an empty table gives no rows and no shards; a very long text is one value of a file and is cut at the sequences when it is read.
@@ -42,10 +43,14 @@ ROUNDS = 4
 MANIFEST = "manifest.json"
 #: Compressed bytes after which a task passes on what it has cut.
 PASS_ON = 1 << 24
+#: Bytes of ids that are compressed together in a task's file; a longer text is a block of its own.
+BLOCK = 1 << 21
+#: zstd levels of such blocks and of the parts that are shuffled.
+BLOCK_LEVEL, PART_LEVEL = 5, 2
 
 
-#: Ids of one text, compressed.
-FILE = pa.schema([("ids", pa.binary())])
+#: Ids of one text.
+FILE = pa.schema([("ids", pa.large_binary())])
 
 
 @dataclass(frozen=True)
@@ -95,22 +100,32 @@ def _token_files(docs: DataFrame, vocabulary: str, folder: str, width: int) -> D
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
         task, file, row = TaskContext.get().partitionId(), uuid.uuid4().hex, 0
-        squeeze = zstandard.ZstdCompressor(level=1)
-        with store.open_output_stream(f"{base}/{file}") as out, pa.ipc.new_stream(out, FILE) as stream:
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", BLOCK_LEVEL))
+        with store.open_output_stream(f"{base}/{file}") as out, pa.ipc.new_stream(out, FILE, options=options) as stream:
+            block, size = [], 0
+
+            def write() -> None:
+                stream.write_batch(pa.RecordBatch.from_arrays([pa.array(block, pa.large_binary())], schema=FILE))
+
             for batch in source:
                 texts, n = batch.column("text").to_pylist(), []
                 for i in range(0, len(texts), TOGETHER):
-                    packed = []
                     for raw in tokens.encode(texts[i : i + TOGETHER], vocabulary):
                         n.append(len(raw) // 4)
-                        packed.append(squeeze.compress(np.frombuffer(raw, "<u4").astype(f"<u{width}").tobytes()))
-                    stream.write_batch(pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], schema=FILE))
+                        ids = np.frombuffer(raw, "<u4").astype(f"<u{width}").tobytes()
+                        if block and size + len(ids) > BLOCK:
+                            write()
+                            block, size = [], 0
+                        block.append(ids)
+                        size += len(ids)
                 rows = pa.array(np.arange(row, row + len(n)))
                 row += len(n)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array(n, pa.int64()), batch.column("_u"), pa.array([task] * len(n), pa.int32()), pa.array([file] * len(n)), rows],
                     names=["doc_id", "n", "_u", "_task", "_file", "_row"],
                 )
+            if block:
+                write()
 
     rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
     rows = rows.withColumn("_u", uniform(F.col("doc_id"), F.xxhash64("text"), seed=1))
@@ -128,7 +143,7 @@ def _parts(order: Order, folder: str):
     names = ["_shard", "slot", "sequence", "_at", "_ids"]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=PART_LEVEL)
         store, base = fs.FileSystem.from_uri(folder)
         opened, values, next_row = None, iter(()), 0
         seq, at, ids, size = [], [], [], 0
@@ -145,7 +160,7 @@ def _parts(order: Order, folder: str):
                     opened, values, next_row = file, _values(store, f"{base}/{file}"), 0
                 if row != next_row:
                     raise ValueError(f"row {next_row} of {file} has no place in the stream")
-                raw, done, next_row = expand.decompress(next(values)), 0, row + 1
+                raw, done, next_row = next(values), 0, row + 1
                 while done < len(raw):
                     where = start + done // order.width
                     take = min(len(raw) - done, order.width * (order.length - where % order.length))

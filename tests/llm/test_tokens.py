@@ -90,6 +90,23 @@ def test_training_order(tmp_path, odd, none):
     assert training_order.write_training_order(none, f"file://{tmp_path}/c")[1].count() == 0
 
 
+def test_ids_on_disk_are_compressed_over_many_texts(spark, tmp_path):
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(300)]
+    texts = [" ".join(r.choice(words) for _ in range(r.choice([0, 5, 20, 60, 3000 if i % 50 == 0 else 40]))) for i in range(14_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = training_order._token_files(docs, tokens.VOCABULARY, f"file://{tmp_path}/ids", 2).collect()
+    total = 2 * sum(x.n for x in rows)
+    assert total > 1.2 * training_order.BLOCK
+    assert sum(f.stat().st_size for f in (tmp_path / "ids").iterdir()) < 0.6 * total
+    order, rows = training_order.write_training_order(docs, f"file://{tmp_path}/a", length=256, per_shard=512)
+    got = list(training_order.read_order(f"file://{tmp_path}/a"))
+    stream = np.concatenate([got[x.slot][: x.n_tokens] for x in sorted(rows.collect(), key=lambda x: x.sequence)])
+    assert order.tokens == len(stream) == total // 2
+    kept = collections.Counter(x.tobytes() for x in np.split(stream, np.flatnonzero(stream == tokens.END)[:-1] + 1))
+    assert kept == collections.Counter(np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in tokens.encode(texts))
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000])
 def test_slots_are_a_permutation(n):
     order = training_order.Order(n, 0, 8, 4, key=5)
