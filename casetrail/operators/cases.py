@@ -18,6 +18,8 @@ from casetrail.operators.numbering import HOT_CONF, LAST_ID, hot_limit, null_saf
 from casetrail.sources.scratch import staged
 
 CASE = ["process_key", "document_uuid", "document_version"]
+#: Hashes that rows are counted by before groups are: a count of them is small for any log.
+KEY_HASHES = 8192
 
 ORDERS = {
     "occurred-then-received": ["occurred_at", "received_at"],
@@ -36,12 +38,16 @@ def order_columns(order: str = "occurred-then-received") -> list[str]:
 
 def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame | None:
     """Groups above the limit, or None.  At most rows/limit groups can qualify,
-    which is what allows broadcasting them.  A log that is no larger than the
-    limit needs no grouping to know."""
+    which is what allows broadcasting them.  Rows are counted per hash of their
+    key, which takes no list of all groups; only groups whose hash is above the
+    limit are counted themselves."""
     limit = hot_limit(df.sparkSession)
-    if df.count() <= limit:
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(KEY_HASHES))
+    many = df.groupBy(bucket.alias("_h")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).collect()
+    if not many:
         return None
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    large = df.filter(bucket.isin(*[r["_h"] for r in many]))
+    sizes = large.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
     return None if sizes.isEmpty() else sizes
 
 
@@ -199,18 +205,23 @@ def case_timeline(
     include_before: bool = True,
     merge_versions: bool = False,
     sized_by: DataFrame | None = None,
+    snapshots: DataFrame | None = None,
 ) -> DataFrame:
     """Events of each case in order, numbered ``pos`` = 1, 2, ...
 
     ``merge_versions`` numbers all versions of a case as one timeline; the
     ``document_version`` of its rows is then replaced by 0 and kept in
     ``event_version``.  ``sized_by``: the log before anything was joined to it,
-    which shows more cheaply whether a case is large.
+    which shows more cheaply whether a case is large.  ``snapshots`` are attached
+    (``attach_snapshots``) in the shuffle that the timeline needs anyway, unless
+    a case is large.
     """
     known = F.col("document_uuid").isNotNull()
     events = filter_phase(events, include_before).filter(known)
     sizes = events if sized_by is None else filter_phase(sized_by, include_before).filter(known)
     hot = hot_keys(sizes, ["process_key", "document_uuid"])
+    if snapshots is not None:
+        events = _attached_in_place(events, snapshots) if hot is None else attach_snapshots(events, snapshots)
     if version == "latest" and not merge_versions:
         events = _latest_version(events, hot, order_columns(order))
     elif version not in ("all", "latest"):
@@ -260,6 +271,36 @@ def attach_snapshots(events: DataFrame, snapshots: DataFrame) -> DataFrame:
     )
 
 
+def _attached_in_place(events: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """``attach_snapshots`` for events that all have a document: events and snapshots of a document
+    go to one partition, once, where later windows and aggregations of a case find them."""
+    key = ["document_uuid", "external_event_key"]
+    shots = snapshots.filter(F.col(key[0]).isNotNull() & F.col(key[1]).isNotNull()).select(
+        *key,
+        F.col("captured_at").alias("_captured_at"),
+        F.col("loaded_at").alias("_loaded_at"),
+        F.col("occurred_at").alias("_occurred_at"),
+        F.col("freshness_seconds").alias("_freshness"),
+        F.col("context").alias("_context"),
+        F.lit(True).alias("_shot"),
+    )
+    rows = events.withColumn("_shot", F.lit(False)).unionByName(shots, allowMissingColumns=True).repartition(key[0])
+    # The snapshot that counts is sorted to the front; a group without one begins with an event, whose columns are null.
+    newest = [F.col(c).desc() for c in ("_shot", "_captured_at", "_loaded_at", "_context")]
+    w = Window.partitionBy(*key).orderBy(*newest).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = {f"_last{c}": F.first(c).over(w) for c in ("_shot", "_loaded_at", "_occurred_at", "_freshness", "_context")}
+    rows = rows.withColumns(last).filter(~F.col("_shot"))
+    age = F.unix_seconds("_last_loaded_at") - F.unix_seconds("_last_occurred_at")
+    return rows.select(
+        *events.columns,
+        F.col("_last_context").alias("ctx"),
+        F.col("_last_loaded_at").alias("ctx_loaded_at"),
+        F.col("_last_occurred_at").alias("ctx_occurred_at"),
+        F.coalesce(age, "_last_freshness").alias("ctx_freshness"),
+        F.col("_last_shot").alias("has_snapshot"),
+    )
+
+
 def mark_runs(
     timeline: DataFrame, step: Column | str = "step_key", order: str = "occurred-then-received"
 ) -> DataFrame:

@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from casetrail.functions import values as V
 from casetrail.functions.text import normalize_step
-from casetrail.operators.cases import CASE, case_timeline, mark_runs, numbered, run_starts, with_case_value, with_neighbours
+from casetrail.operators.cases import CASE, case_timeline, mark_runs, numbered, order_columns, run_starts, with_case_value, with_neighbours
+from casetrail.sources.scratch import held
 
 
-def discovery_timeline(events: DataFrame, include_before: bool = False) -> DataFrame:
+def discovery_timeline(events: DataFrame, include_before: bool = False, snapshots: DataFrame | None = None) -> DataFrame:
     """Latest version of each case with normalised step names and ``case_rank``
-    (newest received first), which decides what counts as seen first."""
-    t = case_timeline(events, include_before=include_before).withColumn("step", normalize_step(F.col("step_key")))
+    (newest received first), which decides what counts as seen first; with
+    ``ctx`` where ``snapshots`` are given."""
+    t = case_timeline(events, include_before=include_before, snapshots=snapshots).withColumn("step", normalize_step(F.col("step_key")))
     t = with_case_value(t, F.max("received_at"), "_last")
     rank = F.struct((-F.unix_micros("_last")).alias("newest"), "document_uuid")
     return t.withColumn("case_rank", rank).drop("_last")
@@ -25,7 +27,7 @@ def discovery_timeline(events: DataFrame, include_before: bool = False) -> DataF
 def discovery_entries(timeline: DataFrame) -> DataFrame:
     """Run starts on the normalised step with the step that follows."""
     starts = run_starts(timeline, step="step").drop("next_step", "next_at")
-    return with_neighbours(starts, next={"next_step": "step", "next_key": "step_key"}, pos="entry")
+    return with_neighbours(starts, next={"next_step": "step", "next_key": "step_key"}, pos="entry", order=order_columns())
 
 
 def discover_steps(entries: DataFrame) -> DataFrame:
@@ -246,7 +248,7 @@ def _candidate_values(entries: DataFrame, candidates: DataFrame) -> tuple[DataFr
     moves = entries.filter(F.col("next_step").isNotNull()).join(
         candidates.select("process_key", F.col("after_step").alias("step")), ["process_key", "step"], "left_semi"
     )
-    rows = moves.withColumn("_obj", V.as_object(F.col("ctx"))).select("process_key", "step", "next_step", "_obj")
+    rows = moves.filter(F.col("ctx").isNotNull()).withColumn("_obj", V.as_object(F.col("ctx"))).select("process_key", "step", "next_step", "_obj")
     known = F.col("field").isNotNull() & (F.col("field") != "") & (F.col("value_json") != "null")
     return moves, V.explode_fields(rows, "_obj").filter(known)
 
@@ -266,7 +268,7 @@ def decision_field_evidence(entries: DataFrame, candidates: DataFrame) -> DataFr
     moves, long = _candidate_values(entries, candidates)
     total = moves.groupBy("process_key", "step").agg(F.count(F.lit(1)).alias("transitions"))
     key = ["process_key", "step", "field"]
-    distinct = long.groupBy(*key, "next_step", "value_type", "value_json").agg(F.count(F.lit(1)).alias("_n"))
+    distinct = held(long.groupBy(*key, "next_step", "value_type", "value_json").agg(F.count(F.lit(1)).alias("_n")))
     per_value = distinct.groupBy(*key, "value_type", "value_json").agg(F.sum("_n").alias("_n"))
     stats = per_value.groupBy(*key).agg(F.sum("_n").alias("present"), F.count(F.lit(1)).alias("distinct_values"))
     by_next = distinct.groupBy(*key, "next_step").agg(F.count(F.lit(1)).alias("values_at_next"), F.sum("_n").alias("present_at_next"))

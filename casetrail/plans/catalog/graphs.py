@@ -9,6 +9,7 @@ from casetrail.operators import cases, discovery, graph, kpi
 from casetrail.plans.catalog.common import CHAT_SQL, LOG_SQL, attach_sql, rnd, sec, snaps_sql, templates, utc, web_sql
 from casetrail.plans.catalog.timelines import KBASE_SQL, NOW, durations_sql
 from casetrail.sources import adapters as A
+from casetrail.sources.scratch import held, staged
 
 
 def _projected(spark, d):
@@ -176,10 +177,16 @@ def decision_candidates(spark, d):
     return c.select("process_key", "after_step", F.array_join("next_steps", ",").alias("next_steps"), "cases", "coverage")
 
 
-def decision_field_evidence(spark, d):
+def _moves(spark, d):
+    """Entries with contexts, held for the queries that read them several times, and the candidates among their steps."""
     log = A.full_log(utc(spark), d)
-    e = discovery.discovery_entries(discovery.discovery_timeline(cases.attach_snapshots(log, A.log_snapshots(log))))
-    return discovery.decision_field_evidence(e, discovery.decision_candidates(e))
+    e = discovery.discovery_entries(discovery.discovery_timeline(log, snapshots=A.log_snapshots(log)))
+    e = held(e.select(*cases.CASE, "step", "next_step", "ctx"))
+    return e, staged(discovery.decision_candidates(e), "candidates")
+
+
+def decision_field_evidence(spark, d):
+    return discovery.decision_field_evidence(*_moves(spark, d))
 
 
 def values_by_next_step(spark, d):
