@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from casetrail.functions import values as V
 from casetrail.functions.text import normalize_step
 from casetrail.operators.cases import CASE, case_timeline, mark_runs, numbered, order_columns, run_starts, with_case_value, with_neighbours
-from casetrail.sources.scratch import held
+from casetrail.sources.scratch import held, staged
 
 
 def discovery_timeline(events: DataFrame, include_before: bool = False, snapshots: DataFrame | None = None) -> DataFrame:
@@ -257,9 +257,10 @@ def values_by_next_step(entries: DataFrame, candidates: DataFrame) -> DataFrame:
     """How often each value of a context field stood before each next step, for fields with two or more values."""
     long = _candidate_values(entries, candidates)[1]
     key = ["process_key", "step", "field"]
-    values = long.groupBy(*key, "next_step", "value_type", "value_json").agg(F.count(F.lit(1)).alias("n"))
+    values = held(long.groupBy(*key, "next_step", "value_type", "value_json").agg(F.count(F.lit(1)).alias("n")))
     several = values.groupBy(*key).agg(F.min("value_json").alias("_lo"), F.max("value_json").alias("_hi")).filter("_lo <> _hi")
-    return values.join(several.select(*key), key, "left_semi").select(*key, "next_step", F.col("value_json").alias("value"), "n")
+    several = staged(several.select(*key), "fields")  # of known size: the values of a field are not dealt out by field
+    return values.join(several, key, "left_semi").select(*key, "next_step", F.col("value_json").alias("value"), "n")
 
 
 def decision_field_evidence(entries: DataFrame, candidates: DataFrame) -> DataFrame:

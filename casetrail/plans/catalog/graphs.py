@@ -190,9 +190,7 @@ def decision_field_evidence(spark, d):
 
 
 def values_by_next_step(spark, d):
-    log = A.full_log(utc(spark), d)
-    e = discovery.discovery_entries(discovery.discovery_timeline(cases.attach_snapshots(log, A.log_snapshots(log))))
-    return discovery.values_by_next_step(e, discovery.decision_candidates(e))
+    return discovery.values_by_next_step(*_moves(spark, d))
 
 
 def expected_nodes(spark, d):
