@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -10,6 +12,7 @@ from casetrail.functions import conditions as C, values as V
 from casetrail.operators.cases import CASE
 from casetrail.operators.conformance import KEY, findings_frame
 from casetrail.plans.templates import TemplateSet, _named, small_table
+from casetrail.sources.scratch import held
 
 MISSING = "UNCHECKABLE_CONTEXT_MISSING"
 SKEW = "UNCERTAIN_CONTEXT_TIME_SKEW"
@@ -61,8 +64,10 @@ def context_issue(obj: Column) -> Column:
 
 
 def _missing(obj: Column) -> Column:
-    """Names of the decision that carry no value."""
-    return C.missing(C.facts(obj, F.col("names")), F.col("names"))
+    """Names of the decision that carry no value: ``conditions.missing`` without the facts that only rules need."""
+    fields = F.try_variant_get(obj, "$", "map<string,variant>")
+    names = C.let(fields, lambda known: F.filter("names", lambda n: ~C.let(F.try_element_at(known, n), V.is_filled)))
+    return F.coalesce(names, F.array().cast("array<string>"))
 
 
 def decision_entries(entries: DataFrame, templates: TemplateSet) -> DataFrame:
@@ -94,41 +99,50 @@ def nearest_complete_context(decisions: DataFrame, entries: DataFrame, templates
 
     Only incomplete decision rows are joined to the entries of their case.
     """
-    def complete(obj):
-        return F.coalesce(obj.isNotNull() & (F.size(_missing(obj)) == 0), F.lit(False)) | F.col("names").isNull()
-
-    marked = with_decision_rules(decisions, templates).withColumn("_ok", complete(V.as_object(F.col("context"))))
-    open_rows = marked.filter(~F.col("_ok")).select(*KEY, "decision_key", "names", F.col("entry").alias("_p"))
+    def complete(context):
+        whole = C.let(V.as_object(context), lambda obj: obj.isNotNull() & (F.size(_missing(obj)) == 0))
+        return F.coalesce(whole, F.lit(False)) | F.col("names").isNull()
+
+    marked = with_decision_rules(decisions, templates).withColumn("_ok", complete(F.col("context")))
+    marked = held(marked.drop(*RULE_COLUMNS))
+    lacking = marked.filter(~F.col("_ok"))
+    open_rows = with_decision_rules(lacking, templates).select(
+        F.col("document_uuid").alias("_uuid"), F.struct(*KEY, "decision_key").alias("_row"), "names", F.col("entry").alias("_p")
+    )
     others = entries.filter(F.col("context").isNotNull()).select(
         *CASE, F.col("entry").alias("_e"), F.col("context").alias("_c")
     )
+    # Entries and what came of them lie together by document: joined by that alone, neither moves again.
+    same_case = [F.col(c).between(F.col(f"_row.{c}"), F.col(f"_row.{c}")) for c in CASE if c != "document_uuid"]
     gap = F.col("_e") - F.col("_p")
     found = (
-        others.join(open_rows, CASE)
+        others.join(open_rows, reduce(and_, same_case, F.col("document_uuid") == F.col("_uuid")))
         .filter(gap != 0)
-        .filter(complete(V.as_object(F.col("_c"))))
-        .groupBy(*KEY, "decision_key")
+        .filter(complete(F.col("_c")))
+        .groupBy(*[F.col(f"_row.{c}").alias(c) for c in [*KEY, "decision_key"]])
         .agg(F.min_by(F.struct("_c", gap.alias("distance")), F.struct(F.abs(gap), gap > 0)).alias("_near"))
     )
-    return (
-        marked.join(found, KEY + ["decision_key"], "left")
-        .withColumn("context", F.coalesce("_near._c", "context"))
-        .withColumn("context_distance", F.coalesce("_near.distance", F.lit(0)))
-        .drop("_ok", "_near", *RULE_COLUMNS)
+    near = lacking.join(found, KEY + ["decision_key"], "left").withColumns(
+        {"context": F.coalesce("_near._c", "context"), "context_distance": F.coalesce("_near.distance", F.lit(0))}
     )
+    whole = marked.filter("_ok").withColumn("context_distance", F.lit(0))
+    return whole.unionByName(near.drop("_near")).drop("_ok")
 
 
 def evaluate_decisions(entries: DataFrame, templates: TemplateSet, profiles: DataFrame) -> DataFrame:
     """One row per case and reached decision with everything the checks need."""
     rows = nearest_complete_context(decision_entries(entries, templates), entries, templates)
-    obj, shot = V.as_object(F.col("context")), V.as_object(F.col("sum_context"))
-    rows = with_decision_rules(rows, templates).withColumns(
-        {"context_issue": context_issue(shot), "missing_fields": _missing(obj), "rule_pos": matched_rule(obj)}
-    )
-    checkable = (
-        F.col("context_issue").isNull() & (F.size("missing_fields") == 0) & V.as_object(F.col("context")).isNotNull()
-    )
-    rows = rows.withColumn("rule_pos", F.when(checkable, F.col("rule_pos"))).drop("names", "required_names", "rules")
+    rows = with_decision_rules(rows, templates)
+    # Judged in a generator, as whatever reads these columns would repeat an expression for each use of it.
+    judged = C.let(V.as_object(F.col("context")), lambda obj: C.let(C.facts(obj, F.col("names")), lambda known: F.struct(
+        C.missing(known, F.col("names")).alias("missing_fields"), C.first_rule(known, F.col("rules")).alias("rule_pos"), obj.isNotNull().alias("_object")
+    )))
+    issue = C.let(V.as_object(F.col("sum_context")), context_issue)
+    rows = rows.select("*", F.inline(F.array(F.struct(issue.alias("context_issue"), judged.alias("_judged")))))
+    rows = rows.select("*", "_judged.missing_fields", F.col("_judged.rule_pos").alias("_rule_pos"), "_judged._object")
+    checkable = F.col("context_issue").isNull() & (F.size("missing_fields") == 0) & F.col("_object")
+    rows = rows.withColumn("rule_pos", F.when(checkable, F.col("_rule_pos")))
+    rows = rows.drop("names", "required_names", "rules", "_judged", "_rule_pos", "_object")
     rules = templates.rules().select("template_key", "decision_pos", "rule_pos", "next_step", "next_group")
     steps = profiles.select(*KEY, F.map_keys("first_at").alias("_seen"), "groups")
     rows = rows.join(rules, ["template_key", "decision_pos", "rule_pos"], "left").join(steps, KEY)

@@ -9,7 +9,7 @@ from casetrail.operators import conformance, decisions, findings, signoff
 from casetrail.plans.catalog.common import BASE_SQL, templates, utc
 from casetrail.plans.check import case_entries, check_processes, step_entries
 from casetrail.sources import adapters as A
-from casetrail.sources.scratch import staged
+from casetrail.sources.scratch import held, staged
 
 KEY = ["template_key", "document_uuid", "document_version"]
 
@@ -36,7 +36,7 @@ def _check(spark, d):
 
 def _evaluated(spark, d):
     e, tpl = _entries(spark, d)
-    e = staged(e, "entries")
+    e = held(e)  # keeps the cases together, so that what is gathered per case needs no further shuffle
     p = staged(conformance.case_profiles(e, tpl), "profiles")
     return decisions.evaluate_decisions(e, tpl, p), tpl, p
 

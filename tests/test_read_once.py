@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from casetrail.operators import cases
+from casetrail.operators import cases, decisions
 from casetrail.plans import catalog
-from casetrail.sources import adapters
+from casetrail.plans.catalog import checks
+from casetrail.sources import adapters, scratch
 from helpers import make_log, rows, snapshots_of
 
 PARCELS = {
@@ -27,6 +28,10 @@ def full_log(spark):
     return log.withColumn("external_event_key", F.concat("process_key", F.lit("-"), "external_event_key"))
 
 
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
 @pytest.fixture
 def steps_read(spark, monkeypatch):
     """Runs a query of the catalogue over ``full_log``; how often the query read the step of an event, on average."""
@@ -53,7 +58,7 @@ def test_contexts_come_along_in_the_shuffle_of_the_timeline(spark):
     shots = snapshots_of(log).unionByName(late)
     names = [*cases.CASE, "pos", "external_event_key", "ctx", "ctx_loaded_at", "ctx_occurred_at", "ctx_freshness", "has_snapshot"]
     t = cases.case_timeline(log, snapshots=shots)
-    assert t._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert shuffles(t) == 1
     assert sorted(map(str, rows(t, *names))) == sorted(map(str, rows(cases.case_timeline(cases.attach_snapshots(log, shots)), *names)))
 
 
@@ -74,3 +79,24 @@ def test_large_cases_are_found_by_hash(spark, hot):
 @pytest.mark.parametrize("name", ["decision_field_evidence", "values_by_next_step"])
 def test_the_log_is_read_once(steps_read, name):
     assert steps_read(name) == 1
+
+
+@pytest.mark.parametrize("name", ["parallel_group_next_missing"])
+def test_entries_of_a_check_are_made_in_one_shuffle_and_kept_where_they_are(spark, monkeypatch, name):
+    kept = []
+    log = full_log(spark)
+    monkeypatch.setattr(adapters, "full_log", lambda *_: log)
+    monkeypatch.setattr(checks, "held", lambda df: kept.append(shuffles(df)) or scratch.held(df))
+    catalog.queries()[name](spark, "").collect()
+    assert kept == [1]
+
+
+def test_the_nearest_context_is_looked_for_in_the_same_version_of_the_case(spark):
+    log = make_log(spark, {"v-1": [("click", "08:00"), ("view", "08:10"), ("view", "08:20")]}, "web")
+    log = log.withColumn("context", F.when(F.col("event_id") > 1, F.format_string('{"k":%d,"flag":true}', "event_id")))
+    two = log.unionByName(log.withColumns({"document_version": F.lit(2), "event_id": F.col("event_id") + 10, "external_event_key": F.concat(F.lit("2-"), "external_event_key"), "context": F.when(F.col("event_id") == 3, '{"k":99,"flag":true}')}))
+    tpl = checks.templates(spark)
+    e = cases.collapse_repeats(cases.case_timeline(two, version="all", snapshots=snapshots_of(two)), tpl.context_fields())
+    e = e.withColumn("context", F.coalesce("context", F.lit("{}")))
+    near = decisions.nearest_complete_context(decisions.decision_entries(e, tpl), e, tpl)
+    assert rows(near.filter("decision_key = 'after_click'"), "document_version", "context", "context_distance") == [(1, '{"k":3,"flag":true}', 1), (2, '{"k":99,"flag":true}', 1)]
