@@ -94,6 +94,7 @@ def match_decision_rule(spark, d):
 
 def decision_rule_violations(spark, d):
     ev, tpl, p = _evaluated(spark, d)
+    ev = staged(ev.drop("context", "sum_context"), "decisions")  # read twice, so that no decision is judged twice
     return decisions.decision_rule_violations(ev, tpl, p).select(*KEY, "decision_key", "after_step", "actual_step", "message")
 
 

@@ -81,7 +81,7 @@ def test_the_log_is_read_once(steps_read, name):
     assert steps_read(name) == 1
 
 
-@pytest.mark.parametrize("name", ["parallel_group_next_missing", "parallel_group_messages", "parallel_group_incomplete"])
+@pytest.mark.parametrize("name", ["parallel_group_next_missing", "parallel_group_messages", "parallel_group_incomplete", "decision_rule_violations"])
 def test_entries_of_a_check_are_made_in_one_shuffle_and_kept_where_they_are(spark, monkeypatch, name):
     kept = []
     log = full_log(spark)
@@ -100,3 +100,13 @@ def test_the_nearest_context_is_looked_for_in_the_same_version_of_the_case(spark
     e = e.withColumn("context", F.coalesce("context", F.lit("{}")))
     near = decisions.nearest_complete_context(decisions.decision_entries(e, tpl), e, tpl)
     assert rows(near.filter("decision_key = 'after_click'"), "document_version", "context", "context_distance") == [(1, '{"k":3,"flag":true}', 1), (2, '{"k":99,"flag":true}', 1)]
+
+
+def test_violations_judge_a_decision_once(spark, monkeypatch):
+    written = []
+    log = full_log(spark)
+    monkeypatch.setattr(adapters, "full_log", lambda *_: log)
+    monkeypatch.setattr(checks, "staged", lambda df, name: written.append(name) or scratch.staged(df, name))
+    found = rows(catalog.queries()["decision_rule_violations"](spark, ""), "document_uuid", "decision_key", "actual_step")
+    assert written == ["profiles", "decisions"]
+    assert ("p-1", "after_placed", "shipped") in found
