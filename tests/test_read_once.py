@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casetrail.operators import cases, decisions
-from casetrail.plans import catalog
+from casetrail.plans import catalog, check
 from casetrail.plans.catalog import checks
 from casetrail.sources import adapters, scratch
 from helpers import make_log, rows, snapshots_of
@@ -81,12 +81,16 @@ def test_the_log_is_read_once(steps_read, name):
     assert steps_read(name) == 1
 
 
-@pytest.mark.parametrize("name", ["parallel_group_next_missing", "parallel_group_messages", "parallel_group_incomplete", "decision_rule_violations"])
-def test_entries_of_a_check_are_made_in_one_shuffle_and_kept_where_they_are(spark, monkeypatch, name):
+PARTS = ["parallel_group_next_missing", "parallel_group_messages", "parallel_group_incomplete", "decision_rule_violations"]
+WHOLE = ["problem_score"]
+
+
+@pytest.mark.parametrize("name, home", [(n, checks) for n in PARTS] + [(n, check) for n in WHOLE])
+def test_entries_of_a_check_are_made_in_one_shuffle_and_kept_where_they_are(spark, monkeypatch, name, home):
     kept = []
     log = full_log(spark)
     monkeypatch.setattr(adapters, "full_log", lambda *_: log)
-    monkeypatch.setattr(checks, "held", lambda df: kept.append(shuffles(df)) or scratch.held(df))
+    monkeypatch.setattr(home, "held", lambda df: kept.append(shuffles(df)) or scratch.held(df))
     catalog.queries()[name](spark, "").collect()
     assert kept == [1]
 
