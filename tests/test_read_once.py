@@ -82,7 +82,7 @@ def test_the_log_is_read_once(steps_read, name):
 
 
 PARTS = ["parallel_group_next_missing", "parallel_group_messages", "parallel_group_incomplete", "decision_rule_violations"]
-WHOLE = ["problem_score"]
+WHOLE = ["problem_score", "process_check_rows"]
 
 
 @pytest.mark.parametrize("name, home", [(n, checks) for n in PARTS] + [(n, check) for n in WHOLE])
