@@ -19,7 +19,7 @@ from casetrail.operators.cases import CASE, order_columns, run_starts, with_neig
 from casetrail.operators.kpi import durations_of, step_times
 from casetrail.operators.quantiles import exact_quantiles, value_counts
 from casetrail.plans.templates import END, START, TemplateSet, small_table
-from casetrail.sources.scratch import staged
+from casetrail.sources.scratch import held, staged
 
 DIRECT = "EXPECTED_DIRECT"
 VIA_DECISION = "EXPECTED_VIA_DECISION"
@@ -394,7 +394,7 @@ GATE = ["template_key", "node_key", "node_type"]
 
 def duration_stats(rows: DataFrame, keys: list[str], value: str = "seconds") -> DataFrame:
     """Count, average, median, 95th percentile and maximum of whole seconds."""
-    return stats_of(value_counts(rows, keys, value), keys, value)
+    return stats_of(held(value_counts(rows, keys, value)), keys, value)
 
 
 def stats_of(counts: DataFrame, keys: list[str], value: str = "seconds") -> DataFrame:

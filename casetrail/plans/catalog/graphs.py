@@ -14,14 +14,20 @@ from casetrail.sources.scratch import held, staged
 
 def _projected(spark, d):
     log = A.full_log(utc(spark), d)
-    t = cases.case_timeline(cases.attach_snapshots(log, A.log_snapshots(log)), include_before=False, merge_versions=True, sized_by=log)
+    t = cases.case_timeline(log, include_before=False, merge_versions=True, snapshots=A.log_snapshots(log))
     tpl = templates(spark)
     return graph.project_transitions(t, tpl), tpl
 
 
+def _held_projection(spark, d):
+    """For queries that read the projection several times; cases stay together."""
+    p, tpl = _projected(spark, d)
+    return held(p.select(*cases.CASE, "template_key", "pos", "step_key", "to_step", "occurred_at", "to_at", "classification", "edges")), tpl
+
+
 def _metrics(spark, d):
     log = A.full_log(utc(spark), d)
-    t = cases.case_timeline(cases.attach_snapshots(log, A.log_snapshots(log)), include_before=False, merge_versions=True, sized_by=log)
+    t = cases.case_timeline(log, include_before=False, merge_versions=True, snapshots=A.log_snapshots(log))
     return graph.projection_metrics(t, templates(spark), NOW)
 
 
@@ -53,12 +59,12 @@ def edge_metrics(spark, d):
 
 
 def node_flow(spark, d):
-    p, tpl = _projected(spark, d)
+    p, tpl = _held_projection(spark, d)
     return graph.node_flow(p, tpl)
 
 
 def virtual_node_durations(spark, d):
-    p, tpl = _projected(spark, d)
+    p, tpl = _held_projection(spark, d)
     s = graph.duration_stats(graph.virtual_node_durations(p, tpl), ["template_key", "node_key", "node_type"])
     return s.select("template_key", "node_key", "node_type", "n", F.round("avg_seconds", 4).alias("avg_seconds"), "median_seconds", F.round("p95_seconds", 4).alias("p95_seconds"), "max_seconds")
 
