@@ -6,7 +6,7 @@ same first-seen sequence), never per pair of events.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from casetrail.functions import values as V
 from casetrail.functions.text import normalize_step
@@ -65,9 +65,9 @@ def conflicting_transitions(transitions: DataFrame) -> DataFrame:
     )
 
 
-def _first_seen(entries: DataFrame) -> DataFrame:
-    """Distinct steps of each case in first-seen order with their neighbours."""
-    u = entries.groupBy(*CASE, "step").agg(F.min("entry").alias("at"))
+def _first_seen(entries: DataFrame, *gathered: Column) -> DataFrame:
+    """Distinct steps of each case in first-seen order with their neighbours and what is ``gathered`` at a step."""
+    u = entries.groupBy(*CASE, "step").agg(F.min("entry").alias("at"), *gathered)
     u = numbered(u, CASE, ["at"], "rank", check="block" in entries.columns)
     return with_neighbours(u, next={"after": "step"}, prev={"before": "step"}, pos="rank", order=["at"])
 
@@ -79,14 +79,15 @@ def discover_parallel_groups(entries: DataFrame, transitions: DataFrame) -> Data
     pair needs a direct neighbour shared by both orders, or two direct
     transitions each way.
     """
-    seen = _first_seen(entries)
+    seen = held(_first_seen(entries))
     steps = seen.groupBy("process_key", "step").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("before").isNull()).alias("starts"),
         F.count_if(F.col("after").isNull()).alias("ends"),
     )
     inner = steps.filter((F.col("starts") == 0) & (F.col("ends") < F.col("n")) & (F.col("n") >= 2))
-    kept = seen.join(inner.select("process_key", "step"), ["process_key", "step"], "left_semi")
+    inner = staged(inner.select("process_key", "step"), "inner-steps")  # of known size: cases are not dealt out by step
+    kept = seen.join(inner, ["process_key", "step"], "left_semi")
     # As long as the number of groupable steps; cases of one variant are counted once.
     variants = (
         kept.groupBy(*CASE)
@@ -94,6 +95,7 @@ def discover_parallel_groups(entries: DataFrame, transitions: DataFrame) -> Data
         .groupBy("process_key", "variant")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    variants = held(variants)
     left = variants.select("process_key", "variant", "n", F.posexplode("variant").alias("i", "a"))
     pairs = left.select("process_key", "n", "a", F.explode(F.slice("variant", F.col("i") + 2, F.size("variant"))).alias("b"))
     fwd = F.col("a.step") < F.col("b.step")
@@ -150,19 +152,20 @@ def discover_parallel_fallback(entries: DataFrame, transitions: DataFrame, group
     both = both.select(
         "process_key", F.col("from_step").alias("left_step"), F.col("to_step").alias("right_step"), "observed", "reverse"
     ).join(groups.select(*key), key, "left_anti")
-    per_case = (
-        entries.filter(F.col("next_step").isNotNull())
-        .select(*CASE, F.least("step", "next_step").alias("left_step"), F.greatest("step", "next_step").alias("right_step"))
-        .join(both.select(*key), key, "left_semi")
-        .distinct()
+    both = staged(both, "both-ways")  # of known size: entries are not dealt out by pair
+    pair = [F.least("step", "next_step").alias("left_step"), F.greatest("step", "next_step").alias("right_step")]
+    names = [c for c in [*CASE, "block", "entry", "step"] if c in entries.columns]
+    marked = entries.select(*names, F.col("next_step").isNotNull().alias("_moves"), *pair).join(
+        both.select(*key, F.lit(True).alias("_both")), key, "left"
     )
-    seen = _first_seen(entries)
-    ends = seen.groupBy(*CASE).agg(
+    found = F.collect_set(F.when(F.col("_moves") & F.col("_both"), F.struct("left_step", "right_step")))
+    ends = _first_seen(marked, found.alias("_pairs")).groupBy(*CASE).agg(
         F.max(F.when(F.col("before").isNull(), F.col("step"))).alias("first"),
         F.max(F.when(F.col("after").isNull(), F.col("step"))).alias("last"),
+        F.array_distinct(F.flatten(F.collect_list("_pairs"))).alias("_pairs"),
     )
     inside = lambda c: (F.col(c) == F.col("left_step")) | (F.col(c) == F.col("right_step"))
-    counted = per_case.join(ends, CASE).groupBy(*key).agg(
+    counted = ends.select("process_key", "first", "last", F.inline("_pairs")).groupBy(*key).agg(
         F.count(F.lit(1)).alias("cases"), F.count_if(inside("first")).alias("_f"), F.count_if(inside("last")).alias("_l")
     )
     return (

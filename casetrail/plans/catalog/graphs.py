@@ -166,7 +166,9 @@ def discover_parallel_groups(spark, d):
 
 def discover_parallel_fallback(spark, d):
     e = _entries(spark, d)
-    t = discovery.discover_transitions(e)
+    names = [*cases.CASE, "block", "entry", "step", "next_step", "step_key", "next_key", "case_rank"]
+    e = held(e.select(*[c for c in names if c in e.columns]))
+    t = staged(discovery.discover_transitions(e), "transitions")
     return discovery.discover_parallel_fallback(e, t, discovery.discover_parallel_groups(e, t))
 
 
