@@ -40,11 +40,12 @@ def kpi_eligibility(timeline: DataFrame, versions: DataFrame, templates: Templat
     """One row per case: eligible or the first exclusion reason that applies.
 
     Order of reasons: no_process_version_defined, before_first_baseline,
-    started_mid_process, crossed_version_boundary.
+    started_mid_process, crossed_version_boundary.  ``timeline``: all events, or
+    run starts with the time of the last event of their case as ``last_at``.
     """
     per_case = timeline.groupBy(*CASE).agg(
         F.min_by(F.struct("occurred_at", "step_key"), F.col("pos")).alias("_first"),
-        F.max("occurred_at").alias("last_event_at"),
+        F.max("last_at" if "last_at" in timeline.columns else "occurred_at").alias("last_event_at"),
     )
     per_case = templates.expand(per_case).select(
         *CASE,
@@ -105,7 +106,10 @@ def kpi_summary(eligibility: DataFrame) -> DataFrame:
 def keep_eligible(timeline: DataFrame, eligibility: DataFrame, include_excluded: bool = False) -> DataFrame:
     if include_excluded:
         return timeline
-    return timeline.join(eligibility.filter("is_eligible").select(*CASE), CASE, "left_semi")
+    known = eligibility.filter("is_eligible").select(*[F.col(c).alias(f"_{c}") for c in CASE])
+    # Joined by what cases are dealt out by, so that a timeline that is still laid out so does not move again.
+    same = (F.col("process_key") == F.col("_process_key")) & (F.col("document_uuid") == F.col("_document_uuid"))
+    return timeline.join(known, same & F.col("document_version").between(F.col("_document_version"), F.col("_document_version")), "left_semi")
 
 
 def case_filter_by_status(cases: DataFrame, status: DataFrame, keep: str) -> DataFrame:
@@ -255,7 +259,7 @@ def durations_of(counts: DataFrame, templates: TemplateSet) -> DataFrame:
 
 def heatmap_report(entries: DataFrame, eligibility: DataFrame, templates: TemplateSet, now: datetime) -> dict[str, DataFrame]:
     """Flow, durations and eligibility of the same entries (eligible cases only)."""
-    used = keep_eligible(entries, eligibility)
+    used = held(keep_eligible(entries, eligibility))
     docs = used.filter(F.col("entry") == 1).groupBy("process_key").agg(F.count(F.lit(1)).alias("documents_used"))
     return {
         "flow": flow_heatmap(used, templates),

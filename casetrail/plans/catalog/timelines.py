@@ -25,6 +25,7 @@ from casetrail.plans.catalog.common import (
 from casetrail.plans.catalog.checks import FULL
 from casetrail.plans.check import check_processes
 from casetrail.sources import adapters as A
+from casetrail.sources.scratch import held
 
 NOW = datetime(2024, 2, 1, tzinfo=timezone.utc)
 NOW_SEC = int(NOW.timestamp())
@@ -214,8 +215,10 @@ def flow_by_context(spark, d):
 
 def heatmap_report(spark, d):
     tl, tpl = _kpi_timeline(spark, d), templates(spark)
-    el = kpi.kpi_eligibility(tl, versions_table(spark), tpl)
-    r = kpi.heatmap_report(cases.run_starts(tl), el, tpl, NOW)
+    starts = cases.run_starts(cases.with_case_value(tl, F.max("occurred_at"), "last_at"))
+    starts = held(starts.select(*cases.CASE, "pos", "entry", "step_key", "occurred_at", "next_step", "next_at", "last_at"))
+    el = kpi.kpi_eligibility(starts, versions_table(spark), tpl)
+    r = kpi.heatmap_report(starts, el, tpl, NOW)
     flow = r["flow"].select("template_key", F.concat_ws(">", F.lit("flow"), "from_step", "to_step").alias("item"), "observed", F.col("intensity").alias("value"))
     steps = r["durations"].select("template_key", F.concat_ws(">", F.lit("step"), "step_key").alias("item"), F.col("completed").alias("observed"), F.col("avg_minutes").alias("value"))
     docs = r["documents_used"].select("template_key", F.lit("documents_used").alias("item"), F.col("documents_used").alias("observed"), F.lit(0.0).alias("value"))

@@ -75,7 +75,7 @@ def test_large_cases_are_found_by_hash(spark, hot):
     assert cases.hot_keys(log.filter("document_uuid = 'few'"), ["document_uuid"]) is None
 
 
-@pytest.mark.parametrize("name", ["decision_field_evidence", "values_by_next_step", "virtual_node_durations", "node_flow", "discover_parallel_fallback"])
+@pytest.mark.parametrize("name", ["decision_field_evidence", "values_by_next_step", "virtual_node_durations", "node_flow", "discover_parallel_fallback", "heatmap_report"])
 def test_the_log_is_read_once(steps_read, name):
     assert steps_read(name) == 1
 
