@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from casetrail.functions.values import trimmed
+from casetrail.operators.cases import hot_keys
 from casetrail.operators.numbering import numbered
 
 
@@ -45,9 +46,36 @@ def expand_split_rows(tags: DataFrame) -> DataFrame:
 
     ``tags``: doc_id, tag_pos, definition_id, group_definition, group_id, value.
     Returns long form: doc_id, row_no, definition_id, value."""
+    tags = tags.filter(F.col("doc_id").isNotNull() & F.col("definition_id").isNotNull())
+    tags = tags.withColumns({c: F.coalesce(c, F.lit("")) for c in ("group_definition", "group_id")})  # no group is one group
+    large = hot_keys(tags, ["doc_id"])
+    if large is None:
+        return _split_in_place(tags)
+    large = F.broadcast(large.select("doc_id"))
+    few, many = tags.join(large, "doc_id", "left_anti"), tags.join(large, "doc_id", "left_semi")
+    return _split_in_place(few).unionByName(_split_large(many))
+
+
+def _split_in_place(tags: DataFrame) -> DataFrame:
+    """``expand_split_rows`` in the one shuffle that brings the tags of a document together."""
+    doc = Window.partitionBy("doc_id")
+    t = tags.repartition("doc_id").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "definition_id")))
+    many = F.col("_n") > 1
+    at = F.min(F.when(many, F.col("tag_pos"))).over(Window.partitionBy("doc_id", "group_definition", "group_id", many))
+    t = t.withColumn("_at", at)
+    nth = F.dense_rank().over(Window.partitionBy("doc_id", "group_definition", many).orderBy("_at", "group_id"))
+    t = t.withColumn("_rank", F.when(many, nth))
+    t = t.withColumn("_rows", F.max("_rank").over(doc))
+    last = F.coalesce("_rows", F.lit(1)) - 1
+    places = F.when(many, F.array(F.col("_rank") - 1)).otherwise(F.sequence(F.lit(0), last))
+    rows = t.select("doc_id", F.explode(places).alias("row_no"), "definition_id", "tag_pos", "value", "_n")
+    return rows.groupBy("doc_id", "row_no", "definition_id").agg(F.when(F.max("_n") > 1, F.max_by("value", "tag_pos")).otherwise(F.max("value")).alias("value"))
+
+
+def _split_large(tags: DataFrame) -> DataFrame:
+    """``expand_split_rows`` for documents that no task should hold."""
     n = tags.groupBy("doc_id", "definition_id").agg(F.count(F.lit(1)).alias("_n"))
     t = tags.join(n, ["doc_id", "definition_id"])
-    t = t.withColumns({c: F.coalesce(c, F.lit("")) for c in ("group_definition", "group_id")})  # no group is one group
     many = t.filter(F.col("_n") > 1)
     groups = many.groupBy("doc_id", "group_definition", "group_id").agg(F.min("tag_pos").alias("_at"))
     ranked = numbered(groups, ["doc_id", "group_definition"], ["_at"], "_rank").drop("_at", "block")

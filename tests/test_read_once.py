@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from casetrail.operators import cases, decisions
+from casetrail.operators import cases, decisions, documents
 from casetrail.plans import catalog, check
 from casetrail.plans.catalog import checks
 from casetrail.sources import adapters, scratch
@@ -113,3 +113,22 @@ def test_violations_judge_a_decision_once(spark, monkeypatch):
     found = rows(catalog.queries()["decision_rule_violations"](spark, ""), "document_uuid", "decision_key", "actual_step")
     assert written == ["profiles", "decisions"]
     assert ("p-1", "after_placed", "shipped") in found
+
+
+TAGS = [
+    ("d-1", 0, "status", None, None, "open"), ("d-1", 3, "qty", "line", "a", "5"), ("d-1", 4, "price", "line", "a", "9"), ("d-1", 1, "qty", "line", "b", "7"),
+    ("d-1", 2, "price", "line", "b", "8"), ("d-2", 0, "status", "", "", "done"), ("d-3", 0, "qty", "line", "a", "1"), (None, 0, "qty", "line", "a", "1"),
+]
+SPLIT = [("d-1", 0, "price", "8"), ("d-1", 0, "qty", "7"), ("d-1", 0, "status", "open"), ("d-1", 1, "price", "9"), ("d-1", 1, "qty", "5"), ("d-1", 1, "status", "open"), ("d-2", 0, "status", "done"), ("d-3", 0, "qty", "1")]
+
+
+@pytest.mark.parametrize("limit", ["2000000", "4"])
+def test_split_rows_take_one_shuffle_unless_a_document_is_large(spark, limit):
+    tags = spark.createDataFrame(TAGS, "doc_id string, tag_pos int, definition_id string, group_definition string, group_id string, value string")
+    spark.conf.set("spark.casetrail.hotCaseRows", limit)
+    try:
+        out = documents.expand_split_rows(tags)
+        assert rows(out, "doc_id", "row_no", "definition_id", "value") == SPLIT
+        assert shuffles(out) == 1 or limit == "4"
+    finally:
+        spark.conf.unset("spark.casetrail.hotCaseRows")
